@@ -110,15 +110,13 @@ def min_variance(cov: np.ndarray, low: float = 0.0, high: float = 1.0) -> np.nda
 
 
 def project(v: np.ndarray, low: float, high: float) -> np.ndarray:
-    """Nearest point of the capped simplex, by bisection on the shift."""
-    a, b = (v - high).min() - 1.0, (v - low).max() + 1.0
-    for _ in range(100):
-        mid = (a + b) / 2
-        if np.clip(v - mid, low, high).sum() > 1.0:
-            a = mid
-        else:
-            b = mid
-    return np.clip(v - (a + b) / 2, low, high)
+    """Nearest point of the capped simplex: the clipped sum is piecewise linear in the shift."""
+    knots = np.sort(np.concatenate([v - low, v - high]))
+    sums = np.clip(v[None, :] - knots[:, None], low, high).sum(axis=1)
+    k = min(max(int(np.searchsorted(-sums, -1.0, side="right")) - 1, 0), len(knots) - 2)
+    drop = sums[k] - sums[k + 1]
+    shift = knots[k] if drop <= 0 else knots[k] + (sums[k] - 1.0) / drop * (knots[k + 1] - knots[k])
+    return np.clip(v - shift, low, high)
 
 
 def risk_shares(w: np.ndarray, cov: np.ndarray) -> np.ndarray:
@@ -159,9 +157,9 @@ def risk_parity(cov: np.ndarray, low: float = 0.0, high: float = 1.0) -> np.ndar
             if trial_value <= value - 1e-4 / step * ((trial - w) ** 2).sum():
                 break
             step /= 2.0
-        moved = np.abs(trial - w).max()
+        gained, moved = value - trial_value, np.abs(trial - w).max()
         w, value, step = trial, trial_value, min(step * 2.0, 1e6)
-        if moved < 1e-14:
+        if moved < 1e-13 or gained < 1e-17:
             break
     return tidy(w)
 
@@ -188,17 +186,28 @@ def max_sharpe(cov: np.ndarray, expected: np.ndarray, risk_free: float = 0.0, lo
         v = quadratic_weights(c, t * m, low, high, warm)
         return v, t * (m @ v) - v @ c @ v
 
+    # The gap t (m'w) - w'Cw is linear in t while the working set stays the same,
+    # so false position with halving lands on the root within a few solves.
+    gap_b = None
+    w, gap_a = frontier(0.0, w)
+    while gap_b is None or gap_b <= 0:
+        if gap_b is not None:
+            a, gap_a, b = b, gap_b, b * 4.0
+        w, gap_b = frontier(b, w)
+    side = 0
     for _ in range(200):
-        w, gap = frontier(b, w)
-        if gap > 0:
-            break
-        a, b = b, b * 4.0
-    for _ in range(100):
-        mid = (a + b) / 2
+        mid = (a * gap_b - b * gap_a) / (gap_b - gap_a)
         w, gap = frontier(mid, w)
-        a, b = (a, mid) if gap > 0 else (mid, b)
-        if b - a <= 1e-15 * b:
+        if abs(gap) <= 1e-13 * (w @ c @ w) or b - a <= 1e-14 * b:
             break
+        if gap > 0:
+            b, gap_b = mid, gap
+            gap_a = gap_a / 2.0 if side > 0 else gap_a
+            side = 1
+        else:
+            a, gap_a = mid, gap
+            gap_b = gap_b / 2.0 if side < 0 else gap_b
+            side = -1
     return tidy(w)
 
 
@@ -305,7 +314,10 @@ def solved_weights(
         out.insert(0, "universe_id", [key[0]] * len(out))
         return out
 
-    return table.groupBy(*GROUP).applyInPandas(
+    # Few bytes but much arithmetic per group: a fixed partition count keeps
+    # adaptive execution from folding the groups into one task.
+    tasks = int(cov.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return table.repartition(tasks, *GROUP).groupBy(*GROUP).applyInPandas(
         allocate,
         f"universe_id {kinds['universe_id']}, as_of {kinds['as_of']}, model string, asset string, weight double",
     )

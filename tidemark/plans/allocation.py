@@ -1 +1,280 @@
-"""Queries to come."""
+"""Queries on allocators, walk-forward evaluation and candidate allocation."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidemark.operators import (
+    allocators,
+    candidates,
+    covariance,
+    forecast,
+    metrics,
+    returns,
+    risk,
+    walk_forward,
+)
+from tidemark.plans.catalog import register
+from tidemark.plans.common import DAILY_SQL, SUMMARY_COLUMNS, closes, daily, r, rounded
+from tidemark.session import cut_lineage
+from tidemark.sources import harness
+
+_PAIR_MIN, _PAIR_CAP, _PAIR_SPAN = 24, 0.6, 12
+
+
+def _two_asset(spark, sf):
+    """(covariance, forecasts) of every two-asset universe at every month with enough history."""
+    rets = cut_lineage(returns.return_matrix(harness.two_asset_prices(spark, sf)))
+    cov = covariance.shrunk_from_sums(covariance.expanding_pair_sums(rets, _PAIR_MIN), 12).drop("shrinkage")
+    expected = forecast.expected_returns(rets, _PAIR_SPAN, 12).select(
+        "universe_id", F.col("session").alias("as_of"), "asset", F.col("robust").alias("expected")
+    )
+    return cut_lineage(cov), expected
+
+
+# Closed forms for two assets: clipped minimum variance, clipped inverse volatility,
+# inverse variance for the hierarchy and the clipped tangency weight.
+_TWO_ASSET_SQL = f"""{harness.TWO_ASSET_PRICES_SQL}, {harness.RETURNS_SQL},
+wide as (
+  select universe_id, session, max(case when asset = 'HIGH' then ret end) as x, max(case when asset = 'LOW' then ret end) as y
+  from returns group by all),
+history as (
+  select a.universe_id, a.session as as_of, b.x, b.y,
+         row_number() over (partition by a.universe_id, a.session order by b.session) as t,
+         count(*) over (partition by a.universe_id, a.session) as n
+  from wide a join wide b on a.universe_id = b.universe_id and b.session <= a.session),
+centred as (
+  select *, x - avg(x) over g as zx, y - avg(y) over g as zy from history where n >= {_PAIR_MIN}
+  window g as (partition by universe_id, as_of)),
+m as (
+  select universe_id, as_of, any_value(n) as n, avg(zx * zx) as s11, avg(zy * zy) as s22, avg(zx * zy) as s12,
+    avg(zx * zx * zx * zx) as q11, avg(zy * zy * zy * zy) as q22, avg(zx * zx * zy * zy) as q12,
+    pow(product(1 + x), 12.0 / any_value(n)) - 1 as gx, pow(product(1 + y), 12.0 / any_value(n)) - 1 as gy,
+    avg(x) * 12 as ax, avg(y) * 12 as ay,
+    sum(x * case when t = 1 then pow(11.0 / 13, n - 1) else 2.0 / 13 * pow(11.0 / 13, n - t) end) * 12 as ex,
+    sum(y * case when t = 1 then pow(11.0 / 13, n - 1) else 2.0 / 13 * pow(11.0 / 13, n - t) end) * 12 as ey
+  from centred group by universe_id, as_of),
+k as (
+  select *, (s11 + s22) / 2 as mu, (pow(s11, 2) + pow(s22, 2) + 2 * pow(s12, 2)) as squares,
+    (q11 - s11 * s11 + q22 - s22 * s22 + 2 * (q12 - s12 * s12)) / (2 * n) as b0 from m),
+d as (select *, (squares - 4 * mu * mu + 2 * mu * mu) / 2 as dist from k),
+l as (select *, case when least(b0, dist) = 0 then 0 else least(b0, dist) / dist end as sh from d),
+cov as (
+  select universe_id, as_of, ((1 - sh) * s11 + sh * mu) * 12 as c11, ((1 - sh) * s22 + sh * mu) * 12 as c22,
+    (1 - sh) * s12 * 12 as c12, (gx + ax) / 2 * 0.8 + ex * 0.2 as m1, (gy + ay) / 2 * 0.8 + ey * 0.2 as m2 from l),
+z as (
+  select *, c22 * m1 - c12 * m2 as t1, c11 * m2 - c12 * m1 as t2, 1 - {_PAIR_CAP} as lo, {_PAIR_CAP}::double as hi from cov),
+tangent as (
+  select *, case when t1 + t2 > 0 then greatest(lo, least(hi, t1 / (t1 + t2)))
+    when (lo * m1 + (1 - lo) * m2) / sqrt(lo * lo * c11 + (1 - lo) * (1 - lo) * c22 + 2 * lo * (1 - lo) * c12)
+       > (hi * m1 + (1 - hi) * m2) / sqrt(hi * hi * c11 + (1 - hi) * (1 - hi) * c22 + 2 * hi * (1 - hi) * c12) then lo
+    else hi end as ms from z),
+first_weight as (
+  select universe_id, as_of, 'minimum_variance' as model, greatest(lo, least(hi, (c22 - c12) / (c11 + c22 - 2 * c12))) as w from tangent
+  union all select universe_id, as_of, 'risk_parity', greatest(lo, least(hi, sqrt(c22) / (sqrt(c11) + sqrt(c22)))) from tangent
+  union all select universe_id, as_of, 'hrp', 1 - c11 / (c11 + c22) from tangent
+  union all select universe_id, as_of, 'maximum_sharpe', ms from tangent),
+pair_weights as (
+  select universe_id, as_of, model, 'HIGH' as asset, w as weight from first_weight
+  union all select universe_id, as_of, model, 'LOW', 1 - w from first_weight)"""
+
+
+@register(
+    "two_asset_allocation",
+    f"with {_TWO_ASSET_SQL} select universe_id, as_of, model, asset, {r('weight', 6)} from pair_weights",
+)
+def two_asset_allocation(spark, sf):
+    cov, expected = _two_asset(spark, sf)
+    return rounded(allocators.solved_weights(cov, expected, high=_PAIR_CAP), 6, "weight")
+
+
+@register(
+    "allocation_equal_weight",
+    f"""with {_TWO_ASSET_SQL}, a as (select distinct universe_id, as_of, asset from pair_weights)
+    select universe_id, as_of, 'equal_weight' as model, asset,
+           1.0::double / count(*) over (partition by universe_id, as_of) as weight from a""",
+)
+def allocation_equal_weight(spark, sf):
+    cov, _ = _two_asset(spark, sf)
+    return allocators.equal_weight(
+        cov.filter("asset_i = asset_j").select("universe_id", "as_of", F.col("asset_i").alias("asset"))
+    )
+
+
+@register(
+    "allocation_inverse_variance",
+    f"""with {_TWO_ASSET_SQL}
+    select universe_id, as_of, 'inverse_variance' as model, 'HIGH' as asset, {r("c22 / (c11 + c22)", 8, "weight")} from cov
+    union all
+    select universe_id, as_of, 'inverse_variance', 'LOW', {r("c11 / (c11 + c22)", 8, "weight")} from cov""",
+)
+def allocation_inverse_variance(spark, sf):
+    return rounded(allocators.inverse_variance(_two_asset(spark, sf)[0]), 8, "weight")
+
+
+@register(
+    "correlation_distance",
+    f"""with {DAILY_SQL},
+    c as (
+      select x.universe_id, x.asset as asset_i, y.asset as asset_j, corr(x.ret, y.ret) as rho
+      from returns x join returns y using (universe_id, session) group by all)
+    select universe_id, asset_i, asset_j,
+           round(case when asset_i = asset_j then 0 else sqrt(greatest((1 - rho) / 2, 0)) end, 8) + 0.0::double as distance
+    from c""",
+)
+def correlation_distance(spark, sf):
+    corr = covariance.correlation(covariance.sample_covariance(daily(spark, sf)))
+    return rounded(allocators.correlation_distance(corr), 8, "distance").drop("corr")
+
+
+_COMPARE = [
+    "volatility", "weight_concentration", "effective_positions", "risk_concentration", "effective_risk_positions",
+    "largest_weight", "largest_risk_share",
+]
+
+
+@register(
+    "allocation_comparison",
+    f"""with {_TWO_ASSET_SQL},
+    f as (
+      select universe_id, as_of, model, w, 1 - w as v, w * c11 + (1 - w) * c12 as e1, w * c12 + (1 - w) * c22 as e2
+      from first_weight join cov using (universe_id, as_of)),
+    g as (select *, w * e1 + v * e2 as var from f),
+    out as (
+      select universe_id, as_of, model, sqrt(var) as volatility, w * w + v * v as weight_concentration,
+        1 / (w * w + v * v) as effective_positions, pow(w * e1 / var, 2) + pow(v * e2 / var, 2) as risk_concentration,
+        1 / (pow(w * e1 / var, 2) + pow(v * e2 / var, 2)) as effective_risk_positions, greatest(w, v) as largest_weight,
+        greatest(w * e1 / var, v * e2 / var) as largest_risk_share from g)
+    select universe_id, as_of, model, {", ".join(r(c, 5) for c in _COMPARE)} from out""",
+)
+def allocation_comparison(spark, sf):
+    cov, expected = _two_asset(spark, sf)
+    weights = cut_lineage(allocators.solved_weights(cov, expected, high=_PAIR_CAP))
+    return rounded(risk.allocation_comparison(weights, cov, ["universe_id", "as_of", "model"]), 5, *_COMPARE)
+
+
+@register("walk_forward_weights")
+def walk_forward_weights(spark, sf):
+    """Six models at every month-end with enough history; solver output, so rows only."""
+    rets = cut_lineage(daily(spark, sf))
+    return rounded(walk_forward.walk_forward_weights(rets), 8, "weight")
+
+
+@register("walk_forward")
+def walk_forward_results(spark, sf):
+    rets = cut_lineage(daily(spark, sf))
+    results, _ = walk_forward.walk_forward(rets)
+    return rounded(results, 8, "gross_return", "turnover", "transaction_cost", "net_return")
+
+
+@register("walk_forward_summary")
+def walk_forward_summary(spark, sf):
+    rets = cut_lineage(daily(spark, sf))
+    results, _ = walk_forward.walk_forward(rets)
+    return rounded(metrics.backtest_summary(results), 6, *SUMMARY_COLUMNS, "average_turnover")
+
+
+def brand_candidates(spark, sf):
+    """A hand-off per year-end month: every brand ranked by its close against the month's average tax."""
+    lineitem = harness.read(spark, sf, "lineitem").select("l_partkey", "l_shipdate", "l_discount", "l_tax")
+    part = harness.read(spark, sf, "part").select("p_partkey", "p_brand")
+    month = F.trunc(F.to_date("l_shipdate"), "month")
+    scored = (
+        lineitem.filter(F.month("l_shipdate") == 6)
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy(month.alias("session"), F.upper("p_brand").alias("symbol"))
+        .agg(
+            (F.sum(F.round(F.col("l_tax") * 100).cast("long")).cast("double") / F.count(F.lit(1))).alias("scanner_score"),
+            (F.lit(100.0) + F.sum(F.round(F.col("l_discount") * 100).cast("long")).cast("double") / F.count(F.lit(1))).alias("close"),
+        )
+    )
+
+    order = Window.partitionBy("session").orderBy(F.desc("scanner_score"), "symbol")
+    size = F.count(F.lit(1)).over(Window.partitionBy("session"))
+    stamp = F.concat(F.date_format("session", "yyyy-MM-dd"), F.lit(" 20:00:00"))
+    ranked = scored.withColumns({"scanner_rank": F.row_number().over(order), "size": size})
+    return ranked.select(
+        F.lit(candidates.HANDOFF_VERSION).alias("handoff_contract_version"),
+        F.lit(candidates.ALPHA_SPEC_VERSION).alias("scanner_alpha_spec_version"),
+        F.lit("provider").alias("scanner_provider"),
+        F.date_format("session", "yyyy-MM-dd").alias("as_of_session"),
+        F.concat(F.date_format("session", "yyyy-MM-dd"), F.lit(" 22:00:00")).alias("generated_at_utc"),
+        F.sha2(F.date_format("session", "yyyy-MM-dd"), 256).alias("scanner_snapshot_sha256"),
+        F.lit("").alias("source_alpha_manifest_sha256"),
+        stamp.alias("source_timestamp_utc"),
+        "symbol",
+        "scanner_rank",
+        "scanner_score",
+        (100.0 * (1.0 - (F.col("scanner_rank") - 1) / F.col("size"))).alias("scanner_percentile"),
+        F.lit(True).alias("scanner_eligible"),
+        "close",
+        F.lit(candidates.PRIMARY_SIGNAL).alias("primary_signal_name"),
+        F.col("scanner_score").alias("primary_signal_value"),
+        F.lit(None).cast("double").alias("ema_50_to_200"),
+    )
+
+
+BRAND_CANDIDATES_SQL = """
+scored as (
+  select cast(date_trunc('month', l_shipdate) as date) as session, upper(p_brand) as symbol,
+         cast(sum(cast(round(l_tax * 100) as bigint)) as double) / count(*) as scanner_score,
+         100 + cast(sum(cast(round(l_discount * 100) as bigint)) as double) / count(*) as close
+  from lineitem join part on l_partkey = p_partkey where month(l_shipdate) = 6 group by all),
+ranked as (
+  select *, row_number() over (partition by session order by scanner_score desc, symbol) as scanner_rank,
+         count(*) over (partition by session) as size from scored)"""
+
+
+@register(
+    "candidate_snapshot",
+    f"""with {BRAND_CANDIDATES_SQL}
+    select strftime(session, '%Y-%m-%d') as as_of_session, symbol, cast(scanner_rank as integer) as scanner_rank,
+           {r("scanner_score", 8)}, {r("close", 8)} from ranked""",
+)
+def candidate_snapshot(spark, sf):
+    rows = candidates.candidate_snapshot(cut_lineage(brand_candidates(spark, sf)))
+    return rounded(rows, 8, "scanner_score", "close").select(
+        "as_of_session", "symbol", "scanner_rank", "scanner_score", "close"
+    )
+
+
+# The registered hand-off breaks rules on purpose, by the data's own values.
+@register(
+    "validate_candidates",
+    f"""with {BRAND_CANDIDATES_SQL},
+    broken as (
+      select *, case when scanner_rank > 20 then scanner_rank - 1 else scanner_rank end as rk,
+             case when scanner_score > 4.2 then 120.0 else 50.0 end as pct, close < 104.5 as late from ranked),
+    counts as (
+      select session, count(*) filter (pct > 100) as pct, count(*) - count(distinct rk) as dup,
+             case when max(rk) = count(*) then 0 else 1 end as gap, count(*) filter (late) as late from broken group by session),
+    long as (
+      select session, 'PERCENTILE_OUT_OF_RANGE' as rule, pct as violations from counts
+      union all select session, 'DUPLICATE_RANK', dup from counts
+      union all select session, 'RANKS_NOT_CONTIGUOUS', gap from counts
+      union all select session, 'TIMESTAMP_AFTER_GENERATION', late from counts)
+    select strftime(session, '%Y-%m-%d') as as_of_session, sha256(strftime(session, '%Y-%m-%d')) as scanner_snapshot_sha256,
+           rule, violations from long where violations > 0""",
+)
+def validate_candidates(spark, sf):
+    rows = brand_candidates(spark, sf)
+    rank = F.when(F.col("scanner_rank") > 20, F.col("scanner_rank") - 1).otherwise(F.col("scanner_rank"))
+    late = F.concat(F.col("as_of_session"), F.lit(" 19:00:00"))
+    broken = rows.withColumns(
+        {
+            "scanner_rank": rank,
+            "scanner_percentile": F.when(F.col("scanner_score") > 4.2, 120.0).otherwise(50.0),
+            "generated_at_utc": F.when(F.col("close") < 104.5, late).otherwise(F.col("generated_at_utc")),
+        }
+    )
+    return candidates.validate_candidates(broken)
+
+
+@register("candidate_allocation")
+def candidate_allocation(spark, sf):
+    """Capped minimum variance of every June hand-off over the 36 months before it; solver output."""
+    history = cut_lineage(brand_candidates(spark, sf))
+    prices = cut_lineage(harness.brand_prices(spark, sf))
+    rows = candidates.candidate_allocation(history, prices, lookback=36, periods=12)
+    return rounded(rows, 6, "annualized_volatility", "target_weight")

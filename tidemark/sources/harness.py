@@ -159,3 +159,58 @@ macro_observations as (
   select cast(ts as date) as obs_date, event_type as series,
          cast(sum(cast(round(value * 100) as bigint)) as double) / count(*) / 100 as value
   from events group by all)"""
+
+
+def two_asset_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly closes of two assets per market segment: urgent orders against the rest.
+
+    Two-asset universes have closed-form allocations to check solvers with.
+    """
+    lineitem = read(spark, sf, "lineitem").select("l_orderkey", "l_shipdate", "l_discount")
+    orders = read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    customer = read(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    return (
+        lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
+        .join(customer, orders.o_custkey == customer.c_custkey)
+        .select(
+            F.col("c_mktsegment").alias("universe_id"),
+            F.trunc(F.to_date("l_shipdate"), "month").alias("session"),
+            F.when(F.col("o_orderpriority") < "3", "HIGH").otherwise("LOW").alias("asset"),
+            F.round(F.col("l_discount") * 100).cast("long").alias("cents"),
+        )
+        .groupBy("universe_id", "session", "asset")
+        .agg(_close())
+    )
+
+
+def brand_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly closes of every brand in one universe."""
+    lineitem = read(spark, sf, "lineitem").select("l_partkey", "l_shipdate", "l_discount")
+    part = read(spark, sf, "part").select("p_partkey", "p_brand")
+    return (
+        lineitem.join(part, lineitem.l_partkey == part.p_partkey)
+        .select(
+            F.lit("BRANDS").alias("universe_id"),
+            F.trunc(F.to_date("l_shipdate"), "month").alias("session"),
+            F.upper("p_brand").alias("asset"),
+            F.round(F.col("l_discount") * 100).cast("long").alias("cents"),
+        )
+        .groupBy("universe_id", "session", "asset")
+        .agg(_close())
+    )
+
+
+TWO_ASSET_PRICES_SQL = f"""
+shipments as (
+  select c_mktsegment as universe_id, cast(date_trunc('month', l_shipdate) as date) as session,
+         case when o_orderpriority < '3' then 'HIGH' else 'LOW' end as asset,
+         cast(round(l_discount * 100) as bigint) as cents
+  from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey),
+prices as (select universe_id, session, asset, {_CLOSE_SQL} from shipments group by all)"""
+
+BRAND_PRICES_SQL = f"""
+shipments as (
+  select 'BRANDS' as universe_id, cast(date_trunc('month', l_shipdate) as date) as session, upper(p_brand) as asset,
+         cast(round(l_discount * 100) as bigint) as cents
+  from lineitem join part on l_partkey = p_partkey),
+prices as (select universe_id, session, asset, {_CLOSE_SQL} from shipments group by all)"""
