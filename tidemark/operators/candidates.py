@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import allocators, covariance, returns
+from tidemark.session import cut_lineage
 
 # Column contracts of the two hand-off tables, in order.
 CANDIDATE_COLUMNS = (
@@ -119,9 +120,9 @@ def candidate_allocation(
     )
     own = prices.drop("universe_id").join(names.drop("as_of"), "asset")
     dates = names.select("universe_id", "as_of").distinct()
-    rets = returns.lookback_returns(own.select("universe_id", "session", "asset", "close"), dates, lookback)
-    sums = covariance.pair_sums(rets.filter(F.col("observations") == lookback))
-    cov = covariance.shrunk_from_sums(sums, periods).drop("shrinkage").join(dates, "universe_id")
+    rets = cut_lineage(returns.lookback_returns(own.select("universe_id", "session", "asset", "close"), dates, lookback))
+    sums = cut_lineage(covariance.pair_sums(rets.filter(F.col("observations") == lookback)))
+    cov = cut_lineage(covariance.shrunk_from_sums(sums, periods).drop("shrinkage").join(dates, "universe_id"))
     weights = allocators.solved_weights(cov, models=("minimum_variance",), high=high)
     own_vol = cov.filter("asset_i = asset_j").select(
         "universe_id", F.col("asset_i").alias("asset"), F.sqrt("cov").alias("annualized_volatility")

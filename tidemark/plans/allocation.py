@@ -176,13 +176,12 @@ def walk_forward_summary(spark, sf):
 
 
 def brand_candidates(spark, sf):
-    """A hand-off per year-end month: every brand ranked by its close against the month's average tax."""
+    """A hand-off per month: every brand ranked by its average tax."""
     lineitem = harness.read(spark, sf, "lineitem").select("l_partkey", "l_shipdate", "l_discount", "l_tax")
     part = harness.read(spark, sf, "part").select("p_partkey", "p_brand")
     month = F.trunc(F.to_date("l_shipdate"), "month")
     scored = (
-        lineitem.filter(F.month("l_shipdate") == 6)
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(month.alias("session"), F.upper("p_brand").alias("symbol"))
         .agg(
             (F.sum(F.round(F.col("l_tax") * 100).cast("long")).cast("double") / F.count(F.lit(1))).alias("scanner_score"),
@@ -220,7 +219,7 @@ scored as (
   select cast(date_trunc('month', l_shipdate) as date) as session, upper(p_brand) as symbol,
          cast(sum(cast(round(l_tax * 100) as bigint)) as double) / count(*) as scanner_score,
          100 + cast(sum(cast(round(l_discount * 100) as bigint)) as double) / count(*) as close
-  from lineitem join part on l_partkey = p_partkey where month(l_shipdate) = 6 group by all),
+  from lineitem join part on l_partkey = p_partkey group by all),
 ranked as (
   select *, row_number() over (partition by session order by scanner_score desc, symbol) as scanner_rank,
          count(*) over (partition by session) as size from scored)"""
@@ -273,7 +272,7 @@ def validate_candidates(spark, sf):
 
 @register("candidate_allocation")
 def candidate_allocation(spark, sf):
-    """Capped minimum variance of every June hand-off over the 36 months before it; solver output."""
+    """Capped minimum variance of every monthly hand-off over the 36 months up to it; solver output."""
     history = cut_lineage(brand_candidates(spark, sf))
     prices = cut_lineage(harness.brand_prices(spark, sf))
     rows = candidates.candidate_allocation(history, prices, lookback=36, periods=12)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import macro
 from tidemark.plans.catalog import register
 from tidemark.plans.common import r, rounded
-from tidemark.session import cut_lineage
-from tidemark.sources import harness
+from tidemark.session import cut_lineage, scratch_path
+from tidemark.sources import harness, macro_files
 
 _ORIGIN = "2000-01-01"
 
@@ -135,3 +135,22 @@ def macro_features(spark, sf):
     obs = cut_lineage(observations(spark, sf))
     lagged = macro.availability_lag(obs, macro.series_spec(spark))
     return rounded(macro.macro_features(lagged, _calendar(obs)), 6, *macro.FEATURES)
+
+
+@register(
+    "macro_file_round_trip",
+    f"""with {_OBS_SQL} select obs_date, series, {r("value", 8)} from observations where series in ('payrolls', 'yield_2y')""",
+)
+def macro_file_round_trip(spark, sf):
+    """Two series written as date, value files with "." for missing and read back."""
+    obs = cut_lineage(observations(spark, sf))
+    days = obs.select("obs_date").distinct()
+    parts = []
+    for name in ("payrolls", "yield_2y"):
+        path = scratch_path(spark, name)
+        # Dates without an observation are written as "." and must be dropped by the scan.
+        rows = days.join(obs.filter(F.col("series") == name), "obs_date", "left")
+        text = F.coalesce(F.col("value").cast("string"), F.lit("."))
+        rows.select(F.col("obs_date").alias("DATE"), text.alias("VALUE")).write.option("header", True).csv(path)
+        parts.append(macro_files.scan_series(spark, path, name))
+    return rounded(parts[0].unionByName(parts[1]), 8, "value")

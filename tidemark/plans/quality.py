@@ -415,14 +415,15 @@ def _manifests(spark, sf):
         F.when(F.col("o_custkey") % 50 == 1, "").otherwise(F.concat(F.lit("q/"), key)).alias("relative_path"),
         F.sha2(F.col("o_custkey").cast("string"), 256).alias("payload_sha256"),
     )
-    raw = raw.unionByName(raw.filter("record_id like '%77'"))
-    normalized = orders.filter("o_custkey % 40 <> 3").select(
+    again = orders.filter("o_orderpriority = '2-HIGH' and o_orderstatus = 'P'").select(key.alias("record_id"))
+    raw = raw.unionByName(raw.join(again, "record_id", "left_semi"))
+    normalized = orders.filter("o_totalprice < 450000").select(
         key.alias("raw_record_id"),
         F.concat(F.lit("n/"), key).alias("relative_path"),
         F.sha2(key, 256).alias("normalized_sha256"),
         F.sha2(F.when(F.col("o_custkey") % 30 == 2, F.lit("x")).otherwise(F.col("o_custkey").cast("string")), 256).alias("source_payload_sha256"),
     )
-    envelopes = orders.filter("o_custkey % 45 <> 4").select(
+    envelopes = orders.filter("o_totalprice > 20000").select(
         key.alias("record_id"),
         F.sha2(F.col("o_custkey").cast("string"), 256).alias("envelope_sha256"),
         F.sha2(F.when(F.col("o_custkey") % 35 == 5, F.lit("y")).otherwise(F.col("o_custkey").cast("string")), 256).alias("actual_sha256"),
@@ -435,13 +436,13 @@ def _manifests(spark, sf):
 
 
 _MANIFEST_SQL = """
-o as (select *, not (o_orderpriority = '5-LOW' and o_orderstatus = 'P') as in_raw, o_custkey % 40 <> 3 as in_norm from orders),
+o as (select *, not (o_orderpriority = '5-LOW' and o_orderstatus = 'P') as in_raw, o_totalprice < 450000 as in_norm from orders),
 issues as (
-  select o_orderkey, 'ERROR' as level, 'DUPLICATE_RAW_RECORD_ID' as code, 2 as count from o where in_raw and cast(o_orderkey as varchar) like '%77'
+  select o_orderkey, 'ERROR' as level, 'DUPLICATE_RAW_RECORD_ID' as code, 2 as count from o where o_orderpriority = '2-HIGH' and o_orderstatus = 'P'
   union all select o_orderkey, 'ERROR', 'RAW_PATH_MISSING', 1 from o where in_raw and o_custkey % 50 = 1
-  union all select o_orderkey, 'ERROR', 'RAW_FILE_MISSING', 1 from o where in_raw and o_custkey % 50 <> 1 and o_custkey % 45 = 4
+  union all select o_orderkey, 'ERROR', 'RAW_FILE_MISSING', 1 from o where in_raw and o_custkey % 50 <> 1 and not o_totalprice > 20000
   union all select o_orderkey, 'ERROR', 'RAW_PAYLOAD_HASH_MISMATCH', 1 from o
-            where in_raw and o_custkey % 50 <> 1 and o_custkey % 45 <> 4 and o_custkey % 35 = 5
+            where in_raw and o_custkey % 50 <> 1 and o_totalprice > 20000 and o_custkey % 35 = 5
   union all select o_orderkey, 'ERROR', 'NORMALIZED_WITHOUT_RAW', 1 from o where in_norm and not in_raw
   union all select o_orderkey, 'ERROR', 'NORMALIZED_HASH_MISMATCH', 1 from o where in_norm and o_custkey % 60 = 6
   union all select o_orderkey, 'ERROR', 'RAW_NORMALIZED_LINK_MISMATCH', 1 from o where in_norm and in_raw and o_custkey % 30 = 2

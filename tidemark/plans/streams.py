@@ -1 +1,52 @@
-"""Queries to come."""
+"""Queries that run a stream over the provided tables to completion and read its output."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.plans.catalog import register
+from tidemark.session import scratch_path
+from tidemark.sources import harness, harness_payloads
+from tidemark.streaming import ingest
+
+
+@register(
+    "stream_normalize",
+    """select 'quotes' as dataset, count(*) as n, count(distinct o_orderkey) as records from orders
+       union all select 'movers', count(*), count(distinct l_orderkey) from lineitem
+       union all select 'rejected', count(*), count(distinct event_id) from events where event_type in ('error', 'view')""",
+)
+def stream_normalize(spark, sf):
+    """Landed envelopes with repeats, read as a stream; each record is normalised once."""
+    landing, output = scratch_path(spark, "landing"), scratch_path(spark, "normalized")
+    quotes, movers = harness_payloads.quotes(spark, sf), harness_payloads.movers(spark, sf)
+    bad = harness_payloads.event_envelopes(spark, sf).filter("dataset is null or dataset = 'other'")
+    for part in (quotes.unionByName(movers), bad.unionByName(quotes)):
+        part.write.mode("append").json(landing)
+    ingest.stream_normalize(ingest.read_envelopes(spark, landing, max_files=8), output, scratch_path(spark, "offsets")).awaitTermination()
+    parts = [
+        spark.read.parquet(f"{output}/{name}").select(F.lit(name).alias("dataset"), F.col(key).alias("record"))
+        for name, key in (("quotes", "raw_record_id"), ("movers", "raw_record_id"), ("rejected", "record_id"))
+    ]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("record").alias("records"))
+
+
+@register(
+    "stream_append_history",
+    """select event_type, count(*) as events, count(distinct event_id) as keys, 0::bigint as conflicts from events group by event_type""",
+)
+def stream_append_history(spark, sf):
+    """Event batches that overlap by key, appended as a stream; history holds each key once."""
+    landing, path = scratch_path(spark, "batches"), scratch_path(spark, "stream-history")
+    events = harness.read(spark, sf, "events").select("event_id", "event_type", "user_id", "value", F.dayofmonth("ts").alias("day"))
+    for part in (events.filter("day <= 20"), events.filter("day >= 10")):
+        part.coalesce(2).write.mode("append").parquet(landing)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    ingest.stream_append_history(source, path, scratch_path(spark, "offsets"), ["event_id"]).awaitTermination()
+    return (
+        spark.read.parquet(path)
+        .groupBy("event_type")
+        .agg(F.count(F.lit(1)).alias("events"), F.countDistinct("event_id").alias("keys"))
+        .withColumn("conflicts", F.lit(int(ingest.table_exists(spark, f"{path}_conflicts"))).cast("long"))
+    )
