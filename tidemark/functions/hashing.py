@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEGMENTS, SEGMENT_DIGITS = 4, 15
+SEGMENTS, SEGMENT_DIGITS = 2, 15
 
 
 def record_hash(columns: list[str]) -> Column:

@@ -91,44 +91,75 @@ def prepare_contracts(contracts: DataFrame, spots: DataFrame, **policy) -> DataF
     )
 
 
+def feature_inputs(prepared: DataFrame, tie_break: tuple[str, ...] = ("contract_index",)) -> DataFrame:
+    """The columns that feature building reads; worth selecting before materialising a run."""
+    names = [
+        *KEYS, "put_call", "expiration_dte", "expiration_date", "spot", "volatility", "delta", "gamma", "theta", "vega",
+        "openInterest", "totalVolume", "relative_spread_pct", "canonical_extrinsic_value", "quote_age_minutes", "is_atm",
+        "is_zero_dte", "eligible_contract", *tie_break,
+    ]
+    return prepared.select(*dict.fromkeys(names))
+
+
 def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom)
 
 
 def _counts(prepared: DataFrame) -> DataFrame:
+    """Counts, ratios and totals in two levels: per expiration, then per symbol.
+
+    Distinct expirations become a count of first-level rows, so no row is
+    expanded per distinct set, and a symbol with most of the rows is reduced to
+    its expirations before the second shuffle.
+    """
     ok, atm = F.col("eligible_contract"), F.col("eligible_contract") & F.col("is_atm")
     call, put = ok & (F.col("put_call") == "CALL"), ok & (F.col("put_call") == "PUT")
     bucket = opt.feature_bucket(F.col("expiration_dte"))
-    n = F.count(F.lit(1))
+    counts = {"n": F.lit(True), "ok": ok, "zero": F.col("is_zero_dte"), "call": call, "put": put, "atm": atm}
+    counts |= {f"atm_{name}": atm & (bucket == name) for name in opt.BUCKETS}
+    sums = {f"{side}_{c}": F.when(test, F.col(c)) for side, test in (("call", call), ("put", put)) for c in ("openInterest", "totalVolume")}
+    per_expiration = prepared.groupBy(*KEYS, "expiration_date").agg(
+        *[F.count_if(test).alias(name) for name, test in counts.items()],
+        *[F.sum(value).alias(name) for name, value in sums.items()],
+        F.min(F.when(ok, F.col("expiration_dte"))).alias("dte_min"),
+        F.max(F.when(ok, F.col("expiration_dte"))).alias("dte_max"),
+        F.max("spot").alias("spot"),
+    )
+
+    def expirations(name: str) -> Column:
+        return F.count_if((F.col(name) > 0) & F.col("expiration_date").isNotNull())
 
-    def total(side: Column, column: str) -> Column:
-        return F.coalesce(F.sum(F.when(side, F.col(column))), F.lit(0.0))
+    def total(name: str) -> Column:
+        return F.coalesce(F.sum(name), F.lit(0.0))
+
+    def ratio(column: str) -> Column:
+        return _ratio(total(f"put_{column}"), total(f"call_{column}"))
 
     out = [
-        n.alias("contract_count_total"),
-        F.count_if(ok).alias("contract_count_eligible"),
-        (F.count_if(ok) / n).alias("eligible_contract_ratio"),
-        F.count_if("is_zero_dte").alias("zero_dte_contract_count"),
-        (F.count_if("is_zero_dte") / n).alias("zero_dte_contract_ratio"),
-        F.count_if(call).alias("eligible_call_count"),
-        F.count_if(put).alias("eligible_put_count"),
-        F.countDistinct(F.when(ok, F.col("expiration_date"))).alias("eligible_expiration_count"),
-        F.min(F.when(ok, F.col("expiration_dte"))).alias("eligible_dte_min"),
-        F.max(F.when(ok, F.col("expiration_dte"))).alias("eligible_dte_max"),
-        _ratio(total(put, "openInterest"), total(call, "openInterest")).alias("put_call_open_interest_ratio"),
-        _ratio(total(put, "totalVolume"), total(call, "totalVolume")).alias("put_call_volume_ratio"),
-        (total(call, "openInterest") + total(put, "openInterest")).alias("open_interest_total"),
-        (total(call, "totalVolume") + total(put, "totalVolume")).alias("option_volume_total"),
+        F.sum("n").alias("contract_count_total"),
+        F.sum("ok").alias("contract_count_eligible"),
+        (F.sum("ok") / F.sum("n")).alias("eligible_contract_ratio"),
+        F.sum("zero").alias("zero_dte_contract_count"),
+        (F.sum("zero") / F.sum("n")).alias("zero_dte_contract_ratio"),
+        F.sum("call").alias("eligible_call_count"),
+        F.sum("put").alias("eligible_put_count"),
+        expirations("ok").alias("eligible_expiration_count"),
+        F.min("dte_min").alias("eligible_dte_min"),
+        F.max("dte_max").alias("eligible_dte_max"),
+        ratio("openInterest").alias("put_call_open_interest_ratio"),
+        ratio("totalVolume").alias("put_call_volume_ratio"),
+        (total("call_openInterest") + total("put_openInterest")).alias("open_interest_total"),
+        (total("call_totalVolume") + total("put_totalVolume")).alias("option_volume_total"),
         F.max("spot").alias("spot"),
-        F.count_if(atm).alias("atm_contract_count"),
-        F.countDistinct(F.when(atm, F.col("expiration_date"))).alias("atm_expiration_count"),
+        F.sum("atm").alias("atm_contract_count"),
+        expirations("atm").alias("atm_expiration_count"),
     ]
     for name in opt.BUCKETS:
         out += [
-            F.count_if(atm & (bucket == name)).alias(f"atm_contract_count_{name}"),
-            F.countDistinct(F.when(atm & (bucket == name), F.col("expiration_date"))).alias(f"atm_expiration_count_{name}"),
+            F.sum(f"atm_{name}").alias(f"atm_contract_count_{name}"),
+            expirations(f"atm_{name}").alias(f"atm_expiration_count_{name}"),
         ]
-    return prepared.groupBy(*KEYS).agg(*out)
+    return per_expiration.groupBy(*KEYS).agg(*out)
 
 
 def atm_iv_by_bucket(prepared: DataFrame) -> DataFrame:

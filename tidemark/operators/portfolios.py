@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import stats
 from tidemark.operators import covariance, metrics, risk
+from tidemark.session import cut_lineage
 
 PORTFOLIO = ["portfolio_id"]
 
@@ -139,8 +140,8 @@ def benchmark_summary(returns: DataFrame, personal: DataFrame, optimizer: DataFr
 def blend_table(returns: DataFrame, personal: DataFrame, optimizer: DataFrame, alphas: list[float]) -> DataFrame:
     """Per portfolio and alpha: performance, distance from both books, risk shares and changes against personal."""
     key = ["portfolio_id", "alpha"]
-    blends = blend_weights(personal, optimizer, [0.0, 1.0, *alphas])
-    daily = portfolio_returns(returns, blends, key)
+    blends = cut_lineage(blend_weights(personal, optimizer, [0.0, 1.0, *alphas]))
+    daily = cut_lineage(portfolio_returns(returns, blends, key))
     perf = metrics.research_summary(daily, key, "session", "ret")
     rolling = metrics.worst_rolling_return(daily, key, "session", "ret")
     ends = daily.filter("alpha in (0.0, 1.0)").groupBy("portfolio_id", "session").agg(
@@ -172,7 +173,7 @@ def blend_table(returns: DataFrame, personal: DataFrame, optimizer: DataFrame, a
         .groupBy(*key)
         .agg(F.max(F.abs("risk_share")).alias("largest_absolute_risk_contribution"))
     )
-    table = perf.join(rolling, key).join(errors, key).join(shape, key).join(shares, key)
+    table = cut_lineage(perf.join(rolling, key).join(errors, key).join(shape, key).join(shares, key))
     base = table.filter("alpha = 0.0").select(
         "portfolio_id",
         F.col("annualized_return").alias("own_return"),

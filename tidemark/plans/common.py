@@ -66,11 +66,15 @@ def rule_weights(prices: DataFrame, rets: DataFrame, min_history: int = MIN_HIST
     )
 
 
-def rule_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(weights, period returns) of the rule-based models on the daily universe."""
+def rule_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(daily returns, weights, period returns) of the rule-based models on the daily universe."""
     prices = closes(spark, sf)
     rets = cut_lineage(returns.return_matrix(prices))
-    return cut_lineage(rule_weights(prices, rets)), cut_lineage(periods.period_returns(rets))
+    return rets, cut_lineage(rule_weights(prices, rets)), cut_lineage(periods.period_returns(rets))
+
+
+def rule_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return rule_tables(spark, sf)[1:]
 
 
 def rule_results(spark: SparkSession, sf: str, cost_bps=5.0) -> DataFrame:

@@ -92,10 +92,10 @@ def forward_horizon_labels(spark, sf):
     return rounded(horizon_table(spark, sf), 8, *_NUMBERS)
 
 
-def learning_table(spark, sf):
+def learning_table(spark, sf, results=None, rets=None):
     """Features joined with three-period labels, materialised once."""
-    features = feature_matrix(spark, sf)
-    return cut_lineage(labels.meta_dataset(features, horizon_table(spark, sf)))
+    features = feature_matrix(spark, sf, rets)
+    return cut_lineage(labels.meta_dataset(features, horizon_table(spark, sf, results)))
 
 
 LEARNING_SQL = f"""{RULE_RESULTS_SQL}, {HORIZON_SQL}, {FEATURES_SQL},

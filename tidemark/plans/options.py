@@ -235,7 +235,7 @@ FEATURES_SQL = f"{_SCOPED_SQL}, {_features_sql()}"
 
 
 def features(spark, sf):
-    return option_features.symbol_option_features(cut_lineage(prepared(spark, sf)), _TIE)
+    return option_features.symbol_option_features(cut_lineage(option_features.feature_inputs(prepared(spark, sf))), _TIE)
 
 
 @register(

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import metrics, ridge, selection
+from tidemark.operators import metrics, periods, ridge, selection
 from tidemark.plans.catalog import register
 from tidemark.plans.common import (
     SUMMARY_COLUMNS,
@@ -14,7 +14,7 @@ from tidemark.plans.common import (
     r,
     results_sql,
     rounded,
-    rule_inputs,
+    rule_tables,
     summary_sql,
 )
 from tidemark.plans.labels import LEARNING_SQL, learning_table
@@ -82,13 +82,13 @@ _FORECAST = f"with {LEARNING_SQL}, {forecast_sql('f', SETS['momentum'])}"
 _SELECTED = f"{_FORECAST}, {select_sql('f_forecast', 'selected')}"
 
 
-def _forecast(spark, sf):
-    design = learning_table(spark, sf)
+def _forecast(spark, sf, results=None, rets=None):
+    design = learning_table(spark, sf, results, rets)
     return design, cut_lineage(forecasts(design, SETS["momentum"]))
 
 
-def _selected(spark, sf):
-    design, rows = _forecast(spark, sf)
+def _selected(spark, sf, results=None, rets=None):
+    design, rows = _forecast(spark, sf, results, rets)
     return rows, selection.select_models(rows, design, CANDIDATES)
 
 
@@ -368,8 +368,9 @@ phased as (
 
 
 def _assignments(spark, sf):
-    chosen = cut_lineage(_selected(spark, sf)[1])
-    weights, realized = rule_inputs(spark, sf)
+    rets, weights, realized = rule_tables(spark, sf)
+    results = periods.strategy_period_results(weights, realized)
+    chosen = cut_lineage(_selected(spark, sf, results, rets)[1])
     parts = [selection.phase_schedule(chosen, p) for p in range(selection.HOLD)]
     decisions = reduce(lambda a, b: a.unionByName(b), parts)
     dates = weights.join(realized.select("universe_id", "rebalance_date").distinct(), ["universe_id", "rebalance_date"])

@@ -40,14 +40,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     """Materialise a result that several branches read: one pass over the source, safe against executor loss.
 
-    Meant for reduced tables (closes, weights, labels, predictions), which are
-    small next to the raw rows they come from.
+    The rows go to a Parquet table in the shared checkpoint folder. Unlike a
+    checkpointed RDD it is read back by column, filters reach its scan, and its
+    size is known, so joins with it can be broadcast when it is small. Meant for
+    reduced tables (closes, weights, labels, predictions).
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -130,13 +130,25 @@ def expiration_parts(key: Column) -> tuple[Column, Column]:
     return F.when(date != "", date), F.when(rest.isNotNull(), F.trim(whole).try_cast("int"))
 
 
-def _option_side(envelopes: DataFrame, map_key: str, side: str, record: str) -> DataFrame:
+def normalize_option_chain(envelopes: DataFrame, record: str = CONTRACT) -> DataFrame:
+    """Call and put maps: expiration to strike to contracts, one row per contract; one parse for both sides."""
     chain = T.MapType(T.StringType(), T.MapType(T.StringType(), T.ArrayType(_struct(record))))
-    schema = T.StructType([T.StructField("symbol", T.StringType()), T.StructField(map_key, chain)])
+    schema = T.StructType(
+        [
+            T.StructField("symbol", T.StringType()),
+            T.StructField("callExpDateMap", chain),
+            T.StructField("putExpDateMap", chain),
+        ]
+    )
+    sides = F.array(
+        F.struct(F.lit("CALL").alias("side"), F.col("p.callExpDateMap").alias("chain")),
+        F.struct(F.lit("PUT").alias("side"), F.col("p.putExpDateMap").alias("chain")),
+    )
     rows = (
         _of(envelopes, "option_chains")
         .withColumn("p", F.from_json("payload", schema))
-        .select("*", F.explode(f"p.{map_key}").alias("expiration_key", "strikes"))
+        .select(*PROVENANCE.values(), F.col("p.symbol").alias("chain_symbol"), F.explode(sides).alias("s"))
+        .select("*", F.explode("s.chain").alias("expiration_key", "strikes"))
         .select("*", F.explode("strikes").alias("strike_key", "contracts"))
         .select("*", F.posexplode("contracts").alias("contract_index", "record"))
     )
@@ -144,25 +156,19 @@ def _option_side(envelopes: DataFrame, map_key: str, side: str, record: str) ->
     return attach_provenance(
         rows,
         [
-            F.upper("p.symbol").alias("underlying_symbol"),
-            F.lit(side).alias("put_call"),
-            "expiration_key",
+            F.upper("chain_symbol").alias("underlying_symbol"),
+            F.col("s.side").alias("put_call"),
+            F.col("expiration_key"),
             date.alias("expiration_date"),
             dte.alias("expiration_dte"),
-            "strike_key",
+            F.col("strike_key"),
             F.col("strike_key").try_cast("double").alias("strike"),
-            "contract_index",
-            *[c for c in flatten_struct(_struct(record), "record")],
+            F.col("contract_index"),
+            *flatten_struct(_struct(record), "record"),
         ],
     )
 
 
-def normalize_option_chain(envelopes: DataFrame, record: str = CONTRACT) -> DataFrame:
-    """Call and put maps: expiration to strike to contracts, one row per contract."""
-    calls = _option_side(envelopes, "callExpDateMap", "CALL", record)
-    return calls.unionByName(_option_side(envelopes, "putExpDateMap", "PUT", record))
-
-
 def _indexed(envelopes: DataFrame, dataset: str, field: str, index: str, record: str) -> DataFrame:
     schema = T.StructType([T.StructField(field, T.ArrayType(_struct(record)))])
     rows = _of(envelopes, dataset).select("*", F.posexplode(F.from_json("payload", schema)[field]).alias(index, "record"))
