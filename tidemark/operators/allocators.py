@@ -296,7 +296,7 @@ def solved_weights(
         table = table.join(expected.select(*GROUP, F.col("asset").alias("asset_i"), "expected"), [*GROUP, "asset_i"])
     kinds = {f.name: f.dataType.simpleString() for f in cov.schema.fields}
 
-    def allocate(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def allocate(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         wide = rows.pivot(index="asset_i", columns="asset_j", values="cov").sort_index()
         assets = list(wide.index)
         matrix = wide[assets].to_numpy(dtype=float)

@@ -208,7 +208,7 @@ def spectrum(cov: DataFrame) -> DataFrame:
     keys = _keys(cov)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cov.select(*keys).schema.fields)
 
-    def measure(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def measure(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _, values = _matrix(rows)
         eig = np.linalg.eigvalsh((values + values.T) / 2)
         return pd.DataFrame(

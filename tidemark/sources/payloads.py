@@ -17,10 +17,11 @@ from tidemark.functions.nested import flatten_struct, json_digest
 DATASETS = (
     "quotes", "price_history", "option_chains", "expiration_chains", "movers", "market_hours", "instruments",
 )
-ENVELOPE = T.StructType.fromDDL(
-    "schema_version string, source string, dataset string, captured_at_utc string, record_id string, "
-    "request_sha256 string, payload_sha256 string, request string, payload string"
+ENVELOPE_FIELDS = (
+    "schema_version", "source", "dataset", "captured_at_utc", "record_id", "request_sha256", "payload_sha256", "request",
+    "payload",
 )
+ENVELOPE = T.StructType([T.StructField(name, T.StringType()) for name in ENVELOPE_FIELDS])
 REQUIRED = [
     "schema_version", "dataset", "captured_at_utc", "record_id", "request_sha256", "payload_sha256", "request", "payload",
 ]
