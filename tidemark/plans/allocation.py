@@ -89,6 +89,20 @@ def two_asset_allocation(spark, sf):
     return rounded(allocators.solved_weights(cov, expected, high=_PAIR_CAP), 6, "weight")
 
 
+@register(
+    "two_asset_spectrum",
+    f"""with {_TWO_ASSET_SQL},
+    e as (
+      select universe_id, as_of, (c11 + c22) / 2 - sqrt(pow((c11 - c22) / 2, 2) + c12 * c12) as low,
+             (c11 + c22) / 2 + sqrt(pow((c11 - c22) / 2, 2) + c12 * c12) as high from cov)
+    select universe_id, as_of, {r("low", 8, "smallest_eigenvalue")}, {r("high", 8, "largest_eigenvalue")},
+           {r("high / low", 5, "condition_number")} from e""",
+)
+def two_asset_spectrum(spark, sf):
+    rows = covariance.spectrum(_two_asset(spark, sf)[0])
+    return rounded(rounded(rows, 8, "smallest_eigenvalue", "largest_eigenvalue"), 5, "condition_number")
+
+
 @register(
     "allocation_equal_weight",
     f"""with {_TWO_ASSET_SQL}, a as (select distinct universe_id, as_of, asset from pair_weights)
@@ -161,6 +175,55 @@ def walk_forward_weights(spark, sf):
     return rounded(walk_forward.walk_forward_weights(rets), 8, "weight")
 
 
+# A solver cannot run in SQL, but the conditions an optimum must meet can be counted: none may be broken.
+_EXPECTED_DATES_SQL = f"""with {DAILY_SQL},
+ends as (select universe_id, max(session) as as_of from returns group by universe_id, date_trunc('month', session)),
+eligible as (
+  select e.universe_id, e.as_of from ends e join returns r on r.universe_id = e.universe_id and r.session <= e.as_of
+  group by all having count(distinct session) >= 756),
+models as (select unnest(['equal_weight', 'minimum_variance', 'risk_parity', 'hrp', 'risk_consensus', 'maximum_sharpe']) as model)
+select model, count(distinct as_of) as dates, 0::bigint as unbalanced, 0::bigint as outside_bounds, 0::bigint as not_optimal
+from eligible, models group by model"""
+
+
+@register("walk_forward_optimality", _EXPECTED_DATES_SQL)
+def walk_forward_optimality(spark, sf):
+    """Dates per model and how many break the sum, the bounds or the first-order conditions.
+
+    minimum_variance: equal marginal variance inside the bounds, no lower one
+    at the cap's outside and no higher one at the floor's. risk_parity: equal
+    risk shares while no bound binds.
+    """
+    rets = cut_lineage(daily(spark, sf))
+    weights = cut_lineage(walk_forward.walk_forward_weights(rets))
+    cov = covariance.shrunk_from_sums(covariance.expanding_pair_sums(rets, walk_forward.MIN_TRAINING)).drop("shrinkage")
+    keys = ["universe_id", "as_of", "model"]
+    shares = risk.risk_contributions(weights, cov, keys)
+    cap = walk_forward.MAX_WEIGHT
+    inside = (F.col("weight") > 1e-9) & (F.col("weight") < cap - 1e-9)
+    level = F.avg(F.when(inside, F.col("marginal_risk"))).over(Window.partitionBy(*keys))
+    slack = 1e-6 * F.abs("level")
+    gap = F.col("marginal_risk") - F.col("level")
+    bent = (
+        F.when(F.col("model") == "minimum_variance", F.when(inside, F.abs(gap) > slack).when(F.col("weight") <= 1e-9, gap < -slack).otherwise(gap > slack))
+        .when(F.col("model") == "risk_parity", F.abs(F.col("risk_share") - 0.2) > 1e-6)
+        .otherwise(False)
+    )
+    limit = F.when(F.col("model").isin("hrp", "risk_consensus"), 1.0).otherwise(cap)
+    checked = shares.withColumn("level", level).withColumns(
+        {"bent": F.coalesce(bent, F.lit(False)), "out": (F.col("weight") < -1e-12) | (F.col("weight") > limit + 1e-9)}
+    )
+    per_date = checked.groupBy(*keys).agg(
+        F.sum("weight").alias("total"), F.count_if("bent").alias("bent"), F.count_if("out").alias("out")
+    )
+    return per_date.groupBy("model").agg(
+        F.countDistinct("as_of").alias("dates"),
+        F.count_if(F.abs(F.col("total") - 1.0) > 1e-9).alias("unbalanced"),
+        F.count_if(F.col("out") > 0).alias("outside_bounds"),
+        F.count_if(F.col("bent") > 0).alias("not_optimal"),
+    )
+
+
 @register("walk_forward")
 def walk_forward_results(spark, sf):
     rets = cut_lineage(daily(spark, sf))
