@@ -33,6 +33,16 @@ def duplicate_keys(table: DataFrame, keys: list[str]) -> DataFrame:
     return table.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
 
+def same_partitions(existing: DataFrame, incoming: DataFrame, partition_by: list[str] | None) -> DataFrame:
+    """History restricted to the partitions a batch touches; the semi-join prunes the scan at run time.
+
+    The partition columns must be part of the key, so no match can lie elsewhere.
+    """
+    if not partition_by:
+        return existing
+    return existing.join(incoming.select(*partition_by).distinct(), partition_by, "left_semi")
+
+
 def new_rows(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     return incoming.join(existing.select(*keys), keys, "left_anti")
 
@@ -87,8 +97,12 @@ def idempotent_append(
     """Append unseen keys to a Parquet table; overlapping keys must match.
 
     ``fields`` names the immutable columns of a ledger; by default every
-    non-key column is compared. Only counts and one sample key reach the driver.
+    non-key column is compared. With ``partition_by`` (key columns) a batch
+    reads only the partitions it touches. Only counts and one sample key reach
+    the driver.
     """
+    if partition_by and not set(partition_by) <= set(keys):
+        raise ValueError("partition columns must belong to the key")
     spark = incoming.sparkSession
     total = incoming.count()
     if dry_run:
@@ -101,6 +115,7 @@ def idempotent_append(
         existing = spark.read.parquet(path)
         if existing.columns != incoming.columns and sorted(existing.columns) != sorted(incoming.columns):
             raise HistoryConflict(f"columns differ: {sorted(set(existing.columns) ^ set(incoming.columns))}")
+        existing = same_partitions(existing, incoming, partition_by)
         clash = conflicts(existing, incoming, keys, fields, tolerance).first()
         if clash is not None:
             raise HistoryConflict(f"existing key has different content: {clash.asDict()}")

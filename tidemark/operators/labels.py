@@ -88,12 +88,13 @@ def join_tables(left: DataFrame, right: DataFrame, keys: list[str] | None = None
 def join_checks(left: DataFrame, right: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
     """Counts that must be zero for the join to be whole: dates without a match and missing values."""
     keys = keys or DATE
-    lost = left.join(right.select(*keys), keys, "left_anti").agg(F.count(F.lit(1)).alias("lost_rows"))
     missing = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("long") for c in columns], F.lit(0).cast("long"))
-    joined = join_tables(left, right, keys).agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(missing), F.lit(0)).alias("missing_values")
+    joined = left.join(right.withColumn("matched", F.lit(True)), keys, "left")
+    return joined.agg(
+        F.count("matched").alias("rows"),
+        F.coalesce(F.sum(F.when(F.col("matched"), missing)), F.lit(0)).alias("missing_values"),
+        F.count_if(F.col("matched").isNull()).alias("lost_rows"),
     )
-    return joined.crossJoin(lost)
 
 
 def meta_dataset(features: DataFrame, labels: DataFrame, macro: DataFrame | None = None) -> DataFrame:

@@ -130,7 +130,6 @@ def feature_describe(features: DataFrame, keys: list[str], columns: list[str]) -
 def class_balance(labels: DataFrame, column: str = "best_model") -> DataFrame:
     """Rows and share per class value."""
     counts = labels.groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
-    total = counts.agg(F.sum("rows").alias("all_rows"))
-    return counts.crossJoin(F.broadcast(total)).select(
-        column, "rows", (F.col("rows") / F.col("all_rows")).alias("share")
-    )
+    # One row per class by now.
+    every = F.sum("rows").over(Window.partitionBy(F.lit(0)))
+    return counts.withColumn("share", F.col("rows") / every)

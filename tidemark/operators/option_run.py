@@ -22,4 +22,4 @@ def build_option_features(contracts: DataFrame, quotes: DataFrame, tie_break: li
 def append_option_history(masked: DataFrame, captured_at: str, path: str, dry_run: bool = False) -> history.AppendReport:
     """Add the masked features of a capture to the history table, one row per history key."""
     rows = masked.withColumn("capture_timestamp_utc", F.lit(captured_at))
-    return history.idempotent_append(path, rows, history.OPTION_HISTORY_KEY, dry_run=dry_run)
+    return history.idempotent_append(path, rows, history.OPTION_HISTORY_KEY, dry_run=dry_run, partition_by=["run_id"])

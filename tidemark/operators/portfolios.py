@@ -104,12 +104,13 @@ def benchmark_summary(returns: DataFrame, personal: DataFrame, optimizer: DataFr
     """One row per portfolio: its own book against the optimizer's, an equal weight book and one symbol."""
     key = ["portfolio_id"]
     equal = optimizer.withColumn("weight", F.lit(1.0))
-    books = {"personal": personal, "optimizer": optimizer, "equal_weight": equal}
+    single = personal.select(*key).distinct().withColumns({"asset": F.lit(benchmark), "weight": F.lit(1.0)})
+    books = {"personal": personal, "optimizer": optimizer, "equal_weight": equal, "benchmark": single}
     stacked = None
     for name, book in books.items():
         tagged = normalize_weights(book).withColumn("book", F.lit(name)).select(*key, "book", "asset", "weight")
         stacked = tagged if stacked is None else stacked.unionByName(tagged)
-    daily = portfolio_returns(returns, stacked, ["portfolio_id", "book"])
+    daily = cut_lineage(portfolio_returns(returns, stacked, ["portfolio_id", "book"]))
     risk_rows = metrics.research_summary(daily, ["portfolio_id", "book", "universe_id"], "session", "ret")
     wide = (
         risk_rows.groupBy(*key)
@@ -118,9 +119,6 @@ def benchmark_summary(returns: DataFrame, personal: DataFrame, optimizer: DataFr
     )
     own = daily.filter("book = 'personal'").drop("book")
     other = daily.filter("book = 'optimizer'").drop("book")
-    symbol = returns.filter(F.col("asset") == benchmark).agg(
-        stats.annualized_volatility("ret", stats.TRADING_DAYS).alias("benchmark_volatility")
-    )
 
     def held(book: DataFrame, prefix: str) -> DataFrame:
         return concentration(book).withColumnsRenamed(
@@ -128,12 +126,11 @@ def benchmark_summary(returns: DataFrame, personal: DataFrame, optimizer: DataFr
         )
 
     return (
-        wide.drop("equal_weight_max_drawdown")
+        wide.drop("equal_weight_max_drawdown", "benchmark_max_drawdown")
         .join(held(personal, "personal"), key)
         .join(held(optimizer, "optimizer"), key)
         .join(tracking_error(own, other, ["portfolio_id", "universe_id"]).drop("universe_id"), key)
         .join(compare_weights(personal, optimizer), key)
-        .crossJoin(F.broadcast(symbol))
     )
 
 

@@ -53,10 +53,8 @@ def restrict_to_run(spark, sf):
     artifact = F.struct(
         F.concat(F.lit("quotes-"), F.col("o_orderkey").cast("string")).alias("record_id"), F.lit("quotes").alias("dataset")
     )
-    # A summary lists one capture session; the customer keeps each list short.
-    summary = orders.groupBy(
-        F.concat(F.lit("run-"), F.col("o_orderpriority")).alias("run_id"), "o_custkey"
-    ).agg(F.collect_list(artifact).alias("artifacts"))
+    # A run's list may be cut into any number of rows; here every row lists one artifact.
+    summary = orders.select(F.concat(F.lit("run-"), F.col("o_orderpriority")).alias("run_id"), F.array(artifact).alias("artifacts"))
     kept = payloads.restrict_to_run(harness_payloads.quotes(spark, sf), summary)
     return kept.select("run_id", "record_id", "dataset")
 

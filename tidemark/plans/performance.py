@@ -21,6 +21,7 @@ from tidemark.plans.common import (
     rule_results,
     summary_sql,
 )
+from tidemark.plans.market_features import ASSETS
 from tidemark.sources import harness
 
 _KEYS = "universe_id, model"
@@ -141,7 +142,8 @@ paired as (
 
 def optimizer_book(rets, personal):
     inverse = rets.groupBy("asset").agg((1.0 / F.var_samp("ret")).alias("weight"))
-    return personal.select("portfolio_id").distinct().crossJoin(F.broadcast(inverse))
+    slots = personal.select("portfolio_id").distinct().withColumn("asset", F.explode(F.array(*[F.lit(a) for a in ASSETS])))
+    return slots.join(inverse, "asset").select("portfolio_id", "asset", "weight")
 
 
 @register(

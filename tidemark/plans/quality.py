@@ -291,7 +291,7 @@ def option_feature_run(spark, sf):
     issues = validation.validate_options(_options(spark, sf))
     table = features(spark, sf)
     gate = validation.gated_runs(issues, table).filter("status <> 'FAIL'").select("run_id", "status")
-    kept = table.join(F.broadcast(gate), "run_id")
+    kept = table.join(gate, "run_id")
     return rounded(kept, 6, "iv_median").select(
         "run_id", "underlying_symbol", "contract_count_total", "contract_count_eligible", "iv_median", "status"
     )
@@ -458,27 +458,28 @@ def verify_hashes(spark, sf):
 
 
 def _summary(spark, sf):
-    """One run per customer; a run lists its own orders."""
+    """One run per order; a run lists the artifact of its own order."""
     key = F.col("o_orderkey").cast("string")
     artifact = F.struct(
         F.when(F.col("o_orderstatus") == "P", "odd").otherwise("quotes").alias("dataset"),
         F.col("o_orderpriority").alias("scope"),
         key.alias("raw_record_id"),
-        F.when(F.col("o_orderkey") % 90 == 8, F.lit("other")).otherwise(key).alias("normalized_record_id"),
+        F.when(F.col("o_totalprice") < 15000, F.lit("other")).otherwise(key).alias("normalized_record_id"),
         F.concat(F.lit("n/"), key).alias("relative_path"),
     )
-    return harness.read(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("run_id")).agg(
-        F.collect_list(artifact).alias("artifacts"), (F.count(F.lit(1)) + (F.max("o_custkey") % 20 == 9).cast("int")).alias("artifact_count")
+    extra = F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", 1).otherwise(0)
+    return harness.read(spark, sf, "orders").select(
+        key.alias("run_id"), F.array(artifact).alias("artifacts"), (F.lit(1) + extra).alias("artifact_count")
     )
 
 
 _RUN_SQL = f"""{_MANIFEST_SQL},
 run_issues as (
-  select o_custkey, 'ERROR' as level, 'RUN_ARTIFACT_COUNT_MISMATCH' as code, 1 as count from o where o_custkey % 20 = 9 group by o_custkey
-  union all select o_custkey, 'ERROR', 'RUN_RAW_RECORD_MISSING', count(*) from o where not in_raw group by o_custkey
-  union all select o_custkey, 'ERROR', 'RUN_NORMALIZED_RECORD_MISSING', count(*) from o where not in_norm or o_orderkey % 90 = 8 group by o_custkey
-  union all select o_custkey, 'ERROR', 'RUN_RAW_NORMALIZED_ID_MISMATCH', count(*) from o where o_orderkey % 90 = 8 group by o_custkey
-  union all select o_custkey, 'WARNING', 'UNKNOWN_RUN_DATASET', count(*) from o where o_orderstatus = 'P' group by o_custkey)"""
+  select o_orderkey, 'ERROR' as level, 'RUN_ARTIFACT_COUNT_MISMATCH' as code, 1 as count from o where o_orderpriority = '4-NOT SPECIFIED'
+  union all select o_orderkey, 'ERROR', 'RUN_RAW_RECORD_MISSING', 1 from o where not in_raw
+  union all select o_orderkey, 'ERROR', 'RUN_NORMALIZED_RECORD_MISSING', 1 from o where not in_norm or o_totalprice < 15000
+  union all select o_orderkey, 'ERROR', 'RUN_RAW_NORMALIZED_ID_MISMATCH', 1 from o where o_totalprice < 15000
+  union all select o_orderkey, 'WARNING', 'UNKNOWN_RUN_DATASET', 1 from o where o_orderstatus = 'P')"""
 
 
 def _run_issues(spark, sf):
@@ -489,7 +490,7 @@ def _run_issues(spark, sf):
 
 @register(
     "audit_run",
-    f"with {_RUN_SQL} select cast(o_custkey as varchar) as run_id, level, code, count::bigint as count from run_issues",
+    f"with {_RUN_SQL} select cast(o_orderkey as varchar) as run_id, level, code, count::bigint as count from run_issues",
 )
 def audit_run(spark, sf):
     return _run_issues(spark, sf)[1]
@@ -497,11 +498,11 @@ def audit_run(spark, sf):
 
 @register(
     "audit_status",
-    f"""with {_RUN_SQL}, runs as (select distinct o_custkey from orders)
-    select cast(o_custkey as varchar) as run_id, count(*) filter (level = 'ERROR') as error_count,
+    f"""with {_RUN_SQL}, runs as (select o_orderkey from orders)
+    select cast(o_orderkey as varchar) as run_id, count(*) filter (level = 'ERROR') as error_count,
            count(*) filter (level = 'WARNING') as warning_count,
            case when count(*) filter (level = 'ERROR') = 0 then 'PASS' else 'FAIL' end as status
-    from runs left join run_issues using (o_custkey) group by o_custkey""",
+    from runs left join run_issues using (o_orderkey) group by o_orderkey""",
 )
 def audit_status(spark, sf):
     summary, issues = _run_issues(spark, sf)
@@ -510,7 +511,7 @@ def audit_status(spark, sf):
 
 @register(
     "run_totals",
-    """select cast(o_custkey as varchar) as run_id, case when o_orderstatus = 'P' then 'odd' else 'quotes' end as dataset,
+    """select cast(o_orderkey as varchar) as run_id, case when o_orderstatus = 'P' then 'odd' else 'quotes' end as dataset,
               count(*) as artifacts, coalesce(sum(n), 0)::bigint as rows
        from orders left join (select l_orderkey, count(*) as n from lineitem group by all) on l_orderkey = o_orderkey group by all""",
 )

@@ -12,6 +12,7 @@ from tidemark.session import cut_lineage
 from tidemark.sources import harness
 
 _COST = 5.0
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 # Allocation of an account: equal weights over priorities 1-4 of the book, nothing for the fifth;
 # a customer with a negative balance allocates to three assets only.
@@ -43,14 +44,14 @@ def _targets(spark, sf):
     weight = F.when(rank == 5, 0.0).when(rank == 4, 0.00002).otherwise((1 - 0.00002) / 3)
     customer = harness.read(spark, sf, "customer")
     accounts = customer.select(F.col("c_custkey").alias("account_id"))
-    # Five reference prices: one per priority.
     allocation = (
         customer.select(F.col("c_custkey").alias("account_id"), "c_acctbal")
-        .crossJoin(F.broadcast(prices))
+        .withColumn("asset", F.explode(F.array(*[F.lit(p) for p in PRIORITIES])))
+        .join(prices, "asset")
         .filter(~((F.col("c_acctbal") < 0) & (rank > 3)))
         .select("account_id", F.col("asset").alias("symbol"), rank.alias("scanner_rank"), F.col("price").alias("close"), weight.alias("target_weight"))
     )
-    positions = harness.positions(spark, sf).join(F.broadcast(prices), "asset").select(
+    positions = harness.positions(spark, sf).join(prices, "asset").select(
         "account_id", F.col("asset").alias("symbol"), F.col("shares").alias("current_position"), F.col("price").alias("reference_price")
     )
     capital = accounts.withColumn("portfolio_capital", (100000 + F.col("account_id") * 10).cast("double"))
@@ -131,7 +132,7 @@ def _plan(spark, sf):
     prices = harness.reference_prices(spark, sf)
     customer = harness.read(spark, sf, "customer")
     cash = customer.select(F.col("c_custkey").alias("account_id"), (F.greatest("c_acctbal", F.lit(0.0)) / 1000).alias("cash"))
-    names = F.array(*[F.lit(p) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")])
+    names = F.array(*[F.lit(p) for p in PRIORITIES])
     targets = customer.select(
         F.col("c_custkey").alias("account_id"), F.explode(names).alias("asset"), F.lit(0.2).alias("target_weight")
     )
@@ -188,11 +189,12 @@ def repair_cash(spark, sf):
 )
 def plan_invariants(spark, sf):
     plan = cut_lineage(_plan(spark, sf))
-    violations = rebalance.plan_violations(plan).agg(
+    accounts = plan.select("account_id").distinct()
+    return accounts.join(rebalance.plan_violations(plan), "account_id", "left").agg(
+        F.countDistinct("account_id").alias("accounts"),
         F.count_if(F.col("violation") == "VALUE_NOT_CONSERVED").alias("broken"),
         F.count_if(F.col("violation") == "NEGATIVE_CASH").alias("negative"),
     )
-    return plan.agg(F.countDistinct("account_id").alias("accounts")).crossJoin(F.broadcast(violations))
 
 
 _HEADER = {

@@ -19,6 +19,7 @@ from tidemark.plans.common import (
     rounded,
     rule_inputs,
 )
+from tidemark.plans.market_features import ASSETS
 from tidemark.sources import harness
 
 _MATRIX = f"with {DAILY_SQL}"
@@ -291,7 +292,8 @@ def portfolio_returns(spark, sf):
 def blend_weights(spark, sf):
     personal = portfolios.normalize_weights(harness.weights(spark, sf))
     optimizer = personal.filter("portfolio_id = 'P0'").select("asset", "weight")
-    every = personal.select("portfolio_id").distinct().crossJoin(F.broadcast(optimizer))
+    slots = personal.select("portfolio_id").distinct().withColumn("asset", F.explode(F.array(*[F.lit(a) for a in ASSETS])))
+    every = slots.join(optimizer, "asset").select("portfolio_id", "asset", "weight")
     return rounded(portfolios.blend_weights(personal, every, [0.0, 0.25, 0.5, 0.75, 1.0]), 8, "weight")
 
 

@@ -283,17 +283,17 @@ _DIAGNOSTICS = [
 
 @register(
     "feature_set_diagnostics",
-    f"""{_SETS_SQL}, {ic_sql("all_forecasts", "feature_set, model", "ic")},
+    f"""{_SETS_SQL}, {ic_sql("all_forecasts", "feature_set, universe_id, model", "ic")},
     m as (
-      select feature_set, model, {_PREDICTION_SQL}, count(*) filter (predicted > 0) as predicted_positive_count,
+      select feature_set, universe_id, model, {_PREDICTION_SQL}, count(*) filter (predicted > 0) as predicted_positive_count,
              avg(actual) filter (predicted > 0) as mean_realized_excess_when_positive,
              avg((actual > 0)::double) filter (predicted > 0) as positive_prediction_win_rate
-      from all_forecasts group by feature_set, model)
-    select feature_set, model, observations, predicted_positive_count, {", ".join(r(c, 6) for c in _DIAGNOSTICS)}
-    from m join ic using (feature_set, model)""",
+      from all_forecasts group by feature_set, universe_id, model)
+    select feature_set, universe_id, model, observations, predicted_positive_count, {", ".join(r(c, 6) for c in _DIAGNOSTICS)}
+    from m join ic using (feature_set, universe_id, model)""",
 )
 def feature_set_diagnostics(spark, sf):
-    rows = selection.feature_set_diagnostics(_set_forecasts(spark, sf)[1], ["feature_set", "model"])
+    rows = selection.feature_set_diagnostics(_set_forecasts(spark, sf)[1], ["feature_set", "universe_id", "model"])
     return rounded(rows, 6, *_DIAGNOSTICS)
 
 
@@ -306,20 +306,20 @@ _SUMMARY = [
 @register(
     "selector_summary",
     f"""{_SETS_SQL}, {select_sql("all_forecasts", "chosen", ", feature_set")}
-    select feature_set, count(*) as oos_predictions, min(rebalance_date) as first_prediction,
+    select feature_set, universe_id, count(*) as oos_predictions, min(rebalance_date) as first_prediction,
       max(rebalance_date) as last_prediction, {r("avg((selected_model = actual_best_model)::double)", 8, "selection_accuracy")},
       {r("avg((selected_model <> 'equal_weight')::double)", 8, "active_rate")},
       {r("avg((selected_realized_excess > 0)::double) filter (selected_model <> 'equal_weight')", 8, "active_win_rate")},
       {r("avg(selected_realized_excess) filter (selected_model <> 'equal_weight')", 8, "mean_active_excess")},
       {r("avg(selected_realized_excess)", 8, "mean_selected_excess")},
       {r("median(selected_realized_excess)", 8, "median_selected_excess")}
-    from chosen group by feature_set""",
+    from chosen group by feature_set, universe_id""",
 )
 def selector_summary(spark, sf):
     design, rows = _set_forecasts(spark, sf)
     keys = ["universe_id", "rebalance_date", "feature_set"]
     chosen = selection.select_models(rows, design, CANDIDATES, keys=keys)
-    return rounded(selection.selector_summary(chosen, ["feature_set"]), 8, *_SUMMARY)
+    return rounded(selection.selector_summary(chosen, ["feature_set", "universe_id"]), 8, *_SUMMARY)
 
 
 @register(

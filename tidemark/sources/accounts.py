@@ -137,7 +137,7 @@ def account_snapshot(accounts: DataFrame, quotes: DataFrame, universe: list[str]
     )
     holdings = (
         grid.join(held, ["account_id", "symbol"], "left")
-        .join(F.broadcast(last), "symbol", "left")
+        .join(last, "symbol", "left")
         .select("account_id", F.col("symbol").alias("asset"), F.coalesce("shares", F.lit(0.0)).alias("shares"), "price", "quoted_at")
     )
     header = accounts.select("account_id", cash.alias("cash")).join(

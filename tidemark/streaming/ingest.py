@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.history import conflicts, new_rows, table_exists
+from tidemark.operators.history import conflicts, new_rows, same_partitions, table_exists
 from tidemark.sources.payloads import ENVELOPE, NORMALIZERS, split_envelopes
 
 
@@ -71,28 +71,34 @@ def stream_normalize(
 
 
 def stream_append_history(
-    incoming: DataFrame, path: str, checkpoint: str, keys: list[str], available_now: bool = True
+    incoming: DataFrame, path: str, checkpoint: str, keys: list[str], available_now: bool = True,
+    partition_by: list[str] | None = None,
 ) -> StreamingQuery:
     """Append rows with unseen keys; repeats must match the stored row, late or not.
 
     A conflicting repeat is kept aside below ``path``_conflicts and never
     overwrites history. Within a batch one row per key survives: the smallest
-    by all columns, chosen by an aggregate.
+    by all columns, chosen by an aggregate. ``partition_by`` (key columns) lays
+    the table out so that a batch reads only the partitions it touches.
     """
 
+    def save(rows: DataFrame) -> None:
+        writer = rows.write.mode("append")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         rest = [c for c in batch.columns if c not in keys]
         one = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*").select(*batch.columns).persist()
         try:
             if not table_exists(spark, path):
-                one.write.mode("append").parquet(path)
+                save(one)
                 return
-            existing = spark.read.parquet(path)
+            existing = same_partitions(spark.read.parquet(path), one, partition_by)
             clash = conflicts(existing, one, keys)
             if not clash.isEmpty():
                 clash.write.mode("append").parquet(f"{path}_conflicts")
-            new_rows(existing, one, keys).write.mode("append").parquet(path)
+            save(new_rows(existing, one, keys))
         finally:
             one.unpersist()
 
