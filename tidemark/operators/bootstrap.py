@@ -39,7 +39,10 @@ def draw(iteration: Column, block: Column, seed: int | Column, n: Column) -> Col
 def resample(rows: DataFrame, columns: list[str], iterations: int, block_length: int, seed: int | Column) -> DataFrame:
     """Every iteration's positions and resampled series."""
     blocks = F.ceil(F.col("n") / block_length).cast("int")
-    spread = rows.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).repartition("iteration")
+    # Few bytes but much arithmetic per row: a fixed count keeps adaptive execution from folding the tasks into one.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = rows.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    spread = copies.repartition(tasks, "iteration")
     starts = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: draw(F.col("iteration"), b, seed, F.col("n")))
     offsets = F.sequence(F.lit(0), F.lit(block_length - 1))
     runs = F.transform(starts, lambda s: F.transform(offsets, lambda o: (s + o) % F.col("n")))
