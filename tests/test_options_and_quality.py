@@ -188,3 +188,41 @@ def test_option_run_is_gated_and_appended_once(spark, day, tmp_path):
     path = str(tmp_path / "history")
     assert option_run.append_option_history(masked, CAPTURED, path).status == "APPENDED"
     assert option_run.append_option_history(masked, CAPTURED, path).status == "EXISTS"
+
+
+def test_manifest_and_run_codes(spark):
+    raw = spark.createDataFrame([(k, f"q/{k}", "h") for k in "abcde"], "record_id string, relative_path string, payload_sha256 string")
+    normalized = spark.createDataFrame(
+        [(k, f"n/{k}", "t", "h") for k in "abcd"], "raw_record_id string, relative_path string, normalized_sha256 string, source_payload_sha256 string"
+    )
+    envelopes = spark.createDataFrame(
+        [("a", "h", "h", True, "a"), ("b", "h", "h", True, "z"), ("c", None, None, False, None), ("d", "h", None, True, "d")],
+        "record_id string, envelope_sha256 string, actual_sha256 string, readable boolean, envelope_record_id string",
+    )
+    tables = spark.createDataFrame([(k, "t") for k in "abc"], "raw_record_id string, actual_sha256 string")
+    codes = sorted((r.record_id, r.code) for r in audit.verify_manifests(raw, normalized, envelopes, tables).collect())
+    assert codes == [
+        ("b", "RAW_RECORD_ID_MISMATCH"), ("c", "RAW_FILE_INVALID"), ("d", "NORMALIZED_FILE_MISSING"), ("d", "RAW_PAYLOAD_INVALID"),
+        ("e", "RAW_FILE_MISSING"), ("e", "RAW_NOT_NORMALIZED"),
+    ]
+    artifact = "struct<dataset: string, scope: string, raw_record_id: string, normalized_record_id: string, relative_path: string>"
+    summary = spark.createDataFrame(
+        [("run", 5, [("quotes", "s", "a", "a", "n/a"), ("quotes", "s", "d", "d", "n/d"), ("quotes", "s", None, "a", "n/a"), None])],
+        f"run_id string, artifact_count int, artifacts array<{artifact}>",
+    )
+    found = {r.code: r["count"] for r in audit.audit_run(summary, raw, normalized, ["quotes"], tables).collect()}
+    assert found == {
+        "RUN_ARTIFACT_COUNT_MISMATCH": 1, "RUN_ARTIFACT_INVALID": 1, "RUN_ARTIFACT_PROVENANCE_INVALID": 1, "RUN_NORMALIZED_FILE_MISSING": 1,
+    }
+    assert audit.unsummarised_captures(raw, summary).isEmpty()
+    assert audit.unsummarised_captures(raw, summary.filter("false")).first().code == "NO_CAPTURE_RUN_SUMMARY"
+
+
+def test_schema_and_empty_codes(spark):
+    quotes = spark.createDataFrame([("R", "SPY")], "run_id string, symbol string")
+    assert audit.required_columns(quotes, ["run_id"], "quotes").first().code == "MISSING_COLUMNS"
+    assert audit.required_columns(quotes.withColumn("raw_record_id", F.lit("r")), ["run_id"], "quotes").isEmpty()
+    runs = spark.createDataFrame([("R",), ("S",)], "run_id string")
+    assert [r.run_id for r in validation.empty_dataset(runs, quotes, "quotes").collect()] == ["S"]
+    assert validation.price_history_columns(quotes).first().code == "PRICE_HISTORY_REQUIRED_COLUMNS_MISSING"
+    assert validation.price_history_columns(quotes.withColumn("datetime_utc", F.lit("x"))) is None

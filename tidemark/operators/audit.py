@@ -56,8 +56,13 @@ def empty_scopes(scopes: DataFrame, table: DataFrame, keys: list[str], level: st
     )
 
 
-def missing_columns(table: DataFrame, required: list[str]) -> list[str]:
-    return [c for c in required if c not in table.columns]
+def required_columns(table: DataFrame, keys: list[str], dataset: str) -> DataFrame:
+    """MISSING_COLUMNS per scope of a table whose schema lacks columns of its dataset."""
+    gone = [c for c in REQUIRED_COLUMNS.get(dataset, []) if c not in table.columns]
+    scopes = table.select(*keys).distinct().filter(F.lit(bool(gone)))
+    return scopes.select(
+        *keys, F.lit(ERROR).alias("level"), F.lit("MISSING_COLUMNS").alias("code"), F.lit(len(gone)).cast("long").alias("count")
+    )
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -167,7 +172,8 @@ def verify_manifests(raw: DataFrame, normalized: DataFrame, envelopes: DataFrame
 
     ``raw``: record_id, relative_path, payload_sha256. ``normalized``:
     raw_record_id, relative_path, normalized_sha256, source_payload_sha256.
-    ``envelopes``: record_id, envelope_sha256, actual_sha256 of what was read.
+    ``envelopes``: record_id, envelope_sha256, actual_sha256 of what was read,
+    and optionally readable (the file is JSON) and envelope_record_id.
     ``tables``: raw_record_id, actual_sha256 of the normalised rows.
     """
     def issue(rows: DataFrame, key: str, level: str, code: str, count: Column | None = None) -> DataFrame:
@@ -180,6 +186,10 @@ def verify_manifests(raw: DataFrame, normalized: DataFrame, envelopes: DataFrame
         counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         return issue(counted, key, ERROR, code, F.col("n"))
 
+    if "readable" not in envelopes.columns:
+        envelopes = envelopes.withColumn("readable", F.lit(True))
+    if "envelope_record_id" not in envelopes.columns:
+        envelopes = envelopes.withColumn("envelope_record_id", F.col("record_id"))
     one_raw = raw.dropDuplicates(["record_id"])
     one_norm = normalized.dropDuplicates(["raw_record_id"])
     no_path = F.coalesce(F.col("relative_path"), F.lit("")) == ""
@@ -195,10 +205,18 @@ def verify_manifests(raw: DataFrame, normalized: DataFrame, envelopes: DataFrame
             repeated(raw, "record_id", "DUPLICATE_RAW_RECORD_ID"),
             repeated(normalized, "raw_record_id", "DUPLICATE_NORMALIZED_RECORD_ID"),
             issue(one_raw.filter(no_path), "record_id", ERROR, "RAW_PATH_MISSING"),
-            issue(raw_read.filter(~found & F.col("envelope_sha256").isNull()), "record_id", ERROR, "RAW_FILE_MISSING"),
-            issue(raw_read.filter(~found & F.col("envelope_sha256").isNotNull()), "record_id", ERROR, "RAW_PAYLOAD_INVALID"),
+            issue(raw_read.filter("readable is null"), "record_id", ERROR, "RAW_FILE_MISSING"),
+            issue(raw_read.filter("not readable"), "record_id", ERROR, "RAW_FILE_INVALID"),
+            issue(
+                raw_read.filter(F.col("readable") & ~F.col("envelope_record_id").eqNullSafe(F.col("record_id"))),
+                "record_id", ERROR, "RAW_RECORD_ID_MISMATCH",
+            ),
+            issue(raw_read.filter(F.col("readable") & ~found), "record_id", ERROR, "RAW_PAYLOAD_INVALID"),
             issue(
-                raw_read.filter(found & ((F.col("actual_sha256") != F.col("envelope_sha256")) | (F.col("actual_sha256") != F.col("payload_sha256")))),
+                raw_read.filter(
+                    F.col("readable") & found
+                    & ((F.col("actual_sha256") != F.col("envelope_sha256")) | (F.col("actual_sha256") != F.col("payload_sha256")))
+                ),
                 "record_id", ERROR, "RAW_PAYLOAD_HASH_MISMATCH",
             ),
             issue(norm_raw.filter("known is null"), "raw_record_id", ERROR, "NORMALIZED_WITHOUT_RAW"),
@@ -220,11 +238,14 @@ def verify_manifests(raw: DataFrame, normalized: DataFrame, envelopes: DataFrame
     )
 
 
-def audit_run(summary: DataFrame, raw: DataFrame, normalized: DataFrame, datasets: list[str]) -> DataFrame:
+def audit_run(
+    summary: DataFrame, raw: DataFrame, normalized: DataFrame, datasets: list[str], tables: DataFrame | None = None
+) -> DataFrame:
     """Capture-run summaries against the manifests: ``run_id, level, code, count``.
 
     ``summary``: run_id, artifact_count, artifacts array<struct<dataset, scope,
-    raw_record_id, normalized_record_id, relative_path>>.
+    raw_record_id, normalized_record_id, relative_path>>. ``tables`` holds the
+    raw_record_id of every normalised table that can be read.
     """
     declared = summary.filter(
         F.col("artifact_count").isNotNull() & (F.col("artifact_count") != F.size("artifacts"))
@@ -233,18 +254,34 @@ def audit_run(summary: DataFrame, raw: DataFrame, normalized: DataFrame, dataset
     raw_ids = raw.select(F.col("record_id").alias("raw_record_id")).distinct().withColumn("raw_known", F.lit(True))
     norm_ids = normalized.select(F.col("raw_record_id").alias("normalized_record_id")).distinct().withColumn("norm_known", F.lit(True))
     linked = items.join(raw_ids, "raw_record_id", "left").join(norm_ids, "normalized_record_id", "left")
+    if tables is None:
+        linked = linked.withColumn("stored", F.lit(True))
+    else:
+        stored = tables.select(F.col("raw_record_id").alias("normalized_record_id")).distinct().withColumn("stored", F.lit(True))
+        linked = linked.join(stored, "normalized_record_id", "left")
+    path = F.coalesce(F.col("relative_path"), F.lit(""))
     both = F.col("raw_record_id").isNotNull() & F.col("normalized_record_id").isNotNull()
     rules = [
-        (ERROR, "RUN_ARTIFACT_PROVENANCE_INVALID", F.count_if(~both)),
+        (ERROR, "RUN_ARTIFACT_INVALID", F.count_if(F.col("dataset").isNull() & ~both)),
+        (ERROR, "RUN_ARTIFACT_PROVENANCE_INVALID", F.count_if(F.col("dataset").isNotNull() & ~both)),
         (ERROR, "RUN_RAW_RECORD_MISSING", F.count_if(both & F.col("raw_known").isNull())),
         (ERROR, "RUN_NORMALIZED_RECORD_MISSING", F.count_if(both & F.col("norm_known").isNull())),
         (ERROR, "RUN_RAW_NORMALIZED_ID_MISMATCH", F.count_if(both & (F.col("raw_record_id") != F.col("normalized_record_id")))),
-        (ERROR, "RUN_NORMALIZED_PATH_MISSING", F.count_if(both & (F.coalesce(F.col("relative_path"), F.lit("")) == ""))),
+        (ERROR, "RUN_NORMALIZED_PATH_MISSING", F.count_if(both & (path == ""))),
+        (ERROR, "RUN_NORMALIZED_FILE_MISSING", F.count_if(both & (path != "") & F.col("stored").isNull())),
         (WARNING, "UNKNOWN_RUN_DATASET", F.count_if(~F.col("dataset").isin(*datasets))),
     ]
     return declared.unionByName(_count_issues(linked, ["run_id"], rules))
 
 
+def unsummarised_captures(raw: DataFrame, summary: DataFrame) -> DataFrame:
+    """NO_CAPTURE_RUN_SUMMARY when there are raw records and no run summary at all."""
+    summaries = summary.agg(F.count(F.lit(1)).alias("n")).filter("n = 0")
+    return summaries.select(
+        F.lit("").alias("run_id"), F.lit(WARNING).alias("level"), F.lit("NO_CAPTURE_RUN_SUMMARY").alias("code"), F.lit(1).cast("long").alias("count")
+    ).filter(F.lit(not raw.isEmpty()))
+
+
 def run_totals(summary: DataFrame, rows: DataFrame) -> DataFrame:
     """Artifacts and rows per run and dataset. ``rows`` holds raw_record_id and its row count."""
     items = summary.select("run_id", F.explode("artifacts").alias("a")).select("run_id", "a.dataset", "a.raw_record_id")

@@ -10,10 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import cut_lineage
+
 TOLERANCE = 1e-12
 EXISTS, APPENDED, DRY_RUN = "EXISTS", "APPENDED", "DRY_RUN"
 
@@ -104,9 +106,11 @@ def idempotent_append(
     if partition_by and not set(partition_by) <= set(keys):
         raise ValueError("partition columns must belong to the key")
     spark = incoming.sparkSession
-    total = incoming.count()
     if dry_run:
-        return AppendReport(DRY_RUN, total, 0)
+        return AppendReport(DRY_RUN, incoming.count(), 0)
+    # The batch is read by every check below, so it is computed once.
+    incoming = cut_lineage(incoming, "batch")
+    total = incoming.count()
     repeated = duplicate_keys(incoming, keys).first()
     if repeated is not None:
         raise HistoryConflict(f"incoming batch repeats key {repeated.asDict()}")
@@ -120,12 +124,12 @@ def idempotent_append(
         if clash is not None:
             raise HistoryConflict(f"existing key has different content: {clash.asDict()}")
         fresh = new_rows(existing, incoming, keys)
-    appended = fresh.count()
-    if appended == 0:
+    if fresh.isEmpty():
         return AppendReport(EXISTS, total, 0)
-    writer = fresh.write.mode("append")
+    seen = Observation("append")
+    writer = fresh.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return AppendReport(APPENDED, total, appended)
+    return AppendReport(APPENDED, total, seen.get["rows"])
 
 
 # Keys of the ledgers and the columns that may differ between reruns.

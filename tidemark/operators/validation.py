@@ -125,6 +125,27 @@ def validate_price_history(history: DataFrame, keys: list[str] | None = None) ->
     )
 
 
+# Codes of an empty dataset and the columns price history needs.
+EMPTY_CODES = {"option_chains": "OPTION_DATASET_EMPTY", "quotes": "QUOTE_DATASET_EMPTY", "price_history": "PRICE_HISTORY_EMPTY"}
+HISTORY_COLUMNS = ("symbol", "datetime_utc")
+
+
+def empty_dataset(runs: DataFrame, table: DataFrame, dataset: str, keys: list[str] | None = None) -> DataFrame:
+    """An error for every run without a row of the dataset."""
+    keys = keys or ["run_id"]
+    return runs.select(*keys).distinct().join(table.select(*keys), keys, "left_anti").select(
+        *keys, F.lit(ERROR).alias("level"), F.lit(EMPTY_CODES[dataset]).alias("code"), F.lit(dataset).alias("dataset"),
+        F.lit(None).cast("long").alias("count"), F.lit(None).cast("double").alias("percentage"),
+    )
+
+
+def price_history_columns(history: DataFrame, keys: list[str] | None = None) -> DataFrame | None:
+    """The issue of a history table without symbol or time, or None."""
+    return _missing_columns(
+        history, HISTORY_COLUMNS, "PRICE_HISTORY_REQUIRED_COLUMNS_MISSING", "price_history", keys or ["run_id"]
+    )
+
+
 def option_coverage(prepared: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Per symbol: sides, expirations, illiquid, wide and stale contracts and counts per bucket as maps."""
     keys = keys or ["run_id", "underlying_symbol"]

@@ -109,10 +109,10 @@ def average_pairwise_correlation(spark, sf):
 @register(
     "regime_features",
     f"""with {DAILY_SQL}, {FEATURES_SQL}
-    select universe_id, rebalance_date, {", ".join(r(c, 6) for c in FEATURES)} from features""",
+    select universe_id, rebalance_date, {", ".join(r(c, 9) for c in FEATURES)} from features""",
 )
 def regime_features(spark, sf):
-    return rounded(feature_matrix(spark, sf), 6, *FEATURES)
+    return rounded(feature_matrix(spark, sf), 9, *FEATURES)
 
 
 @register(

@@ -62,7 +62,12 @@ def price_history(spark: SparkSession, sf: str) -> DataFrame:
 
 def option_chains(spark: SparkSession, sf: str) -> DataFrame:
     """Line items with an even part number are calls; shipping month gives the expiration, quantity the strike."""
-    lineitem = read(spark, sf, "lineitem")
+    # One shuffle by order serves every grouping below, whose keys all contain it.
+    lineitem = (
+        read(spark, sf, "lineitem")
+        .select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+        .repartition("l_orderkey")
+    )
     key = F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit(":"), F.col("l_linenumber").cast("string"))
     contract = F.struct(
         F.col("l_suppkey").alias("openInterest"),
