@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language_id
+from tidemark.llm import language_id, ngram_join
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,12 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language_id.identify(_table(spark, sf, "documents"))
 
 
+def op1_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf, "documents"), size=3, num=90, den=100)
+
+
 def queries() -> dict[str, Query]:
-    return {"op10_language_id": op10_language_id}
+    return {"op1_ngram_join": op1_ngram_join, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,8 +29,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POWERS, _INVERSES
     if len(_POWERS) < n:
         size = 1 << max(16, int(n - 1).bit_length())
-        _POWERS = np.cumprod(np.concatenate(([1], np.full(size - 1, BASE, dtype=np.uint64))), dtype=np.uint64)
-        _INVERSES = np.cumprod(np.concatenate(([1], np.full(size - 1, BASE_INVERSE, dtype=np.uint64))), dtype=np.uint64)
+        _POWERS, _INVERSES = (np.full(size, base, dtype=np.uint64) for base in (BASE, BASE_INVERSE))
+        for table in (_POWERS, _INVERSES):
+            table[0] = 1
+            np.cumprod(table, out=table)
     return _POWERS, _INVERSES
 
 
