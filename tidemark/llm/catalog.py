@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language_id, ngram_join
+from tidemark.llm import language_id, ngram_join, packing, token_files
+from tidemark.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +25,18 @@ def op1_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf, "documents"), size=3, num=90, den=100)
 
 
+def op4_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "token_files")
+    token_files.write(_table(spark, sf, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.scan(spark, path)
+
+
+def op5_best_two_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_ngram_join": op1_ngram_join, "op10_language_id": op10_language_id}
+    return {f.__name__: f for f in (op1_ngram_join, op4_token_files, op5_best_two_fit, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
