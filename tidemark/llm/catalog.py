@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, ngram_join, packing, token_files
-from tidemark.session import scratch_path
+from tidemark.llm import chat_format, language_id, ngram_join, packing, token_counts, token_files, top_k, url_filter
+from tidemark.session import cut_lineage, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,8 +36,55 @@ def op5_best_two_fit(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op2_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").cast("int").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    written = cut_lineage(chat_format.format_chats(rows.unionByName(probe)), "formatted")
+    return chat_format.digests(written)
+
+
+#: What the edits of op6 replace: mail addresses and runs of digits as in cards and telephone numbers.
+_PERSONAL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+|[0-9][0-9 -]{6,}[0-9]"
+
+
+def op6_edit_counts(spark: SparkSession, sf: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    trees = cut_lineage(token_counts.build(docs, vocabulary), "trees")
+    edited = docs.withColumn("edits", token_counts.replacements(F.col("text"), _PERSONAL, "<removed>"))
+    return token_counts.recount(edited, trees, vocabulary)
+
+
+#: Fixed rules of the query: verdict, host, path.
+_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+#: Hosts of the corpus that count as listed for pages without a rule.
+_LISTED = r"(^|[.])(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)[.]"
+
+
+def op7_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf, "pages"), _RULES, F.col("host").rlike(_LISTED))
+
+
+def op8_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = _table(spark, sf, "embeddings")
+    return top_k.top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10, scale=1024)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_join, op4_token_files, op5_best_two_fit, op10_language_id)}
+    return {f.__name__: f for f in (
+        op1_ngram_join, op2_chat_format, op4_token_files, op5_best_two_fit, op6_edit_counts, op7_url_filter, op8_top_k, op10_language_id,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
