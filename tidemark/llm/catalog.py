@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, language_id, ngram_join, packing, token_counts, token_files, top_k, url_filter
+from tidemark.llm import chat_format, language_id, ngram_join, packing, suffix_dedup, token_counts, token_files, top_k, url_filter
 from tidemark.session import cut_lineage, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op1_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf, "documents"), size=3, num=90, den=100)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf, "documents"), length=200)
+
+
 def op4_token_files(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "token_files")
     token_files.write(_table(spark, sf, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -83,7 +87,7 @@ def op8_top_k(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_ngram_join, op2_chat_format, op4_token_files, op5_best_two_fit, op6_edit_counts, op7_url_filter, op8_top_k, op10_language_id,
+        op1_ngram_join, op2_chat_format, op3_suffix_dedup, op4_token_files, op5_best_two_fit, op6_edit_counts, op7_url_filter, op8_top_k, op10_language_id,
     )}
 
 
