@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import signature_tree
+from tidemark.llm import prefilter, signature_tree
 from tidemark.llm import text as tx
 from tidemark.llm.components import connected_components
 from tidemark.session import cut_lineage
@@ -182,7 +182,9 @@ def _member_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
             kept = [k for k, s in enumerate(sets) if int(_total(s, 1).view(np.int64)) == f1[k]]
             yield tx.batch(schema, *([v[k] for k in kept] for v in (f1, [len(s) for s in sets], blocks, [s.tobytes() for s in sets])))
 
-    rows = _texts(docs).join(members.select("doc_id", "f1", "block"), "doc_id").select("f1", "block", "text")
+    key = F.xxhash64("doc_id")
+    near = prefilter.may_hold(_texts(docs), prefilter.bits_of(members.select(key.alias("key")), "key"), key)
+    rows = near.join(members.select("doc_id", "f1", "block"), "doc_id").select("f1", "block", "text")
     return rows.mapInArrow(read, "f1 long, n long, block long, shingles binary").dropDuplicates(["f1"])
 
 
