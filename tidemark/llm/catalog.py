@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, language_id, ngram_join, packing, suffix_dedup, token_counts, token_files, top_k, url_filter
+import corpus_pipeline
+from tidemark.llm import chat_format, decontaminate, language_id, ngram_join, packing, suffix_dedup, token_counts, token_files, top_k, url_filter
 from tidemark.session import cut_lineage, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,10 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op9_string_tiling(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.report(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language_id.identify(_table(spark, sf, "documents"))
 
@@ -87,9 +92,57 @@ def op8_top_k(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_ngram_join, op2_chat_format, op3_suffix_dedup, op4_token_files, op5_best_two_fit, op6_edit_counts, op7_url_filter, op8_top_k, op10_language_id,
-    )}
+        op1_ngram_join, op2_chat_format, op3_suffix_dedup, op4_token_files, op5_best_two_fit, op6_edit_counts, op7_url_filter, op8_top_k, op9_string_tiling, op10_language_id,
+    )} | {"pipeline": corpus_pipeline.run}
+
+
+_LISTED_RE2 = _LISTED.replace("'", "''")
+
+_OP7_SQL = f"""
+with cut as (
+  select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
+), parsed as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from cut
+), rules(verdict, rule_host, rule_path) as (
+  values {", ".join(str(r) for r in _RULES)}
+), fitting as (
+  select page_id, max_by(struct_pack(rule := rule_host || rule_path, verdict := rules.verdict), length(rule_host) + length(rule_path)) as best
+  from parsed join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+  group by page_id
+)
+select page_id, host, path, best.rule as rule,
+  coalesce(best.verdict, case when regexp_matches(host, '{_LISTED_RE2}') then 'block' else 'allow' end) as verdict
+from parsed left join fitting using (page_id)
+"""
+
+_OP8_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, x -> floor(1024 * x::double)::bigint) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), p -> coalesce(p[1], 0) * coalesce(p[2], 0)))::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0
+)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from scored qualify rank <= 10
+"""
+
+#: Roles and texts come back as they were, so the digests follow from the table; formatted_chars counts the level-0 markup, which only -7 leaves.
+_OP2_SQL = """
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  (9 + sum(length(text) + case when role = 'assistant' then 7 else length(role) + 14 end) + case when conv_id = -7 then 2 * 3 else 0 end)::bigint as formatted_chars
+from said group by conv_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": _OP2_SQL, "op7_url_filter": _OP7_SQL, "op8_top_k": _OP8_SQL}

@@ -166,6 +166,12 @@ def _rows(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"kind": F.xxhash64("text"), "kind2": F.xxhash64("text", F.lit(1))}).withColumn("row", F.xxhash64("doc_id", "kind2"))
 
 
+def row_hash(docs: DataFrame) -> DataFrame:
+    """``docs`` with the column ``__row`` that ``cut_repeats`` names them by."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    return docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(text, F.lit(1))))
+
+
 def _occurrences(rows: DataFrame, length: int) -> DataFrame:
     """anchor, snippet, kind, at, n, row of every snippet of every text, copies within a task once."""
     schema = pa.schema([("anchor", pa.int64()), ("snippet", pa.int64()), ("kind", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("row", pa.int64())])
@@ -243,7 +249,7 @@ def _counted_windows(crowded: DataFrame, length: int) -> DataFrame:
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """row, doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``docs(doc_id, text)``; kept too, if asked for (null: unchanged)."""
+    """row, doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``docs(doc_id, text)``; if asked for, kept too: the rest as whole characters, null where the text is unchanged."""
     rows = _rows(docs)
     measured = cut_lineage(rows.select("doc_id", "kind", "kind2", "row", F.length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "measured")
     copies = measured.groupBy("kind", "kind2").agg(F.count(F.lit(1)).alias("copies"))
@@ -262,7 +268,8 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
                 np.add.at(cover, [p["stop"] for p in pairs], -1)
                 covered = np.cumsum(cover)[:-1] > 0
                 kept = np.frombuffer(text, dtype=np.uint8)[~covered].tobytes()
-                out.append((key, int(covered.sum()), len(_runs(covered)), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+                whole = kept.decode("utf-8", "ignore").encode() if with_text else None
+                out.append((key, int(covered.sum()), len(_runs(covered)), hashlib.sha256(kept).hexdigest(), whole))
             if out:
                 yield tx.batch(schema, *zip(*out, strict=True))
 
