@@ -13,8 +13,8 @@ only. Neighbouring starts with one anchor form a snippet. The job:
    prefix has just that length, and the expansion stops at ``length``. Borders not
    fixed by then lie between suffixes that share at least ``length`` bytes.
 3. An anchor with very many different snippets, as at the edges of a passage that
-   a large part of the corpus holds, is not gathered anywhere: its windows are
-   counted by hash and looked up again.
+   a large part of the corpus holds, is not gathered anywhere: blocks of its
+   windows, and windows where blocks differ, are counted by hash and looked up again.
 4. Covered spans go back to all texts with the snippet, are merged and cut out.
 
 Texts of which there are copies are removed whole if they are long enough, and
@@ -46,6 +46,8 @@ GRAM = 32
 BIN_BYTES = 1 << 19
 #: Different snippets of an anchor from which on its windows are counted instead.
 CROWD = 128
+#: Window starts in a block of a crowded anchor.
+BLOCK = 8
 _PLACE_BITS = 26
 
 
@@ -56,7 +58,15 @@ def snippets(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none
     prefix = tx.prefix_hash(raw)
-    at = np.arange(len(raw) - gram + 1)
+    anchor, hashes = _anchors(prefix, length, gram)
+    first = np.flatnonzero(np.diff(anchor, prepend=-1))
+    last = np.append(first[1:], len(anchor)) - 1
+    return hashes[anchor[first]].view(np.int64), tx.span_hash(prefix, first, last + length).view(np.int64), first, last - first + 1
+
+
+def _anchors(prefix: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the anchor of each window, and the hashes of all k-grams, from the prefix hashes of a text."""
+    at = np.arange(len(prefix) - gram)
     hashes = tx.span_hash(prefix, at, at + gram)
     # Smaller hash first, then the later place; the place is kept in the low bits.
     mask = np.uint64((1 << _PLACE_BITS) - 1)
@@ -64,9 +74,7 @@ def snippets(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
     width = length - gram + 1
     low = _sliding_min(ranked, width)
     anchor = np.arange(len(low)) + ((mask - (low & mask)).astype(np.int64) - np.arange(len(low))) % (1 << _PLACE_BITS)
-    first = np.flatnonzero(np.diff(anchor, prepend=-1))
-    last = np.append(first[1:], len(low)) - 1
-    return hashes[anchor[first]].view(np.int64), tx.span_hash(prefix, first, last + length).view(np.int64), first, last - first + 1
+    return anchor, hashes
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -199,17 +207,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     all_of_them = cut_lineage(_occurrences(rows, length), "occurrences")
     place = F.struct("kind", "at")
     counted = all_of_them.groupBy("anchor").agg(F.min("snippet").alias("s"), F.max("snippet").alias("t"), F.min(place).alias("p"), F.max(place).alias("q"))
-    shared = counted.filter("s <> t or p <> q").select("anchor")
+    # Written, so that the join below reads two plain shuffles, of which a hot anchor's part can be split.
+    shared = cut_lineage(counted.filter("s <> t or p <> q").select("anchor"), "shared")
     repeated = cut_lineage(all_of_them.join(shared, "anchor"), "repeated")
 
-    classes = repeated.groupBy("anchor", "snippet").agg(
-        F.min(F.struct("kind", "at", "n", "row")).alias("rep"), F.when(F.min(place) != F.max(place), 2).otherwise(1).alias("weight")
+    classes = cut_lineage(
+        repeated.groupBy("anchor", "snippet").agg(
+            F.min(F.struct("kind", "at", "n", "row")).alias("rep"), F.when(F.min(place) != F.max(place), 2).otherwise(1).alias("weight")
+        ),
+        "classes",
     )
-    crowds = repeated.groupBy("anchor").agg(F.approx_count_distinct("snippet").alias("different"))
-    asked = cut_lineage(classes.join(crowds, "anchor").select("anchor", "snippet", "rep.*", "weight", (F.col("different") > crowd).alias("crowded")), "classes")
+    crowds = cut_lineage(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("different")).filter(F.col("different") > crowd), "crowds")
+    asked = classes.join(crowds, "anchor", "left").select("anchor", "snippet", "rep.*", "weight", F.col("different").isNotNull().alias("crowded"))
 
     # The bytes of one snippet per class, cut from the texts that hold them.
-    texts = prefilter.may_hold(rows.select("row", "text"), prefilter.bits_of(asked, "row"), F.col("row")).dropDuplicates(["row"])
+    texts = prefilter.may_hold(rows.select("row", "text"), prefilter.bits_of(classes.select("rep.row"), "row"), F.col("row")).dropDuplicates(["row"])
     piece = F.substring("text", F.col("at") + 1, F.col("n") + (length - 1))
     cut = cut_lineage(asked.join(texts, "row").select("anchor", "snippet", "weight", "crowded", piece.alias("bytes")), "snippets")
 
@@ -232,20 +244,44 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
 
 
 def _counted_windows(crowded: DataFrame, length: int) -> DataFrame:
-    """anchor, snippet, low, high of the repeated windows of crowded anchors, by counting window hashes."""
-    schema = pa.schema([("window", pa.int64()), ("anchor", pa.int64()), ("snippet", pa.int64()), ("at", pa.int32()), ("weight", pa.int32())])
+    """anchor, snippet, low, high of the repeated windows of crowded anchors, by counting hashes.
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Window starts are taken in blocks, aligned to the anchor, and blocks are
+    counted by their core, the bytes that all windows of the block hold. Where
+    all blocks of one core are the same, its windows are as often as the block.
+    Only where they differ at the ends are single windows counted.
+    """
+    schema = pa.schema(
+        [("core", pa.int64()), ("piece", pa.int64()), ("anchor", pa.int64()), ("snippet", pa.int64()), ("low", pa.int32()), ("weight", pa.int32()), ("windows", pa.list_(pa.int64()))]
+    )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for anchors, names, weights, texts in tx.rows(batches, "anchor", "snippet", "weight", "bytes"):
+            out = []
             for a, s, w, t in zip(anchors, names, weights, texts, strict=True):
-                raw = np.frombuffer(t, dtype=np.uint8)
-                at = np.arange(max(0, len(raw) - length + 1))
-                found = tx.span_hash(tx.prefix_hash(raw), at, at + length).view(np.int64)
-                yield tx.batch(schema, found, np.full(len(at), a), np.full(len(at), s), at.astype(np.int32), np.full(len(at), w, dtype=np.int32))
-
-    windows = cut_lineage(crowded.select("anchor", "snippet", "weight", "bytes").mapInArrow(hashes, "window long, anchor long, snippet long, at int, weight int"), "windows")
-    again = windows.groupBy("window").agg(F.sum("weight").alias("held")).filter("held >= 2").select("window")
-    return windows.join(again, "window").select("anchor", "snippet", F.col("at").alias("low"), (F.col("at") + 1).alias("high"))
+                prefix = tx.prefix_hash(np.frombuffer(t, dtype=np.uint8))
+                place, _ = _anchors(prefix, length)
+                at = np.arange(len(place))
+                block = (at - place[0]) // BLOCK
+                windows = tx.span_hash(prefix, at, at + length).view(np.int64)
+                first = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+                stop = np.append(first[1:], len(at))
+                begin = place[0] + block[first] * BLOCK
+                cores = tx.span_hash(prefix, begin + BLOCK - 1, begin + length).view(np.int64)
+                pieces = tx.mix(tx.span_hash(prefix, first, stop - 1 + length) + tx.mix((first - begin).astype(np.uint64))).view(np.int64)
+                out += [(c, p, a, s, int(x), w, windows[x:y].tolist()) for c, p, x, y in zip(cores.tolist(), pieces.tolist(), first, stop, strict=True)]
+            if out:
+                yield tx.batch(schema, *zip(*out, strict=True))
+
+    ddl = "core long, piece long, anchor long, snippet long, low int, weight int, windows array<bigint>"
+    pieces = cut_lineage(crowded.select("anchor", "snippet", "weight", "bytes").mapInArrow(cut, ddl), "pieces")
+    cores = pieces.groupBy("core").agg(F.sum("weight").alias("held"), (F.min("piece") != F.max("piece")).alias("mixed")).filter("held >= 2").drop("held")
+    met = cut_lineage(pieces.join(cut_lineage(cores, "cores"), "core"), "met")
+    whole = met.filter("not mixed").select("anchor", "snippet", "low", (F.col("low") + F.size("windows")).alias("high"))
+    single = met.filter("mixed").select("anchor", "snippet", "weight", "low", F.posexplode("windows").alias("i", "window"))
+    again = single.groupBy("window").agg(F.sum("weight").alias("held")).filter("held >= 2").select("window")
+    found = single.join(cut_lineage(again, "again"), "window").select("anchor", "snippet", (F.col("low") + F.col("i")).alias("low"), (F.col("low") + F.col("i") + 1).alias("high"))
+    return whole.union(found)
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
