@@ -83,10 +83,12 @@ def shingle_set(data: bytes | None, size: int) -> np.ndarray:
     return np.unique(ngram_hashes(words, min(size, len(words)))) if len(words) else words
 
 
-def rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[list, ...]]:
-    """Columns of each Arrow batch as Python lists."""
+def rows(batches: Iterator[pa.RecordBatch], *columns: str, at_once: int = 1000) -> Iterator[tuple[list, ...]]:
+    """Columns of slices of the Arrow batches as Python lists."""
     for batch in batches:
-        yield tuple(batch.column(c).to_pylist() for c in columns)
+        for start in range(0, batch.num_rows, at_once):
+            part = batch.slice(start, at_once)
+            yield tuple(part.column(c).to_pylist() for c in columns)
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:

@@ -106,6 +106,11 @@ def _block(schema: pa.Schema, shard: int, number: int, held: list[tuple[int | No
     return tx.batch(schema, *([v] for v in row))
 
 
+def _one_by_one(b: pa.RecordBatch) -> Iterator[dict]:
+    for i in range(b.num_rows):
+        yield b.slice(i, 1).to_pylist()[0]
+
+
 class Block:
     """One block in memory."""
 
@@ -136,7 +141,7 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for row in _one_by_one(b):
                 one = Block(row)
                 n = len(one.keys)
                 place = np.arange(n)
@@ -163,7 +168,7 @@ def get(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for row in _one_by_one(b):
                 near = wanted[(wanted >= row["first_key"]) & (wanted <= row["last_key"])]
                 if not len(near):
                     continue
