@@ -90,4 +90,4 @@ def drawdown_path(df, keys: list[str], order: str, ret: str, start_at_one: bool
     peak = F.max("wealth").over(span)
     if start_at_one:
         peak = F.greatest(peak, F.lit(1.0))
-    return with_wealth.withColumn("drawdown", F.col("wealth") / peak - 1.0)
+    return with_wealth.withColumn("drawdown", F.try_divide(F.col("wealth"), peak) - 1.0)

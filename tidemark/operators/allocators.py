@@ -26,8 +26,8 @@ def equal_weight(assets: DataFrame) -> DataFrame:
 
 def inverse_variance(cov: DataFrame) -> DataFrame:
     """(1/variance) over its sum, from the diagonal of the covariance table."""
-    own = cov.filter("asset_i = asset_j").select(*GROUP, F.col("asset_i").alias("asset"), (1.0 / F.col("cov")).alias("v"))
-    share = F.col("v") / F.sum("v").over(Window.partitionBy(*GROUP))
+    own = cov.filter("asset_i = asset_j").select(*GROUP, F.col("asset_i").alias("asset"), F.try_divide(F.lit(1.0), F.col("cov")).alias("v"))
+    share = F.try_divide(F.col("v"), F.sum("v").over(Window.partitionBy(*GROUP)))
     return own.select(*GROUP, F.lit("inverse_variance").alias("model"), "asset", share.alias("weight"))
 
 

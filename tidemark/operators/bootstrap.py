@@ -64,7 +64,7 @@ def _mean(series: str) -> Column:
 
 def _std(series: str) -> Column:
     centred = F.aggregate(series, F.lit(0.0), lambda acc, x: acc + F.pow(x - F.col(f"{series}_mean"), 2.0))
-    return F.sqrt(centred / (F.col("n") - 1))
+    return F.sqrt(F.try_divide(centred, F.col("n") - 1))
 
 
 def _drawdown(series: str) -> Column:
@@ -73,7 +73,7 @@ def _drawdown(series: str) -> Column:
     def step(acc, x):
         wealth = acc["w"] * (1.0 + x)
         peak = F.greatest(acc["peak"], wealth)
-        return F.struct(wealth.alias("w"), peak.alias("peak"), F.least(acc["worst"], wealth / peak - 1.0).alias("worst"))
+        return F.struct(wealth.alias("w"), peak.alias("peak"), F.least(acc["worst"], F.try_divide(wealth, peak) - 1.0).alias("worst"))
 
     return F.aggregate(series, start, step, lambda acc: acc["worst"])
 

@@ -101,7 +101,7 @@ def _keys(sums: DataFrame) -> list[str]:
 
 
 def sample_from_sums(sums: DataFrame, periods: int = stats.TRADING_DAYS) -> DataFrame:
-    value = _centred(sums).withColumn("cov", F.col("s") * F.col("n") / (F.col("n") - 1) * periods)
+    value = _centred(sums).withColumn("cov", F.try_divide(F.col("s") * F.col("n"), F.col("n") - 1) * periods)
     return mirrored(value.select(*_keys(sums), "asset_i", "asset_j", "cov"))
 
 
@@ -132,7 +132,7 @@ def shrinkage_from_sums(sums: DataFrame) -> DataFrame:
             "p",
             "n",
             "mu",
-            F.when(F.col("b") == 0, F.lit(0.0)).otherwise(F.col("b") / F.col("d")).alias("shrinkage"),
+            F.when(F.col("b") == 0, F.lit(0.0)).otherwise(F.try_divide(F.col("b"), F.col("d"))).alias("shrinkage"),
         )
     )
 
@@ -160,7 +160,7 @@ def correlation(cov: DataFrame) -> DataFrame:
     deviations = cov.filter("asset_i = asset_j").select(*keys, F.col("asset_i").alias("asset"), F.sqrt("cov").alias("sd"))
     left = deviations.withColumnsRenamed({"asset": "asset_i", "sd": "sd_i"})
     right = deviations.withColumnsRenamed({"asset": "asset_j", "sd": "sd_j"})
-    value = F.col("cov") / (F.col("sd_i") * F.col("sd_j"))
+    value = F.try_divide(F.col("cov"), F.col("sd_i") * F.col("sd_j"))
     return (
         cov.join(left, [*keys, "asset_i"])
         .join(right, [*keys, "asset_j"])

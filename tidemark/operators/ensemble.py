@@ -19,7 +19,7 @@ def consensus_weights(weights: DataFrame, importance: dict[str, float] | None =
         pairs = [F.lit(v) for item in importance.items() for v in (item[0], float(item[1]))]
         share = F.coalesce(F.element_at(F.create_map(*pairs), F.col("model")), F.lit(0.0))
     mixed = weights.groupBy(*GROUP, "asset").agg(F.sum(F.col("weight") * share).alias("weight"))
-    return mixed.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy(*GROUP)))
+    return mixed.withColumn("weight", F.try_divide(F.col("weight"), F.sum("weight").over(Window.partitionBy(*GROUP))))
 
 
 def allocation_disagreement(weights: DataFrame) -> DataFrame:

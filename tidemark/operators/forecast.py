@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
@@ -17,23 +19,32 @@ def expected_returns(
 ) -> DataFrame:
     """Geometric, arithmetic, exponentially weighted, blended and robust estimates per session.
 
-    The recursive average e_t = (1-a) e_(t-1) + a r_t with e_1 = r_1 is the
-    running sum of a (1-a)^-t r_t scaled by (1-a)^t, the first row counting
-    without the factor a. The scale stays inside a double for 44,000 sessions
-    at the default span.
+    The recursive average e_t = (1-a) e_(t-1) + a r_t with e_1 = r_1 is a sum of
+    returns weighted by powers of 1-a, the first return counting without the
+    factor a. Powers are taken relative to blocks of the series, long enough for
+    the weight to fall to 1e-100 over one: the running sum of the own block and the
+    sum of the block before are all that a double can tell, for any length.
     """
     decay = 1.0 - 2.0 / (span + 1.0)
-    window = stats.running(["universe_id", "asset"], "session")
+    length = max(1, int(math.log(1e-100) / math.log(decay))) if decay > 0 else 1
+    keys = ["universe_id", "asset"]
+    window = stats.running(keys, "session")
     t = F.col("t").cast("double")
     lead = F.when(F.col("t") == 1, 1.0).otherwise(1.0 - decay)
+    place = F.col("place").cast("double")
+    own = Window.partitionBy(*keys, "block").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("block").rangeBetween(-1, -1)
+    recent = F.sum("scaled").over(own) * F.pow(F.lit(decay), place)
+    older = F.coalesce(F.sum("scaled").over(before) * F.pow(F.lit(decay), place + length), F.lit(0.0))
     path = (
         returns.withColumn("t", F.count("ret").over(window))
-        .withColumn("scaled", lead * F.col("ret") * F.pow(F.lit(decay), -t))
+        .withColumns({"block": F.floor((F.greatest("t", F.lit(1)) - 1) / length), "place": F.pmod(F.greatest("t", F.lit(1)) - 1, F.lit(length))})
+        .withColumn("scaled", lead * F.col("ret") * F.pow(F.lit(decay), -place))
         .withColumns(
             {
-                "geometric": F.pow(F.product(1.0 + F.col("ret")).over(window), F.lit(float(periods)) / t) - 1.0,
+                "geometric": F.pow(F.product(1.0 + F.col("ret")).over(window), F.try_divide(F.lit(float(periods)), t)) - 1.0,
                 "arithmetic": F.avg("ret").over(window) * periods,
-                "ewma": F.sum("scaled").over(window) * F.pow(F.lit(decay), t) * periods,
+                "ewma": (recent + older) * periods,
             }
         )
     )

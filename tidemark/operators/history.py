@@ -35,6 +35,11 @@ def duplicate_keys(table: DataFrame, keys: list[str]) -> DataFrame:
     return table.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
 
+def null_in(keys: list[str]) -> Column:
+    """Rows that no key can name; they equal nothing, so they would be appended again each time."""
+    return reduce(lambda p, q: p | q, [F.col(k).isNull() for k in keys])
+
+
 def same_partitions(existing: DataFrame, incoming: DataFrame, partition_by: list[str] | None) -> DataFrame:
     """History restricted to the partitions a batch touches; the semi-join prunes the scan at run time.
 
@@ -111,6 +116,9 @@ def idempotent_append(
     # The batch is read by every check below, so it is computed once.
     incoming = cut_lineage(incoming, "batch")
     total = incoming.count()
+    unnamed = incoming.filter(null_in(keys)).select(*keys).first()
+    if unnamed is not None:
+        raise HistoryConflict(f"incoming batch has a null in its key: {unnamed.asDict()}")
     repeated = duplicate_keys(incoming, keys).first()
     if repeated is not None:
         raise HistoryConflict(f"incoming batch repeats key {repeated.asDict()}")
@@ -120,6 +128,9 @@ def idempotent_append(
         if existing.columns != incoming.columns and sorted(existing.columns) != sorted(incoming.columns):
             raise HistoryConflict(f"columns differ: {sorted(set(existing.columns) ^ set(incoming.columns))}")
         existing = same_partitions(existing, incoming, partition_by)
+        twice = duplicate_keys(existing, keys).first()
+        if twice is not None:
+            raise HistoryConflict(f"history repeats key {twice.asDict()}")
         clash = conflicts(existing, incoming, keys, fields, tolerance).first()
         if clash is not None:
             raise HistoryConflict(f"existing key has different content: {clash.asDict()}")

@@ -53,7 +53,7 @@ def trailing_features(
             n, F.stddev_samp("ret").over(stats.trailing(SERIES, "session", n)) * math.sqrt(stats.TRADING_DAYS)
         )
     for n in drawdown_windows:
-        out[f"drawdown_{n}d"] = full(n, F.col("wealth") / F.max("wealth").over(stats.trailing(SERIES, "session", n)) - 1.0)
+        out[f"drawdown_{n}d"] = full(n, F.try_divide(F.col("wealth"), F.max("wealth").over(stats.trailing(SERIES, "session", n))) - 1.0)
     return path.withColumns(out).drop("wealth", "ret")
 
 
@@ -132,4 +132,4 @@ def class_balance(labels: DataFrame, column: str = "best_model") -> DataFrame:
     counts = labels.groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
     # One row per class by now.
     every = F.sum("rows").over(Window.partitionBy(F.lit(0)))
-    return counts.withColumn("share", F.col("rows") / every)
+    return counts.withColumn("share", F.try_divide(F.col("rows"), every))

@@ -138,9 +138,9 @@ def _counts(prepared: DataFrame) -> DataFrame:
     out = [
         F.sum("n").alias("contract_count_total"),
         F.sum("ok").alias("contract_count_eligible"),
-        (F.sum("ok") / F.sum("n")).alias("eligible_contract_ratio"),
+        F.try_divide(F.sum("ok"), F.sum("n")).alias("eligible_contract_ratio"),
         F.sum("zero").alias("zero_dte_contract_count"),
-        (F.sum("zero") / F.sum("n")).alias("zero_dte_contract_ratio"),
+        F.try_divide(F.sum("zero"), F.sum("n")).alias("zero_dte_contract_ratio"),
         F.sum("call").alias("eligible_call_count"),
         F.sum("put").alias("eligible_put_count"),
         expirations("ok").alias("eligible_expiration_count"),
@@ -173,7 +173,7 @@ def atm_iv_by_bucket(prepared: DataFrame) -> DataFrame:
     return quantiles.grouped_medians(rows, keys, {"atm_iv_median": F.col("volatility")}).join(counts, keys)
 
 
-def _medians(prepared: DataFrame, limit: int) -> DataFrame:
+def _medians(prepared: DataFrame) -> DataFrame:
     atm = F.col("is_atm")
     bucket = opt.feature_bucket(F.col("expiration_dte"))
     volatility = F.col("volatility")
@@ -192,7 +192,7 @@ def _medians(prepared: DataFrame, limit: int) -> DataFrame:
         "quote_age_minutes_median": F.col("quote_age_minutes"),
     }
     values |= {f"atm_iv_median_{name}": F.when(atm & (bucket == name), volatility) for name in opt.BUCKETS}
-    return quantiles.grouped_medians(prepared.filter("eligible_contract"), KEYS, values, limit)
+    return quantiles.grouped_medians(prepared.filter("eligible_contract"), KEYS, values)
 
 
 def _scoped(prepared: DataFrame) -> DataFrame:
@@ -224,14 +224,14 @@ def matched_delta_skew(prepared: DataFrame, tie_break: list[str] | None = None)
     )
 
 
-def matched_atm_skew(prepared: DataFrame, limit: int = quantiles.GROUP_LIMIT) -> DataFrame:
+def matched_atm_skew(prepared: DataFrame) -> DataFrame:
     """Per expiration: median put volatility less median call volatility, at the money."""
     keys = [*KEYS, "scope", "expiration_date"]
     sides = {
         f"{side.lower()}_iv": F.when(F.col("put_call") == side, F.col("volatility")) for side in ("CALL", "PUT")
     }
     return (
-        quantiles.grouped_medians(_scoped(prepared).filter("is_atm"), keys, sides, limit)
+        quantiles.grouped_medians(_scoped(prepared).filter("is_atm"), keys, sides)
         .filter("call_iv is not null and put_iv is not null")
         .withColumn("skew", F.col("put_iv") - F.col("call_iv"))
     )
@@ -249,7 +249,7 @@ def _skew_columns(skews: DataFrame, overall: str, overall_count: str, prefix: st
 
 
 def symbol_option_features(
-    prepared: DataFrame, tie_break: list[str] | None = None, limit: int = quantiles.GROUP_LIMIT
+    prepared: DataFrame, tie_break: list[str] | None = None
 ) -> DataFrame:
     """One feature row per run and symbol: counts, ratios, medians, bucket volatilities, skews and term spread."""
     delta = _skew_columns(
@@ -257,10 +257,10 @@ def symbol_option_features(
         "delta_25_expiration_pair_count", "delta_25_put_call_iv_skew", "delta_25_pair_count",
     )
     atm = _skew_columns(
-        matched_atm_skew(prepared, limit), "atm_put_call_iv_skew_matched_median", "atm_expiration_pair_count",
+        matched_atm_skew(prepared), "atm_put_call_iv_skew_matched_median", "atm_expiration_pair_count",
         "atm_put_call_iv_skew", "atm_skew_pair_count",
     )
-    joined = reduce(lambda a, b: a.join(b, KEYS, "left"), [_counts(prepared), _medians(prepared, limit), delta, atm])
+    joined = reduce(lambda a, b: a.join(b, KEYS, "left"), [_counts(prepared), _medians(prepared), delta, atm])
     pair_counts = [c for c in [*delta.columns, *atm.columns] if "pair_count" in c]
     spread = F.col("atm_iv_median_dte_91_365") - F.col("atm_iv_median_dte_8_30")
     return (
@@ -278,7 +278,7 @@ def eligibility_summary(prepared: DataFrame) -> DataFrame:
     return prepared.groupBy(*KEYS).agg(
         n.alias("contract_count_total"),
         ok.alias("contract_count_eligible"),
-        (ok / n).alias("eligible_contract_ratio"),
+        F.try_divide(ok, n).alias("eligible_contract_ratio"),
         (n - ok).alias("ineligible_contract_count"),
         F.concat(F.lit("{"), body, F.lit("}")).alias("ineligibility_reason_counts"),
     )

@@ -49,7 +49,7 @@ def drifted_weights(weights: DataFrame, realized: DataFrame) -> DataFrame:
     return (
         weights.join(realized, ["universe_id", "rebalance_date", "asset"])
         .withColumn("ended", ended)
-        .withColumn("drifted_weight", F.col("ended") / F.sum("ended").over(group))
+        .withColumn("drifted_weight", F.try_divide(F.col("ended"), F.sum("ended").over(group)))
         .drop("ended")
     )
 

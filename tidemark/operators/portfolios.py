@@ -27,7 +27,7 @@ def invalid_weights(weights: DataFrame, keys: list[str] | None = None) -> DataFr
 def normalize_weights(weights: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Scale each portfolio to one; a portfolio is as large as its list of holdings."""
     total = F.sum("weight").over(Window.partitionBy(*(keys or PORTFOLIO)))
-    return weights.withColumn("weight", F.col("weight") / total)
+    return weights.withColumn("weight", F.try_divide(F.col("weight"), total))
 
 
 def portfolio_returns(returns: DataFrame, weights: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -71,7 +71,7 @@ def concentration(weights: DataFrame, keys: list[str] | None = None) -> DataFram
     return (
         normalize_weights(weights, keys)
         .groupBy(*keys)
-        .agg(squares.alias("concentration"), (1.0 / squares).alias("effective_positions"))
+        .agg(squares.alias("concentration"), F.try_divide(F.lit(1.0), squares).alias("effective_positions"))
     )
 
 
@@ -163,7 +163,7 @@ def blend_table(returns: DataFrame, personal: DataFrame, optimizer: DataFrame, a
             F.sum(F.col("weight") * F.col("weight")).alias("concentration"),
             (0.5 * F.sum(F.abs(F.col("weight") - F.col("own_weight")))).alias("turnover_from_personal"),
         )
-        .withColumn("effective_positions", 1.0 / F.col("concentration"))
+        .withColumn("effective_positions", F.try_divide(F.lit(1.0), F.col("concentration")))
     )
     shares = (
         risk.risk_contributions(blends, covariance.sample_covariance(returns), key)

@@ -32,12 +32,12 @@ def _long_numbers(table: DataFrame, columns: list[str], keys: list[str]) -> Data
 
 
 def quantile_profile(
-    table: DataFrame, columns: list[str], keys: list[str] | None = None, limit: int = quantiles.GROUP_LIMIT
+    table: DataFrame, columns: list[str], keys: list[str] | None = None
 ) -> DataFrame:
     """Nine exact percentiles per column (and group); columns without values are absent."""
     keys = keys or []
     rows = quantiles.grouped_percentiles(
-        _long_numbers(table, columns, keys), [*keys, "column"], "value", list(PROBABILITIES), limit
+        _long_numbers(table, columns, keys), [*keys, "column"], "value", list(PROBABILITIES)
     )
     return rows.select(
         *keys, "column", *[F.col("percentiles")[i].alias(name) for i, name in enumerate(PROBABILITY_NAMES)]
@@ -54,7 +54,7 @@ def approximate_quantile_profile(table: DataFrame, columns: list[str], keys: lis
 
 
 def column_profile(
-    table: DataFrame, provenance: tuple[str, ...] = (), exact_distinct: bool = True, limit: int = quantiles.GROUP_LIMIT
+    table: DataFrame, provenance: tuple[str, ...] = (), exact_distinct: bool = True
 ) -> DataFrame:
     """Counts, distinct values and numeric summary of every column.
 
@@ -73,10 +73,10 @@ def column_profile(
     stats = long.groupBy("column").agg(
         F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean")
     )
-    median = quantiles.grouped_percentiles(long, ["column"], "value", [0.5], limit).select(
+    median = quantiles.grouped_percentiles(long, ["column"], "value", [0.5]).select(
         "column", F.col("percentiles")[0].alias("median")
     )
-    pct = 100.0 * F.col("non_null_count") / F.col("rows")
+    pct = F.try_divide(100.0 * F.col("non_null_count"), F.col("rows"))
     return (
         counts.join(stats.join(median, "column"), "column", "left")
         .withColumns(
@@ -97,7 +97,7 @@ def time_columns(table: DataFrame) -> list[str]:
     return [c for c in table.columns if any(token in c.lower() for token in TIME_TOKENS)]
 
 
-def datetime_profile(table: DataFrame, limit: int = quantiles.GROUP_LIMIT) -> DataFrame:
+def datetime_profile(table: DataFrame) -> DataFrame:
     """Parse rate and range of columns whose name and values look like times.
 
     Numbers count as epoch milliseconds or seconds by their median size.
@@ -114,7 +114,7 @@ def datetime_profile(table: DataFrame, limit: int = quantiles.GROUP_LIMIT) -> Da
         )
     if numbers:
         long = _long_numbers(table, numbers, []).filter("value is not null").withColumn("size", F.abs("value"))
-        units = quantiles.grouped_percentiles(long.select("column", "size"), ["column"], "size", [0.5], limit).select(
+        units = quantiles.grouped_percentiles(long.select("column", "size"), ["column"], "size", [0.5]).select(
             "column",
             F.when(F.col("percentiles")[0] >= MILLIS_FROM, 1000.0).when(F.col("percentiles")[0] >= SECONDS_FROM, 1.0).alias("unit"),
         )
@@ -124,7 +124,7 @@ def datetime_profile(table: DataFrame, limit: int = quantiles.GROUP_LIMIT) -> Da
             )
         )
     stacked = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    rate = F.count("at") / F.count(F.lit(1))
+    rate = F.try_divide(F.count("at"), F.count(F.lit(1)))
     return (
         stacked.groupBy("column")
         .agg(F.round(100.0 * rate, 4).alias("parse_rate_pct"), F.min("at").alias("min_utc"), F.max("at").alias("max_utc"), rate.alias("rate"))
@@ -145,7 +145,7 @@ def option_dataset_summary(contracts: DataFrame, fields: list[str]) -> DataFrame
     """Per symbol and side: rows, expirations, maturity and strike ranges and field coverage."""
     symbol = F.upper(symbol_column(contracts)).alias("symbol")
     coverage = [
-        F.round(100.0 * F.count(c) / F.count(F.lit(1)), 4).alias(f"{c}_non_null_pct") for c in fields if c in contracts.columns
+        F.round(F.try_divide(100.0 * F.count(c), F.count(F.lit(1))), 4).alias(f"{c}_non_null_pct") for c in fields if c in contracts.columns
     ]
     return contracts.groupBy(symbol, F.upper("put_call").alias("put_call")).agg(
         F.count(F.lit(1)).alias("rows"),
@@ -168,5 +168,5 @@ def price_dataset_summary(history: DataFrame, time: str = "datetime_utc") -> Dat
         F.min(time).alias("start_utc"),
         F.max(time).alias("end_utc"),
         zero.alias("zero_volume_count"),
-        (100.0 * zero / F.count(F.lit(1))).alias("zero_volume_pct"),
+        (F.try_divide(100.0 * zero, F.count(F.lit(1)))).alias("zero_volume_pct"),
     )

@@ -1,10 +1,8 @@
 """Exact grouped percentiles that hold up when one group has most of the rows.
 
-Ordinary groups use Spark's exact ``percentile`` in a single aggregate. It
-keeps every distinct value of a group in one task, so groups above a measured
-size take another route: values are counted per (group, value), cut into slices
-by a sketch of the group's distribution, located by slice counts, and only the
-slice that holds a wanted rank is ordered.
+Values are counted per (group, value), cut into slices by a sketch of the group's
+distribution, located by slice counts, and only the slice that holds a wanted
+rank is ordered. Groups of every size take this way. A null key is a group.
 """
 
 from __future__ import annotations
@@ -12,37 +10,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GROUP_LIMIT = 2_000_000
+#: At least so many slices and salts; more where the session shuffles into more partitions.
 SLICES = 256
 SALTS = 16
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the biggest group; reads the key columns only."""
-    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
-    return int(top or 0)
+def _fan_out(df: DataFrame) -> tuple[int, int]:
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(SLICES, partitions), max(SALTS, partitions)
 
 
-def grouped_medians(df: DataFrame, keys: list[str], values: dict[str, Column], limit: int = GROUP_LIMIT) -> DataFrame:
+def grouped_medians(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
     """Median of each named expression per group; NULL when it has no value."""
-    if largest_group(df, keys) <= limit:
-        return df.groupBy(*keys).agg(*[F.percentile(v, 0.5).alias(name) for name, v in values.items()])
-    long = _long(df, keys, values)
-    picked = sliced_percentiles(long, [*keys, "metric"], [0.5])
-    groups = df.select(*keys).distinct()
-    wide = picked.groupBy(*keys).pivot("metric", list(values)).agg(F.first(F.col("percentiles")[0]))
-    return groups.join(wide, keys, "left")
+    picked = sliced_percentiles(_long(df, keys, values), [*keys, "metric"], [0.5])
+    wide = picked.groupBy(_key(keys)).pivot("metric", list(values)).agg(F.first(F.col("percentiles")[0]))
+    # A struct is never null, so groups with a null key find their medians.
+    groups = df.select(_key(keys)).distinct()
+    return groups.join(wide, "__key", "left").select("__key.*", *values)
 
 
-def grouped_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float], limit: int = GROUP_LIMIT) -> DataFrame:
+def grouped_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """Array of percentiles of one column per group."""
     rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    if largest_group(rows, keys) <= limit:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        return rows.groupBy(*keys).agg(F.percentile(value, wanted).alias("percentiles"))
     return sliced_percentiles(rows.select(*keys, F.col(value).alias("value")), keys, probs)
 
 
+def _key(keys: list[str]) -> Column:
+    return F.struct(*keys).alias("__key")
+
+
 def _long(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
     cells = [F.struct(F.lit(name).alias("metric"), v.cast("double").alias("value")) for name, v in values.items()]
     return (
@@ -52,20 +48,22 @@ def _long(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFram
     )
 
 
-def sliced_percentiles(long: DataFrame, keys: list[str], probs: list[float], slices: int = SLICES) -> DataFrame:
+def sliced_percentiles(long: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
     """Percentiles with linear interpolation from ``keys..., value`` rows, without gathering a group anywhere.
 
     Work is spread by value: repeats collapse first, the slice edges of a group
     are one row copied to a few salts, and a rank window holds one slice.
     """
-    counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    names, keys = keys, ["__key"]
+    slices, salts = _fan_out(long)
+    counts = long.select(_key(names), "value").groupBy("__key", "value").agg(F.count(F.lit(1)).alias("n"))
     grid = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     edges = counts.groupBy(*keys).agg(
         F.array_distinct(F.approx_percentile("value", grid, 20 * slices)).alias("edges"), F.sum("n").alias("total")
     )
-    salted_edges = edges.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted_edges = edges.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     placed = (
-        counts.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int"))
+        counts.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int"))
         .join(salted_edges, [*keys, "salt"])
         .withColumn("slice", F.size(F.filter("edges", lambda e: e < F.col("value"))))
         .select(*keys, "value", "n", "slice", "total")
@@ -106,4 +104,5 @@ def sliced_percentiles(long: DataFrame, keys: list[str], probs: list[float], sli
         pairs.withColumn("value", value)
         .groupBy(*keys)
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]).alias("percentiles"))
+        .select("__key.*", "percentiles")
     )

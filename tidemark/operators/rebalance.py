@@ -49,7 +49,7 @@ def execution_targets(
     right = positions.withColumn("symbol", symbol)
     weight = F.coalesce("target_weight", F.lit(0.0))
     price = F.coalesce("close", "reference_price")
-    shares = F.floor(F.col("portfolio_capital") * F.col("approved_target_weight") / F.col("price")).cast("long")
+    shares = F.floor(F.try_divide(F.col("portfolio_capital") * F.col("approved_target_weight"), F.col("price"))).cast("long")
     held = F.coalesce("current_position", F.lit(0)).cast("long")
     joined = left.join(right, [*keys, "symbol"], "full").join(capital, keys)
     rows = joined.withColumns(
@@ -71,8 +71,8 @@ def execution_targets(
         {
             "target_dollar_value": F.col("portfolio_capital") * F.col("approved_target_weight"),
             "target_share_notional": notional,
-            "realized_target_weight": notional / F.col("portfolio_capital"),
-            "weight_rounding_error": F.col("approved_target_weight") - notional / F.col("portfolio_capital"),
+            "realized_target_weight": F.try_divide(notional, F.col("portfolio_capital")),
+            "weight_rounding_error": F.col("approved_target_weight") - F.try_divide(notional, F.col("portfolio_capital")),
             "target_status": status,
             "share_delta": F.col("target_shares") - F.col("current_position"),
             "trade_side": _side(F.col("target_shares") - F.col("current_position")),
@@ -128,7 +128,7 @@ def repair_cash(plan: DataFrame, cost_bps: float) -> DataFrame:
     left = F.col("deficit") - F.col("freed_before") - CASH_SLACK
     removed = F.when(
         (left > 0) & (F.col("buys") > 0),
-        F.least(F.col("buys"), F.ceil(left / (F.col("price") * rate))),
+        F.least(F.col("buys"), F.ceil(F.try_divide(left, F.col("price") * rate))),
     ).otherwise(0)
     return (
         rows.withColumn("removed_shares", removed.cast("long"))
@@ -157,7 +157,7 @@ def rebalance_plan(
         rows.withColumn("portfolio_value", value)
         .filter("portfolio_value > 0")
         .withColumn("target_dollars", F.col("target_weight") * F.col("portfolio_value"))
-        .withColumn("target_shares", F.floor(F.col("target_dollars") / F.col("price")).cast("long"))
+        .withColumn("target_shares", F.floor(F.try_divide("target_dollars", "price")).cast("long"))
     )
     plan = repair_cash(floored, cost_bps)
     trade = F.col("target_shares") - F.col("shares")
@@ -177,9 +177,9 @@ def rebalance_plan(
         .withColumns(
             {
                 "side": _side(F.col("trade_shares")),
-                "current_weight": F.col("shares") * F.col("price") / F.col("portfolio_value"),
-                "post_trade_weight": F.col("post_trade_value") / F.col("ending_value"),
-                "turnover_ratio": F.col("gross_trade_notional") / F.col("portfolio_value"),
+                "current_weight": F.try_divide(F.col("shares") * F.col("price"), F.col("portfolio_value")),
+                "post_trade_weight": F.try_divide("post_trade_value", "ending_value"),
+                "turnover_ratio": F.try_divide("gross_trade_notional", "portfolio_value"),
             }
         )
     )

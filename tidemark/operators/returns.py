@@ -52,12 +52,12 @@ def _with_change(prices: DataFrame, change: Column) -> DataFrame:
 
 def daily_returns(prices: DataFrame) -> DataFrame:
     """Simple returns with no filling across gaps."""
-    change = F.col("close") / F.col("previous_close") - 1.0
+    change = F.try_divide("close", "previous_close") - 1.0
     return _with_change(prices, change).select("universe_id", "session", "asset", "ret")
 
 
 def log_returns(prices: DataFrame) -> DataFrame:
-    change = F.log(F.col("close") / F.col("previous_close"))
+    change = F.log(F.try_divide("close", "previous_close"))
     return _with_change(prices, change).select("universe_id", "session", "asset", "ret")
 
 
@@ -120,7 +120,7 @@ def lookback_returns(prices: DataFrame, as_of: DataFrame, length: int) -> DataFr
     )
     numbered = complete.join(sessions, ["universe_id", "session"])
     previous = F.lag("close").over(Window.partitionBy(*SERIES).orderBy("session"))
-    rets = numbered.withColumn("ret", F.col("close") / previous - 1.0).filter("ret is not null")
+    rets = numbered.withColumn("ret", F.try_divide(F.col("close"), previous) - 1.0).filter("ret is not null")
     picked = rets.join(last, "universe_id").filter(
         (F.col("session_no") <= F.col("last_no")) & (F.col("session_no") > F.col("last_no") - length)
     )
@@ -147,7 +147,7 @@ def forward_price_returns(prices: DataFrame, freeze: str, evaluation: str) -> Da
     previous = F.lag("close").over(Window.partitionBy(*SERIES).orderBy("session"))
     return (
         base.unionByName(later)
-        .withColumn("ret", F.col("close") / previous - 1.0)
+        .withColumn("ret", F.try_divide(F.col("close"), previous) - 1.0)
         .filter(F.col("session") > frozen)
         .select("universe_id", "session", "asset", "ret")
     )

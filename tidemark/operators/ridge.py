@@ -133,11 +133,17 @@ def predictions(
 
 
 def frozen_coefficients(
-    design: DataFrame, features: list[str], targets: list[str], alpha: float = ALPHA, purged: bool = True
+    design: DataFrame, features: list[str], targets: list[str], alpha: float = ALPHA, purged: bool = True, frozen_through: str | None = None
 ) -> DataFrame:
-    """Coefficients of the latest fit of each universe: target, feature, mean, scale, slope and intercept."""
+    """Coefficients of the latest fit of each universe: target, feature, mean, scale, slope and intercept.
+
+    With ``frozen_through`` the latest fit on or before that date is taken. A
+    purged fit knows only labels whose horizon has ended by its own date, so none
+    reaches beyond the freeze.
+    """
     k = len(features) + len(targets) + 1
-    last = design.groupBy("universe_id").agg(F.max("rebalance_date").alias("rebalance_date"))
+    dates = design if frozen_through is None else design.filter(F.col("rebalance_date") <= F.to_date(F.lit(frozen_through)))
+    last = dates.groupBy("universe_id").agg(F.max("rebalance_date").alias("rebalance_date"))
     packed = _packed(training_sums(design, features, targets, purged).join(last, KEYS, "left_semi"), k)
     n_features = len(features)
 

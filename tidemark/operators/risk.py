@@ -61,7 +61,7 @@ def risk_concentration(contributions: DataFrame, keys: list[str] | None = None)
     keys = keys or ["portfolio_id"]
     squares = F.sum(F.col("risk_share") * F.col("risk_share"))
     return contributions.groupBy(*keys).agg(
-        squares.alias("risk_concentration"), (1.0 / squares).alias("effective_risk_positions")
+        squares.alias("risk_concentration"), F.try_divide(F.lit(1.0), squares).alias("effective_risk_positions")
     )
 
 
@@ -72,9 +72,9 @@ def allocation_comparison(weights: DataFrame, cov: DataFrame, keys: list[str]) -
     return contributions.groupBy(*groups).agg(
         F.sum("component_risk").alias("volatility"),
         F.sum(F.col("weight") * F.col("weight")).alias("weight_concentration"),
-        (1.0 / F.sum(F.col("weight") * F.col("weight"))).alias("effective_positions"),
+        F.try_divide(F.lit(1.0), F.sum(F.col("weight") * F.col("weight"))).alias("effective_positions"),
         F.sum(F.col("risk_share") * F.col("risk_share")).alias("risk_concentration"),
-        (1.0 / F.sum(F.col("risk_share") * F.col("risk_share"))).alias("effective_risk_positions"),
+        F.try_divide(F.lit(1.0), F.sum(F.col("risk_share") * F.col("risk_share"))).alias("effective_risk_positions"),
         F.max("weight").alias("largest_weight"),
         F.max("risk_share").alias("largest_risk_share"),
     )

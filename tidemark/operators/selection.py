@@ -92,7 +92,7 @@ def calibration_buckets(forecasts: DataFrame, keys: list[str], bins: int = 4) ->
     """
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("predicted", "rebalance_date"))
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    bucket = F.greatest(F.lit(1), F.ceil((F.col("rk") - 1) * bins / (F.col("n") - 1)).cast("int"))
+    bucket = F.greatest(F.lit(1), F.ceil(F.try_divide((F.col("rk") - 1) * bins, F.col("n") - 1)).cast("int"))
     return (
         forecasts.withColumns({"rk": rank, "n": n})
         .withColumn("bucket", bucket)
@@ -135,7 +135,7 @@ def selection_metrics(selections: DataFrame, keys: list[str] | None = None) -> D
         F.avg("selected_realized_excess").alias("average_selected_excess"),
         (proxy - 1.0).alias("proxy_total_return"),
         (bench - 1.0).alias("equal_weight_total_return"),
-        (proxy / bench - 1.0).alias("proxy_excess_growth"),
+        (F.try_divide(proxy, bench) - 1.0).alias("proxy_excess_growth"),
     )
 
 

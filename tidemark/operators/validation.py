@@ -36,7 +36,7 @@ def _issues(table: DataFrame, keys: list[str], dataset: str, rules: list[tuple[s
     cells = [
         F.struct(
             F.lit(level).alias("level"), F.lit(code).alias("code"), F.col(f"r{i}").alias("count"),
-            (100.0 * F.col(f"r{i}") / F.col("rows")).alias("percentage"),
+            F.try_divide(100.0 * F.col(f"r{i}"), F.col("rows")).alias("percentage"),
         )
         for i, (level, code, _) in enumerate(rules)
     ] + [
@@ -121,7 +121,7 @@ def validate_price_history(history: DataFrame, keys: list[str] | None = None) ->
         F.min("datetime_utc").alias("start_utc"),
         F.max("datetime_utc").alias("end_utc"),
         zero.alias("zero_volume_count"),
-        (100.0 * zero / F.count(F.lit(1))).alias("zero_volume_pct"),
+        (F.try_divide(100.0 * zero, F.count(F.lit(1)))).alias("zero_volume_pct"),
     )
 
 
@@ -163,7 +163,7 @@ def option_coverage(prepared: DataFrame, keys: list[str] | None = None) -> DataF
         "wide_spread": c("relative_spread_pct") > WIDE_SPREAD_PCT,
         "stale_quote": c("quote_age_minutes") > MAX_QUOTE_AGE,
     }.items():
-        out += [F.count_if(broken).alias(f"{name}_count"), (100.0 * F.count_if(broken) / n).alias(f"{name}_pct")]
+        out += [F.count_if(broken).alias(f"{name}_count"), F.try_divide(100.0 * F.count_if(broken), n).alias(f"{name}_pct")]
     dte = opt.dte_bucket(c("expiration_dte"))
     money = opt.moneyness_bucket(c("signed_moneyness_pct"))
     return prepared.groupBy(*keys).agg(

@@ -141,7 +141,7 @@ paired as (
 
 
 def optimizer_book(rets, personal):
-    inverse = rets.groupBy("asset").agg((1.0 / F.var_samp("ret")).alias("weight"))
+    inverse = rets.groupBy("asset").agg(F.try_divide(F.lit(1.0), F.var_samp("ret")).alias("weight"))
     slots = personal.select("portfolio_id").distinct().withColumn("asset", F.explode(F.array(*[F.lit(a) for a in ASSETS])))
     return slots.join(inverse, "asset").select("portfolio_id", "asset", "weight")
 

@@ -504,7 +504,7 @@ def yearly_agreement(spark, sf):
       select universe_id, model, max_by(n, rebalance_date) as n, max_by(my, rebalance_date) as intercept,
         max_by(m1, rebalance_date) as m1, max_by(m2, rebalance_date) as m2, max_by(s1, rebalance_date) as s1,
         max_by(s2, rebalance_date) as s2, max_by(rho, rebalance_date) as rho, max_by(c1, rebalance_date) as c1,
-        max_by(c2, rebalance_date) as c2 from f_fit group by universe_id, model),
+        max_by(c2, rebalance_date) as c2 from f_fit where rebalance_date <= date '2000-12-31' group by universe_id, model),
     frozen as (
       select *, ((n + 10) * n * c1 - n * rho * n * c2) / (pow(n + 10, 2) - pow(n * rho, 2)) as b1,
              ((n + 10) * n * c2 - n * rho * n * c1) / (pow(n + 10, 2) - pow(n * rho, 2)) as b2 from last_fit),
@@ -519,7 +519,7 @@ def yearly_agreement(spark, sf):
 def score_signal(spark, sf):
     design = learning_table(spark, sf)
     features = SETS["momentum"]
-    coefficients = cut_lineage(ridge.frozen_coefficients(design, features, _targets()))
+    coefficients = cut_lineage(ridge.frozen_coefficients(design, features, _targets(), frozen_through="2000-12-31"))
     scored = ridge.score_signal(feature_matrix(spark, sf), coefficients, features, "2000-12-31")
     rows = scored.withColumn("model", F.regexp_replace("target", "_excess_vs_equal_weight$", ""))
     state = F.when(F.col("score") > 0, F.col("model")).otherwise("equal_weight")

@@ -34,19 +34,29 @@ def stream_normalize(spark, sf):
 
 @register(
     "stream_append_history",
-    """select event_type, count(*) as events, count(distinct event_id) as keys, 0::bigint as conflicts from events group by event_type""",
+    """select event_type,
+         count(*) filter (where not (event_id % 50 = 0 and day(ts) <= 20)) as events,
+         count(distinct event_id) filter (where not (event_id % 50 = 0 and day(ts) <= 20)) as keys,
+         2 * count(*) filter (where event_id % 50 = 0 and day(ts) <= 20)
+           + count(*) filter (where event_id % 50 = 1 and day(ts) between 10 and 20) as conflicts
+       from events group by event_type""",
 )
 def stream_append_history(spark, sf):
-    """Event batches that overlap by key, appended as a stream; history holds each key once."""
-    landing, path = scratch_path(spark, "batches"), scratch_path(spark, "stream-history")
+    """Event batches that overlap by key, appended as a stream; history holds each undisputed key once.
+
+    Every fiftieth event of the first batch comes twice with different values,
+    and its neighbour comes with another value in the second.
+    """
+    path, checkpoint = scratch_path(spark, "stream-history"), scratch_path(spark, "offsets")
     events = harness.read(spark, sf, "events").select("event_id", "event_type", "user_id", "value", F.dayofmonth("ts").alias("day"))
-    for part in (events.filter("day <= 20"), events.filter("day >= 10")):
-        part.coalesce(2).write.mode("append").parquet(landing)
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    ingest.stream_append_history(source, path, scratch_path(spark, "offsets"), ["event_id"]).awaitTermination()
-    return (
-        spark.read.parquet(path)
-        .groupBy("event_type")
-        .agg(F.count(F.lit(1)).alias("events"), F.countDistinct("event_id").alias("keys"))
-        .withColumn("conflicts", F.lit(int(ingest.table_exists(spark, f"{path}_conflicts"))).cast("long"))
-    )
+    disputed = events.filter("event_id % 50 = 0 and day <= 20").withColumn("value", F.col("value") + 1)
+    later = events.filter("day >= 10 and not (event_id % 50 = 0 and day <= 20)")
+    changed = later.withColumn("value", F.when(F.expr("event_id % 50 = 1 and day <= 20"), F.col("value") + 1).otherwise(F.col("value")))
+    landing = scratch_path(spark, "batches")
+    for part in (events.filter("day <= 20").unionByName(disputed), changed):
+        part.write.mode("append").parquet(landing)
+        source = spark.readStream.schema(events.schema).parquet(landing)
+        ingest.stream_append_history(source, path, checkpoint, ["event_id"]).awaitTermination()
+    kept = spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("event_id").alias("keys"))
+    aside = spark.read.parquet(f"{path}_conflicts").groupBy("event_type").agg(F.count(F.lit(1)).alias("conflicts"))
+    return kept.join(aside, "event_type", "left").select("event_type", "events", "keys", F.coalesce("conflicts", F.lit(0).cast("long")).alias("conflicts"))

@@ -109,8 +109,8 @@ def priceable(positions: DataFrame) -> DataFrame:
         .select(
             "account_id",
             text.alias("symbol"),
-            (F.col("market_value") / F.col("priced_value")).alias("weight"),
-            (F.col("priced_value") / F.col("total_value")).alias("pricing_coverage"),
+            F.try_divide("market_value", "priced_value").alias("weight"),
+            F.try_divide("priced_value", "total_value").alias("pricing_coverage"),
         )
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.history import conflicts, new_rows, same_partitions, table_exists
+from tidemark.operators.history import conflicts, new_rows, null_in, same_partitions, table_exists
 from tidemark.sources.payloads import ENVELOPE, NORMALIZERS, split_envelopes
 
 
@@ -76,31 +76,38 @@ def stream_append_history(
 ) -> StreamingQuery:
     """Append rows with unseen keys; repeats must match the stored row, late or not.
 
-    A conflicting repeat is kept aside below ``path``_conflicts and never
-    overwrites history. Within a batch one row per key survives: the smallest
-    by all columns, chosen by an aggregate. ``partition_by`` (key columns) lays
-    the table out so that a batch reads only the partitions it touches.
+    What cannot be appended is kept aside in ``path``_conflicts with the reason and
+    never overwrites history: rows with a null in the key, all rows of a key that
+    comes with different content in one batch, and rows that differ from the
+    stored one. ``partition_by`` (key columns) lays the table out so that a batch
+    reads only the partitions it touches.
     """
 
     def save(rows: DataFrame) -> None:
         writer = rows.write.mode("append")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rest = [c for c in batch.columns if c not in keys]
-        one = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*").select(*batch.columns).persist()
+        columns = batch.columns
+        distinct = batch.distinct().persist()
         try:
-            if not table_exists(spark, path):
-                save(one)
-                return
-            existing = same_partitions(spark.read.parquet(path), one, partition_by)
-            clash = conflicts(existing, one, keys)
-            if not clash.isEmpty():
-                clash.write.mode("append").parquet(f"{path}_conflicts")
-            save(new_rows(existing, one, keys))
+            named = distinct.filter(~null_in(keys))
+            several = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys)
+            aside = distinct.filter(null_in(keys)).withColumn("reason", F.lit("NULL_KEY"))
+            aside = aside.unionByName(named.join(several, keys, "left_semi").select(*columns).withColumn("reason", F.lit("CONFLICT_IN_BATCH")))
+            one = named.join(several, keys, "left_anti").select(*columns)
+            fresh = one
+            if table_exists(spark, path):
+                existing = same_partitions(spark.read.parquet(path), one, partition_by)
+                clash = conflicts(existing, one, keys).select(*keys)
+                aside = aside.unionByName(one.join(clash, keys, "left_semi").select(*columns).withColumn("reason", F.lit("CONFLICT_WITH_HISTORY")))
+                fresh = new_rows(existing, one, keys).select(*columns)
+            # A batch that runs again replaces what it set aside before, and finds its own rows in the history.
+            aside.write.mode("overwrite").parquet(f"{path}_conflicts/batch={number}")
+            save(fresh)
         finally:
-            one.unpersist()
+            distinct.unpersist()
 
     writer = incoming.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
