@@ -2,8 +2,8 @@
 
 ``pairs`` rows: comparison keys, an order column, ``challenger`` and
 ``benchmark``. Each comparison's series is folded into one row (its length is a
-number of periods), copied once per iteration and spread over all tasks; one
-iteration is then computed inside its own row, so resampling never shuffles.
+number of periods), sent out once per hundred iterations and copied for each of
+them inside the task, where one iteration is computed in its own row.
 Draws come from an md5 of (iteration, block, seed): reproducible on any engine.
 """
 
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_OBSERVATIONS = 12
+#: Iterations that one copy of a series on the network serves.
+CHUNK = 100
 
 
 def series_rows(pairs: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
@@ -29,6 +31,15 @@ def series_rows(pairs: DataFrame, keys: list[str], order: str, columns: list[str
     )
 
 
+def too_short(pairs: DataFrame, keys: list[str], order: str, columns: list[str], least: int = MIN_OBSERVATIONS) -> DataFrame:
+    """Comparisons that the bootstrap leaves out, with their number of complete observations."""
+    complete = F.lit(True)
+    for c in columns:
+        complete = complete & F.col(c).isNotNull()
+    counted = pairs.groupBy(*keys).agg(F.count_if(complete & F.col(order).isNotNull()).alias("observations"))
+    return counted.filter(F.col("observations") < least).withColumn("issue", F.lit("TOO_FEW_OBSERVATIONS"))
+
+
 def draw(iteration: Column, block: Column, seed: int | Column, n: Column) -> Column:
     """A reproducible integer in [0, n)."""
     seed_text = F.lit(str(seed)) if isinstance(seed, int) else seed.cast("string")
@@ -41,8 +52,10 @@ def resample(rows: DataFrame, columns: list[str], iterations: int, block_length:
     blocks = F.ceil(F.col("n") / block_length).cast("int")
     # Few bytes but much arithmetic per row: a fixed count keeps adaptive execution from folding the tasks into one.
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    copies = rows.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    spread = copies.repartition(tasks, "iteration")
+    chunks = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // CHUNK))))
+    dealt = chunks.repartition(tasks, "chunk", *[c for c in rows.columns if c not in columns])
+    last = F.least((F.col("chunk") + 1) * CHUNK, F.lit(iterations)) - 1
+    spread = dealt.withColumn("iteration", F.explode(F.sequence(F.col("chunk") * CHUNK, last))).drop("chunk")
     starts = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: draw(F.col("iteration"), b, seed, F.col("n")))
     offsets = F.sequence(F.lit(0), F.lit(block_length - 1))
     runs = F.transform(starts, lambda s: F.transform(offsets, lambda o: (s + o) % F.col("n")))

@@ -118,7 +118,7 @@ def candidate_allocation(
         F.to_date("as_of_session").alias("as_of"),
         F.col("symbol").alias("asset"),
     )
-    own = prices.drop("universe_id").join(names.drop("as_of"), "asset")
+    own = prices.drop("universe_id").join(names, "asset").filter("session <= as_of")
     dates = names.select("universe_id", "as_of").distinct()
     rets = cut_lineage(returns.lookback_returns(own.select("universe_id", "session", "asset", "close"), dates, lookback))
     sums = cut_lineage(covariance.pair_sums(rets.filter(F.col("observations") == lookback)))

@@ -112,16 +112,21 @@ def lookback_returns(prices: DataFrame, as_of: DataFrame, length: int) -> DataFr
     """
     complete = complete_rows(prices, "close")
     sessions = numbered_sessions(complete)
-    last = (
-        as_of.join(sessions, "universe_id")
-        .filter("session <= as_of")
-        .groupBy("universe_id", "as_of")
-        .agg(F.max("session_no").alias("last_no"))
+    # The last session on or before each date, carried forward over both lists in order.
+    none = F.lit(None)
+    line = sessions.select("universe_id", F.col("session").alias("at"), "session_no", none.cast("date").alias("as_of")).unionByName(
+        as_of.select("universe_id", F.to_date("as_of").alias("at"), none.cast("int").alias("session_no"), F.to_date("as_of").alias("as_of")).distinct()
     )
+    upto = Window.partitionBy("universe_id").orderBy("at", F.col("as_of").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    last = line.withColumn("last_no", F.last("session_no", ignorenulls=True).over(upto)).filter("as_of is not null and last_no is not null").select("universe_id", "as_of", "last_no")
     numbered = complete.join(sessions, ["universe_id", "session"])
     previous = F.lag("close").over(Window.partitionBy(*SERIES).orderBy("session"))
     rets = numbered.withColumn("ret", F.try_divide(F.col("close"), previous) - 1.0).filter("ret is not null")
-    picked = rets.join(last, "universe_id").filter(
+    # A lookback touches two blocks of session numbers, so it meets those and not all history.
+    block = F.floor((F.col("session_no") - 1) / length)
+    own = F.floor((F.col("last_no") - 1) / length)
+    asked = last.withColumn("block", F.explode(F.array(own, own - 1)))
+    picked = rets.withColumn("block", block).join(asked, ["universe_id", "block"]).filter(
         (F.col("session_no") <= F.col("last_no")) & (F.col("session_no") > F.col("last_no") - length)
     )
     seen = F.count(F.lit(1)).over(Window.partitionBy("universe_id", "as_of", "asset"))

@@ -7,6 +7,8 @@ user parity play the ten series.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import macro
@@ -139,18 +141,18 @@ def macro_features(spark, sf):
 
 @register(
     "macro_file_round_trip",
-    f"""with {_OBS_SQL} select obs_date, series, {r("value", 8)} from observations where series in ('payrolls', 'yield_2y')""",
+    f"""with {_OBS_SQL} select obs_date, series, {r("value", 8)} from observations""",
 )
 def macro_file_round_trip(spark, sf):
-    """Two series written as date, value files with "." for missing and read back."""
+    """Every series written as date, value files with "." for missing and read back."""
     obs = cut_lineage(observations(spark, sf))
     days = obs.select("obs_date").distinct()
     parts = []
-    for name in ("payrolls", "yield_2y"):
+    for name in macro.SERIES_NAMES:
         path = scratch_path(spark, name)
         # Dates without an observation are written as "." and must be dropped by the scan.
         rows = days.join(obs.filter(F.col("series") == name), "obs_date", "left")
         text = F.coalesce(F.col("value").cast("string"), F.lit("."))
         rows.select(F.col("obs_date").alias("DATE"), text.alias("VALUE")).write.option("header", True).csv(path)
         parts.append(macro_files.scan_series(spark, path, name))
-    return rounded(parts[0].unionByName(parts[1]), 8, "value")
+    return rounded(reduce(lambda a, b: a.unionByName(b), parts), 8, "value")

@@ -12,7 +12,7 @@ from tidemark.plans.common import RULE_RESULTS_SQL, r, rounded, rule_results
 from tidemark.plans.selection import QUARTERLY_SQL, quarterly
 from tidemark.session import cut_lineage
 
-ITERATIONS, QUARTER_DRAWS = 1000, 2000
+ITERATIONS, QUARTER_DRAWS = 5000, 10000
 
 
 def _pairs(spark, sf):
@@ -50,7 +50,7 @@ def _samples_sql(block_length: int, name: str = "samples", iterations: int = ITE
 {name}_placed as (
   select z.universe_id, z.model, iteration, slot, z.n,
          ({_draw_sql(f"slot // {block_length}")} % z.n + slot % {block_length}) % z.n as pos
-  from (select distinct universe_id, model, n from pairs) z, range({iterations}) i(iteration), range(1000) s(slot) where slot < z.n),
+  from (select distinct universe_id, model, n from pairs) z, range({iterations}) i(iteration), unnest(range(z.n)) s(slot)),
 {name}_values as (
   select d.universe_id, d.model, iteration, slot, d.n, challenger, benchmark
   from {name}_placed d join pairs p on p.universe_id = d.universe_id and p.model = d.model and p.pos = d.pos),
@@ -152,8 +152,7 @@ ordered as (
          count(*) over (partition by universe_id, phase) as n from excess),
 placed as (
   select z.universe_id, z.phase, iteration, slot, {_draw_sql("slot", "42 + phase")} % z.n as pos
-  from (select distinct universe_id, phase, n from ordered) z, range({QUARTER_DRAWS}) i(iteration), range(1000) s(slot)
-  where slot < z.n),
+  from (select distinct universe_id, phase, n from ordered) z, range({QUARTER_DRAWS}) i(iteration), unnest(range(z.n)) s(slot)),
 draws as (
   select universe_id, phase, iteration, any_value(n) as n, {per_draw}
   from placed join ordered using (universe_id, phase, pos) group by all),
