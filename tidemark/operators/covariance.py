@@ -235,5 +235,29 @@ def trailing_pair_correlation(returns: DataFrame, length: int) -> DataFrame:
     )
 
 
+def average_trailing_correlation(returns: DataFrame, marks: DataFrame, length: int) -> DataFrame:
+    """Average pair correlation over the ``length`` sessions up to each of ``marks(universe_id, session)``.
+
+    With standardised returns z it is ((sum over sessions of (sum of z)^2) / (length - 1) - n) / (n (n - 1)), so the
+    rows are those of the windows before marked dates, and linear in the assets. Flat assets have no correlation.
+    """
+    sessions = returns.select("universe_id", "session").distinct()
+    numbered = sessions.withColumn("no", F.row_number().over(Window.partitionBy("universe_id").orderBy("session")))
+    asked = (
+        marks.select("universe_id", "session").distinct().join(numbered, ["universe_id", "session"]).filter(F.col("no") >= length)
+        .select("universe_id", F.col("session").alias("mark"), F.explode(F.sequence(F.col("no") - length + 1, F.col("no"))).alias("no"))
+    )
+    own = Window.partitionBy("universe_id", "mark", "asset")
+    rows = (
+        returns.join(numbered, ["universe_id", "session"]).join(asked, ["universe_id", "no"])
+        .withColumns({"seen": F.count("ret").over(own), "mean": F.avg("ret").over(own), "sd": F.stddev_samp("ret").over(own)})
+        .filter((F.col("seen") == length) & (F.col("sd") > 0))
+    )
+    per_session = rows.groupBy("universe_id", "mark", "no").agg(F.sum((F.col("ret") - F.col("mean")) / F.col("sd")).alias("z"), F.count(F.lit(1)).alias("n"))
+    total, n = F.sum(F.col("z") * F.col("z")), F.max("n")
+    average = F.try_divide(F.try_divide(total, F.lit(length - 1)) - n, n * (n - 1))
+    return per_session.groupBy("universe_id", F.col("mark").alias("session")).agg(average.alias("average_corr"))
+
+
 def average_pairwise(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("universe_id", "session").agg(F.avg("corr").alias("average_corr"))

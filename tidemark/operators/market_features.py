@@ -87,16 +87,21 @@ def regime_features(
     aggregates += [F.stddev_pop(f"vol_{n}d").alias(f"cross_asset_vol_dispersion_{n}d") for n in volatility_windows]
     wide = per_asset.groupBy("universe_id", "session").agg(*aggregates)
 
-    pairs = covariance.trailing_pair_correlation(returns, correlation_window).join(
-        marks, ["universe_id", "session"], "left_semi"
+    correlations = covariance.average_trailing_correlation(returns, marks, correlation_window).withColumnRenamed(
+        "average_corr", f"average_pairwise_corr_{correlation_window}d"
     )
-    named = [F.avg("corr").alias(f"average_pairwise_corr_{correlation_window}d")]
+    named, involved = [], set()
     for name, (a, b) in CORRELATION_PAIRS.items():
         if roles.get(a) in assets and roles.get(b) in assets:
             low, high = sorted((roles[a], roles[b]))
             hit = (F.col("asset_i") == low) & (F.col("asset_j") == high)
             named.append(F.max(F.when(hit, F.col("corr"))).alias(f"{name}_{correlation_window}d"))
-    correlations = pairs.groupBy("universe_id", "session").agg(*named)
+            involved |= {low, high}
+    if named:
+        # Pairs are formed of the named assets only.
+        pairs = covariance.trailing_pair_correlation(returns.filter(F.col("asset").isin(sorted(involved))), correlation_window)
+        kept = pairs.join(marks, ["universe_id", "session"], "left_semi").groupBy("universe_id", "session").agg(*named)
+        correlations = correlations.join(kept, ["universe_id", "session"], "left")
 
     spreads = {}
     if CORRELATION_WINDOW in return_windows:
