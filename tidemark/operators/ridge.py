@@ -1,8 +1,8 @@
 """Standardised ridge forecasts refitted at every date from sums of products.
 
 A design table is wide: ``universe_id, rebalance_date, horizon_end?``, feature
-and target columns. Each row is turned into its Gram entries once; the entries
-are accumulated by one running sum, and a small solve per date reads at most
+and target columns. Each row is turned into its Gram rows once; they are
+accumulated by one running sum, and a small solve per date reads at most
 (features + targets) squared numbers, never the history.
 """
 
@@ -18,38 +18,33 @@ MIN_TRAINING = 36
 KEYS = ["universe_id", "rebalance_date"]
 
 
-def _entries(rows: DataFrame, names: list[str]) -> DataFrame:
-    """(i, j, value) for i <= j of the row vector (1, features, targets)."""
-    k = len(names) + 1
-    vector = F.array(F.lit(1.0), *[F.col(n).cast("double") for n in names])
-    kept = [c for c in rows.columns if c not in names]
-    by_i = rows.select(*kept, vector.alias("z")).select(*kept, "z", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"))
-    by_ij = by_i.select(*kept, "z", "i", F.explode(F.sequence(F.col("i"), F.lit(k - 1))).alias("j"))
-    return by_ij.select(*kept, "i", "j", (F.col("z")[F.col("i")] * F.col("z")[F.col("j")]).alias("v"))
-
-
 def training_sums(design: DataFrame, features: list[str], targets: list[str], purged: bool) -> DataFrame:
-    """Gram entries of every date's training rows.
+    """Gram rows of every date's training rows: ``universe_id, rebalance_date, i, row`` with row i as an array.
 
     Unpurged training uses all strictly earlier dates. Purged training uses rows
     whose horizon ended strictly before the date: completions and questions are
     stacked on one time line, questions first on equal dates, and summed along
-    it, so no (row, date) pairs are formed. One window group is one Gram cell of
-    one universe and as long as its list of decision dates.
+    it, so no (row, date) pairs are formed. A decision is one row per Gram row
+    with its cells as columns; a window group is one Gram row of one universe
+    and as long as its list of decision dates.
     """
     names = [*features, *targets]
-    cells = _entries(design.select(*KEYS, *(["horizon_end"] if purged else []), *names), names)
+    vector = F.array(F.lit(1.0), *[F.col(n).cast("double") for n in names])
+    rows = design.select(*KEYS, *(["horizon_end"] if purged else []), vector.alias("z")).select("*", F.posexplode("z").alias("i", "own"))
+    cells = [f"g{j}" for j in range(len(names) + 1)]
+    none = F.lit(None).cast("date")
     at = "horizon_end" if purged else "rebalance_date"
-    done = cells.select("universe_id", F.col(at).alias("at"), F.lit(1).alias("kind"), "i", "j", "v", F.lit(None).cast("date").alias("asked"))
-    ask = cells.select(
-        "universe_id", F.col("rebalance_date").alias("at"), F.lit(0).alias("kind"), "i", "j", F.lit(0.0).alias("v"), F.col("rebalance_date").alias("asked")
+    done = rows.select("universe_id", F.col(at).alias("at"), F.lit(1).alias("kind"), "i", none.alias("asked"), *[(F.col("own") * F.col("z")[j]).alias(c) for j, c in enumerate(cells)])
+    ask = rows.select(
+        "universe_id", F.col("rebalance_date").alias("at"), F.lit(0).alias("kind"), "i", F.col("rebalance_date").alias("asked"), *[F.lit(0.0).alias(c) for c in cells]
     )
-    order = Window.partitionBy("universe_id", "i", "j").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("universe_id", "i").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    totals = F.array(*[F.sum(c).over(order) for c in cells])
     return (
         done.unionByName(ask)
-        .withColumn("total", F.sum("v").over(order))
+        .select("universe_id", "asked", "i", totals.alias("row"))
         .filter("asked is not null")
-        .select("universe_id", F.col("asked").alias("rebalance_date"), "i", "j", "total")
+        .select("universe_id", F.col("asked").alias("rebalance_date"), "i", "row")
     )
 
 
@@ -72,18 +67,16 @@ def fit(gram: np.ndarray, n_features: int, alpha: float) -> tuple[np.ndarray, np
 
 
 def unpack(cells, k: int) -> np.ndarray:
-    """Symmetric matrix from its upper triangle in row order."""
-    gram = np.zeros((k, k))
-    gram[np.triu_indices(k)] = np.asarray(cells, dtype=float)
-    return gram + np.triu(gram, 1).T
+    """Symmetric matrix from its cells in row order."""
+    return np.asarray(cells, dtype=float).reshape(k, k)
 
 
-def _packed(sums: DataFrame, k: int) -> DataFrame:
-    """One row per date with the upper triangle as an array in row order."""
-    cell = F.struct((F.col("i") * k + F.col("j")).alias("c"), F.col("total"))
+def _packed(sums: DataFrame) -> DataFrame:
+    """One row per date with the cells of its Gram matrix in row order."""
+    ordered = F.array_sort(F.collect_list(F.struct("i", "row")))
     return (
         sums.groupBy(*KEYS)
-        .agg(F.transform(F.array_sort(F.collect_list(cell)), lambda x: x["total"]).alias("g"))
+        .agg(F.flatten(F.transform(ordered, lambda x: x["row"])).alias("g"))
         .withColumn("training_labels", F.col("g")[0].cast("long"))
     )
 
@@ -100,7 +93,7 @@ def predictions(
         F.array(*[F.col(c).cast("double") for c in targets]).alias("y"),
     )
     flat = (
-        _packed(training_sums(design, features, targets, purged), k)
+        _packed(training_sums(design, features, targets, purged))
         .filter(F.col("training_labels") >= min_training)
         .join(rows_now, KEYS)
     )
@@ -144,7 +137,7 @@ def frozen_coefficients(
     k = len(features) + len(targets) + 1
     dates = design if frozen_through is None else design.filter(F.col("rebalance_date") <= F.to_date(F.lit(frozen_through)))
     last = dates.groupBy("universe_id").agg(F.max("rebalance_date").alias("rebalance_date"))
-    packed = _packed(training_sums(design, features, targets, purged).join(last, KEYS, "left_semi"), k)
+    packed = _packed(training_sums(design, features, targets, purged).join(last, KEYS, "left_semi"))
     n_features = len(features)
 
     def table(batches):
