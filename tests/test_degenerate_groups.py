@@ -8,7 +8,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import allocators, covariance, forecast, history, issues, portfolios, returns
+from tidemark.operators import allocators, covariance, forecast, history, issues, portfolios, rebalance, returns
 
 DAYS = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(40)]
 
@@ -93,3 +93,13 @@ def test_repeated_keys_in_the_history_are_refused(spark, tmp_path):
     spark.createDataFrame([(1, 1.0), (1, 1.0)], "k int, v double").write.parquet(path)
     with pytest.raises(history.HistoryConflict, match="history repeats"):
         history.idempotent_append(path, spark.createDataFrame([(2, 1.0)], "k int, v double"), ["k"])
+
+
+def test_unpriced_targets_refuse_the_account(spark):
+    targets = spark.createDataFrame([("a", "X", 0.5), ("a", "Y", 0.5), ("b", "X", 1.0), ("c", "X", 1.0)], "account_id string, asset string, target_weight double")
+    prices = spark.createDataFrame([("X", 10.0), ("Y", 0.0)], "asset string, price double")
+    cash = spark.createDataFrame([("a", 1000.0), ("b", 1000.0)], "account_id string, cash double")
+    positions = spark.createDataFrame([("b", "X", 3)], "account_id string, asset string, shares long")
+    found = {tuple(r) for r in rebalance.plan_issues(cash, prices, targets).collect()}
+    assert found == {("a", "MISSING_PRICE", "Y"), ("c", "MISSING_CASH", None)}
+    assert {r.account_id for r in rebalance.rebalance_plan(positions, cash, prices, targets).collect()} == {"b"}

@@ -137,15 +137,26 @@ def repair_cash(plan: DataFrame, cost_bps: float) -> DataFrame:
     )
 
 
+def plan_issues(cash: DataFrame, prices: DataFrame, targets: DataFrame) -> DataFrame:
+    """``account_id, issue, subject`` of accounts that cannot be planned: targets without a positive price, or no cash row."""
+    priced = prices.filter("price > 0").select("asset").distinct()
+    unpriced = targets.join(priced, "asset", "left_anti").select("account_id", F.lit("MISSING_PRICE").alias("issue"), F.col("asset").alias("subject"))
+    broke = targets.select("account_id").distinct().join(cash.filter("cash is not null").select("account_id"), "account_id", "left_anti")
+    return unpriced.unionByName(broke.select("account_id", F.lit("MISSING_CASH").alias("issue"), F.lit(None).cast("string").alias("subject")))
+
+
 def rebalance_plan(
     positions: DataFrame, cash: DataFrame, prices: DataFrame, targets: DataFrame, cost_bps: float = COST_BPS
 ) -> DataFrame:
     """Trades, cost, cash and weights after the trade per account and asset.
 
     Every (account, asset) of the target table is planned; holdings outside it
-    are not part of the plan's universe. Accounts without positive value are left out.
+    are not part of the plan's universe. Accounts without positive value are left
+    out, and so are accounts with a ``plan_issues`` row: half a plan is none.
     """
     account = Window.partitionBy("account_id")
+    refused = plan_issues(cash, prices, targets).select("account_id").distinct()
+    targets = targets.join(refused, "account_id", "left_anti")
     rows = (
         targets.join(positions, ["account_id", "asset"], "left")
         .join(cash, "account_id")

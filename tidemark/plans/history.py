@@ -11,13 +11,27 @@ from tidemark.plans.common import r, rounded
 from tidemark.session import cut_lineage, scratch_path
 from tidemark.sources import harness, harness_payloads, payloads, tables
 
-_FIELDS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"]
+_PLAIN = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"]
+# Measures are hashed in hundredths and dates as text, so that every engine writes the same characters.
+_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_FIELDS = [*_PLAIN, *(f"{c}_hundredths" for c in _MEASURES), "shipped_on"]
+_LINES_SQL = (
+    "lines as (select *, "
+    + ", ".join(f"cast(round({c} * 100) as bigint) as {c}_hundredths" for c in _MEASURES)
+    + ", strftime(l_shipdate, '%Y-%m-%d') as shipped_on from lineitem)"
+)
 _HASH_SQL = "sha256(to_json({" + ", ".join(f"'{c}': {c}" for c in _FIELDS) + "}))"
 
 
-@register("row_record_hash", f"select {', '.join(_FIELDS)}, {_HASH_SQL} as record_sha256 from lineitem")
+def _lines(spark, sf):
+    exact = {f"{c}_hundredths": F.round(F.col(c) * 100).cast("long") for c in _MEASURES}
+    return harness.read(spark, sf, "lineitem").withColumns(exact | {"shipped_on": F.date_format("l_shipdate", "yyyy-MM-dd")})
+
+
+@register("row_record_hash", f"with {_LINES_SQL} select {', '.join(_FIELDS)}, {_HASH_SQL} as record_sha256 from lines")
 def row_record_hash(spark, sf):
-    return harness.read(spark, sf, "lineitem").select(*_FIELDS, hashing.record_hash(_FIELDS).alias("record_sha256"))
+    """Every column of a row goes into its hash."""
+    return _lines(spark, sf).select(*_FIELDS, hashing.record_hash(_FIELDS).alias("record_sha256"))
 
 
 _SUMS = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::bigint) as s{i}" for i in range(2))
@@ -25,12 +39,12 @@ _SUMS = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::bigint) as s{i}"
 
 @register(
     "table_fingerprint",
-    f"""with h as (select l_shipdate, {_HASH_SQL} as h from lineitem),
+    f"""with {_LINES_SQL}, h as (select l_shipdate, {_HASH_SQL} as h from lines),
     s as (select year(l_shipdate)::integer as year, count(*) as rows, {_SUMS} from h group by 1)
     select year, rows, sha256(concat_ws('|', rows, s0, s1)) as fingerprint from s""",
 )
 def table_fingerprint(spark, sf):
-    lineitem = harness.read(spark, sf, "lineitem").withColumn("year", F.year("l_shipdate"))
+    lineitem = _lines(spark, sf).withColumn("year", F.year("l_shipdate"))
     return hashing.table_fingerprint(lineitem, _FIELDS, ["year"])
 
 
