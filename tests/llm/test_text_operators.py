@@ -166,7 +166,7 @@ def test_tokenizing(path, corpus):
 def test_token_files(spark, docs, corpus):
     path = scratch_path(spark, "files")
     token_files.write(docs, path, BYTE_BPE, block_ids=500)
-    rows = sorted(((r[0], np.append(i, 0).astype("<u4")) for r, i in zip(corpus, library_ids(BYTE_BPE, [r[1] for r in corpus]), strict=True)), key=lambda x: (x[0] is not None, x[0] or 0, x[1].tobytes()))
+    rows = sorted(((r[0], np.append(i, 0).astype("<u4")) for r, i in zip(corpus, library_ids(BYTE_BPE, [r[1] for r in corpus]), strict=True)), key=lambda x: (x[0] is not None, x[0] or 0, x[1].astype("<u2").tobytes()))
     start, expected = 0, []
     for d, ids in rows:
         expected.append((d, start, len(ids), zlib.crc32(ids.tobytes())))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import perfect_hash, tokenizing
 from tidemark.llm import text as tx
 
-BLOCK_IDS = 1 << 21
+BLOCK_IDS = 1 << 20
 END_ID = 0
 BLOCK = (
     "shard int, block int, first_key long, last_key long, n_docs long, n_ids long, width int, keys array<bigint>, starts binary, "
@@ -36,15 +36,23 @@ BLOCK = (
 )
 
 
-def encode(docs: DataFrame, vocabulary: str, end_id: int | None = END_ID) -> DataFrame:
-    """doc_id, ids (unsigned 32-bit little-endian) for each row of ``docs(doc_id, text)``."""
+def id_width(vocabulary: str) -> int:
+    """Bytes of an id: 2 where the whole vocabulary fits, else 4."""
+    return 2 if tokenizing.encoder(vocabulary).library.get_vocab_size() <= 1 << 16 else 4
+
+
+def encode(docs: DataFrame, vocabulary: str, width: int, end_id: int | None = END_ID) -> DataFrame:
+    """doc_id, ids (unsigned little-endian integers of ``width`` bytes) for each row of ``docs(doc_id, text)``."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
+    def narrow(ids: bytes) -> bytes:
+        return ids if width == 4 else np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = tokenizing.encoder(vocabulary)
         for ids, texts in tx.rows(batches, "doc_id", "text"):
-            yield tx.batch(schema, ids, [one.ids(t) + end for t in texts])
+            yield tx.batch(schema, ids, [narrow(one.ids(t) + end) for t in texts])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
@@ -63,7 +71,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, block_ids: int = BLOCK_ID
         at = np.searchsorted(np.array(cuts, dtype=np.int64), keys.fillna(-(2**63)).astype("int64").to_numpy(), side="left")
         return pd.Series(at.astype(np.int32))
 
-    dealt = encode(docs, vocabulary).withColumn("shard", shard_of("doc_id"))
+    width = id_width(vocabulary)
+    dealt = encode(docs, vocabulary, width).withColumn("shard", shard_of("doc_id"))
     ordered = dealt.repartition(max(1, len(cuts) + 1), "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
     schema = _arrow(BLOCK, spark)
 
@@ -73,14 +82,14 @@ def write(docs: DataFrame, path: str, vocabulary: str, block_ids: int = BLOCK_ID
         for shards_, keys, ids in tx.rows(batches, "shard", "doc_id", "ids"):
             for s, k, v in zip(shards_, keys, ids, strict=True):
                 if held and (s != shard or size >= block_ids):
-                    yield _block(schema, shard, number, held)
+                    yield _block(schema, shard, number, held, width)
                     number = number + 1 if s == shard else 0
                     held, size = [], 0
                 shard = s
                 held.append((k, v))
-                size += len(v) // 4
+                size += len(v) // width
         if held:
-            yield _block(schema, shard, number, held)
+            yield _block(schema, shard, number, held, width)
 
     ordered.mapInArrow(blocks, BLOCK).write.parquet(path)
 
@@ -90,19 +99,18 @@ def _arrow(ddl: str, spark: SparkSession) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (f.split(" ") for f in ddl.split(", "))])
 
 
-def _block(schema: pa.Schema, shard: int, number: int, held: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
-    ids = np.frombuffer(b"".join(v for _, v in held), dtype="<u4")
-    width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
+def _block(schema: pa.Schema, shard: int, number: int, held: list[tuple[int | None, bytes]], width: int) -> pa.RecordBatch:
+    ids = b"".join(v for _, v in held)
     keys = [k for k, _ in held]
-    starts = np.concatenate(([0], np.cumsum([len(v) // 4 for _, v in held]))).astype("<i8")
+    starts = np.concatenate(([0], np.cumsum([len(v) // width for _, v in held]))).astype("<i8")
     named = np.array([i for i, k in enumerate(keys) if k is not None and (i == 0 or keys[i - 1] != k)], dtype=np.int64)
     distinct = np.array([keys[i] for i in named], dtype=np.int64)
     bits, levels = perfect_hash.build(distinct)
     slot = perfect_hash.slots(distinct, bits, levels)
     prints, places = np.zeros(len(distinct), dtype="<u4"), np.zeros(len(distinct), dtype="<i8")
     prints[slot], places[slot] = perfect_hash.fingerprints(distinct), named
-    row = (shard, number, keys[named[0]] if len(named) else None, keys[-1], len(held), len(ids), width, keys, starts.tobytes(),
-           np.packbits(bits).tobytes(), levels.astype("<i8").tobytes(), prints.tobytes(), places.tobytes(), ids.astype(f"<u{width}").tobytes())
+    row = (shard, number, keys[named[0]] if len(named) else None, keys[-1], len(held), len(ids) // width, width, keys, starts.tobytes(),
+           np.packbits(bits).tobytes(), levels.astype("<i8").tobytes(), prints.tobytes(), places.tobytes(), ids)
     return tx.batch(schema, *([v] for v in row))
 
 
