@@ -35,7 +35,7 @@ def test_envelope_files_are_checked(spark, tmp_path):
     odd = envelope("other", {"a": 1}, "r3")
     for i, body in enumerate((good, bad, odd)):
         (tmp_path / f"{i}.json").write_text(json.dumps(body, indent=1))
-    usable, rejected = payloads.scan_raw_envelopes(spark, str(tmp_path))
+    usable, rejected = payloads.scan_raw_envelopes(spark, str(tmp_path), multiline=True)
     assert [r.record_id for r in usable.collect()] == ["r1"]
     assert {r.record_id: r.reject_reason for r in rejected.collect()} == {
         "r2": "missing request_sha256", "r3": "unsupported dataset other"

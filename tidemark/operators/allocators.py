@@ -286,6 +286,7 @@ def solved_weights(
 
     ``expected`` holds ``universe_id, as_of, asset, expected`` and is needed for
     maximum_sharpe only. All models of a group share one pass over its matrix.
+    A group whose matrix has missing cells or assets without variance has NULL weights.
     """
     table = cov.select(*GROUP, "asset_i", "asset_j", "cov")
     if expected is None:
@@ -308,7 +309,9 @@ def solved_weights(
             "maximum_sharpe": lambda: max_sharpe(matrix, mu, risk_free, low, high),
             "hrp": lambda: hrp(matrix),
         }
-        parts = [pd.DataFrame({"model": name, "asset": assets, "weight": solve[name]()}) for name in models]
+        usable = np.isfinite(matrix).all() and (np.diag(matrix) > 0).all() and np.isfinite(mu).all()
+        nothing = np.full(len(assets), np.nan)
+        parts = [pd.DataFrame({"model": name, "asset": assets, "weight": solve[name]() if usable else nothing}) for name in models]
         out = pd.concat(parts, ignore_index=True)
         out.insert(0, "as_of", [key[1]] * len(out))
         out.insert(0, "universe_id", [key[0]] * len(out))
@@ -320,4 +323,4 @@ def solved_weights(
     return table.repartition(tasks, *GROUP).groupBy(*GROUP).applyInPandas(
         allocate,
         f"universe_id {kinds['universe_id']}, as_of {kinds['as_of']}, model string, asset string, weight double",
-    )
+    ).withColumn("weight", F.nanvl("weight", F.lit(None).cast("double")))

@@ -135,6 +135,5 @@ def feature_describe(features: DataFrame, keys: list[str], columns: list[str]) -
 def class_balance(labels: DataFrame, column: str = "best_model") -> DataFrame:
     """Rows and share per class value."""
     counts = labels.groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
-    # One row per class by now.
-    every = F.sum("rows").over(Window.partitionBy(F.lit(0)))
+    every = labels.agg(F.count(F.lit(1))).scalar()
     return counts.withColumn("share", F.try_divide(F.col("rows"), every))

@@ -18,8 +18,6 @@ from tidemark.operators import quantiles
 KEYS = ["run_id", "underlying_symbol"]
 SCHEMA_VERSION = "1.2.0"
 TARGET_DELTA = 0.25
-# Fixed value: provider fields that never become features.
-EXCLUDED_FIELDS = ("percentChange", "markPercentChange", "intrinsicValue", "extrinsicValue", "theoreticalVolatility")
 NUMERIC = (
     "strike", "expiration_dte", "bid", "ask", "mark", "volatility", "delta", "gamma", "theta", "vega", "openInterest",
     "totalVolume",

@@ -49,8 +49,11 @@ MARKET = "date string, marketType string, product string, isOpen boolean, sessio
 INSTRUMENT = "symbol string, cusip string, description string, exchange string, assetType string"
 
 
-def scan_raw_envelopes(spark: SparkSession, path: str, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(usable envelopes, rejected rows with a reason) from capture files; nested request and payload stay JSON text."""
+def scan_raw_envelopes(spark: SparkSession, path: str, multiline: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(usable envelopes, rejected rows with a reason) from capture files; nested request and payload stay JSON text.
+
+    Files hold one envelope a line and can be split; ``multiline`` is for files of one indented envelope each.
+    """
     raw = spark.read.schema(ENVELOPE).option("multiLine", multiline).option("mode", "PERMISSIVE").json(path)
     return split_envelopes(raw)
 

@@ -15,7 +15,6 @@ from tidemark.operators.history import conflicts, new_rows, null_in, same_partit
 from tidemark.sources.payloads import ENVELOPE, NORMALIZERS, split_envelopes
 
 
-
 def read_envelopes(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
     """JSON-lines envelopes as a stream with an event time."""
     reader = spark.readStream.schema(ENVELOPE)
@@ -24,19 +23,6 @@ def read_envelopes(spark: SparkSession, landing: str, max_files: int | None = No
     return reader.json(landing)
 
 
-def deduplicated(envelopes: DataFrame, watermark: str) -> DataFrame:
-    """One envelope per record id within the watermark.
-
-    State is bounded, but records that arrive later than the watermark are lost;
-    use it only on sources that deliver in time order.
-    """
-    return (
-        envelopes.withColumn("captured_at", F.to_timestamp("captured_at_utc"))
-        .withWatermark("captured_at", watermark)
-        .dropDuplicatesWithinWatermark(["record_id"])
-    )
-
-
 def _append_unseen(rows: DataFrame, path: str, keys: list[str]) -> None:
     spark = rows.sparkSession
     fresh = new_rows(spark.read.parquet(path), rows, keys) if table_exists(spark, path) else rows
@@ -44,17 +30,16 @@ def _append_unseen(rows: DataFrame, path: str, keys: list[str]) -> None:
 
 
 def stream_normalize(
-    envelopes: DataFrame, output: str, checkpoint: str, watermark: str | None = None, available_now: bool = True
+    envelopes: DataFrame, output: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
     """Write each dataset's normalised rows below ``output``; unusable envelopes go to ``output/rejected``.
 
     Repeats of a record id are removed inside the micro batch and against what
-    has been written, so late records are kept whatever their capture time. A
-    watermark additionally removes repeats in streaming state.
+    has been written, so late records are kept whatever their capture time.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        batch = batch.drop("captured_at").dropDuplicates(["record_id"]).persist()
+        batch = batch.dropDuplicates(["record_id"]).persist()
         try:
             usable, rejected = split_envelopes(batch)
             for name, normalize in NORMALIZERS.items():
@@ -65,8 +50,7 @@ def stream_normalize(
         finally:
             batch.unpersist()
 
-    source = deduplicated(envelopes, watermark) if watermark else envelopes
-    writer = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = envelopes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
