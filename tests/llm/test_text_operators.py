@@ -84,6 +84,8 @@ def test_every_linked_pair_shares_a_signature():
             shared = len(np.intersect1d(base, other))
             if len(other) and 100 * shared >= num * (len(base) + len(other) - shared):
                 assert np.intersect1d(ngram_join._signatures(base, num, 100), ngram_join._signatures(other, num, 100)).size
+                frequent = (rng.random(ngram_join.CELLS) < rng.choice([0.0, 0.1, 0.5, 0.9])).astype(np.uint8)
+                assert np.intersect1d(ngram_join._signatures(base, num, 100, frequent), ngram_join._signatures(other, num, 100, frequent)).size
 
 
 def test_signature_tree_keeps_all_links():

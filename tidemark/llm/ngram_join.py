@@ -8,7 +8,8 @@ shingles. The job:
 2. ``candidate_edges``: a set is dealt by token hash into ``m`` parts, ``m`` by
    size class so that a linked pair differs in fewer parts than there are. It
    therefore shares a non-empty equal part, and equal parts meet in one shuffle
-   by hash, pre-aggregated in each task. Sets with too many empty parts send the
+   by hash, pre-aggregated in each task. Parts of frequent shingles alone are left
+   out where enough others remain, and sets with too many empty parts send the
    tokens of their prefix too. Nothing linked is missed, and unrelated texts with
    a common passage hardly ever meet.
 3. Candidates that hang together form a block. Blocks are gathered into bins of
@@ -44,21 +45,56 @@ from tidemark.session import cut_lineage
 BIN_SHINGLES = 1 << 15
 PIVOTS = 32
 CLASS_RATIO = 1.3
+#: Cells of the table of shingle counts, and how many of them are sent as one row.
+CELLS, CELLS_IN_ROW = 1 << 20, 1 << 12
+#: A cell is frequent above this multiple of the mean and so many more.
+FREQUENT, FREQUENT_LEAST = 3, 32
 #: Parts of sets that a mapping task gathers before it sends them on.
 HELD_PARTS = 1 << 21
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, f1, f2 per row of ``docs(doc_id, text)``: number of distinct shingles and fingerprint of the set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64())])
+def shingle_sets(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
+    """doc_id, n, f1, f2 per row of ``docs(doc_id, text)``, written: number of distinct shingles and fingerprint of the set.
+
+    Also, from the same pass, a bit per cell of a fixed-size table of shingle
+    counts: set where the cell counts well above the mean, because a shingle in
+    it stands in very many documents.
+    """
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("block", pa.int32()), ("cells", pa.binary())]
+    )
+    ddl = "doc_id long, n long, f1 long, f2 long, block int, cells binary"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, dtype=np.int64)
         for ids, texts in tx.rows(batches, "doc_id", "text"):
             sets = [tx.shingle_set(t, size) for t in texts]
             f1, f2 = (np.array([_total(s, salt) for s in sets], dtype=np.uint64).view(np.int64) for salt in (1, 2))
-            yield tx.batch(schema, ids, [len(s) for s in sets], f1, f2)
+            cells += np.bincount(_cell(np.concatenate(sets)), minlength=CELLS)
+            none = [None] * len(ids)
+            yield tx.batch(schema, ids, [len(s) for s in sets], f1, f2, none, none)
+        for k, part in enumerate(cells.reshape(-1, CELLS_IN_ROW)):
+            if part.any():
+                yield tx.batch(schema, [None], [None], [None], [None], [k], [part.astype("<i4").tobytes()])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for blocks, parts in tx.rows(batches, "block", "cells"):
+            for k, part in zip(blocks, parts, strict=True):
+                held[k] = held.get(k, 0) + np.frombuffer(part, dtype="<i4").astype(np.int64)
+        for k, total in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total.tobytes()])], names=["block", "cells"])
 
-    return _texts(docs).mapInArrow(measure, "doc_id long, n long, f1 long, f2 long")
+    written = cut_lineage(_texts(docs).mapInArrow(measure, ddl), "sets")
+    counts = np.zeros(CELLS, dtype=np.int64)
+    sums = written.filter("block is not null").select("block", "cells").repartition("block").mapInArrow(add_up, "block int, cells binary")
+    for row in sums.toLocalIterator():
+        counts[row["block"] * CELLS_IN_ROW :][:CELLS_IN_ROW] = np.frombuffer(row["cells"], dtype=np.int64)
+    return written.filter("block is null").select("doc_id", "n", "f1", "f2"), np.packbits(counts > FREQUENT * counts.mean() + FREQUENT_LEAST)
+
+
+def _cell(s: np.ndarray) -> np.ndarray:
+    return (s & np.uint64(CELLS - 1)).astype(np.int64)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -66,7 +102,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _total(s: np.ndarray, salt: int) -> np.uint64:
-    return tx.mix(tx.mix(s, salt).sum(dtype=np.uint64) + np.uint64(len(s)), salt)[()]
+    return tx.mix(np.array([tx.mix(s, salt).sum(dtype=np.uint64)]) + np.uint64(len(s)), salt)[0]
 
 
 @lru_cache(None)
@@ -94,9 +130,14 @@ def _parts(low: int, high: int, num: int, den: int) -> tuple[int, int]:
     return differ + 1 + spare, spare
 
 
-def _signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Hashes that a linked set is sure to share at least one of."""
+def _signatures(s: np.ndarray, num: int, den: int, frequent: np.ndarray | None = None) -> np.ndarray:
+    """Hashes that a linked set is sure to share at least one of.
+
+    A linked set has more equal parts than ``spare``. If no more than that are
+    empty or hold frequent shingles only, those can be left out.
+    """
     n = len(s)
+    rare = np.ones(n, dtype=bool) if frequent is None else frequent[_cell(s)] == 0
     edges = _classes(1 << max(16, int(n).bit_length()))
     own = int(np.searchsorted(edges, n, side="right")) - 1
     partner = int(np.searchsorted(edges, -(-n * num // den), side="right")) - 1
@@ -108,16 +149,19 @@ def _signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
         part = part[order]
         cut = np.flatnonzero(np.diff(part, prepend=-1))
         sums = np.add.reduceat(tx.mix(s, 4)[order], cut)
-        found.append(tx.mix(sums + tx.mix(part[cut].astype(np.uint64), 5), 6 + c))
+        hashes = tx.mix(sums + tx.mix(part[cut].astype(np.uint64), 5), 6 + c)
+        telling = np.logical_or.reduceat(rare[order], cut)
+        found.append(hashes[telling] if parts - int(telling.sum()) <= spare else hashes)
         if parts - len(cut) > spare:
             prefix = n - -(-n * num // den) + 1
             found.append(tx.mix(s[:prefix], 1000))
     return np.concatenate(found)
 
 
-def candidate_edges(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def candidate_edges(docs: DataFrame, size: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
     """Distinct edges (a, b) between first fingerprints; the sets of every linked pair hang together by them."""
     schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def send(keys: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
         """Each signature once with its first set, and an edge to it for each further set of this task."""
@@ -133,12 +177,13 @@ def candidate_edges(docs: DataFrame, size: int, num: int, den: int) -> DataFrame
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sets, held = [], [], 0
+        frequent_cells = np.unpackbits(shared.value)
         for (texts,) in tx.rows(batches, "text"):
             for text in texts:
                 s = tx.shingle_set(text, size)
                 if not len(s):
                     continue
-                found = np.unique(_signatures(s, num, den).view(np.int64))
+                found = np.unique(_signatures(s, num, den, frequent_cells).view(np.int64))
                 keys.append(found)
                 sets.append(np.full(len(found), np.uint64(_total(s, 1)), dtype=np.uint64).view(np.int64))
                 held += len(found)
@@ -259,10 +304,10 @@ def _class_links(docs: DataFrame, members: DataFrame, size: int, num: int, den:
 
 def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, bound: int = BIN_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs(doc_id, text)``."""
-    sets = cut_lineage(shingle_sets(docs, size), "sets")
+    sets, frequent = shingle_sets(docs, size)
     filled = sets.filter("n > 0 and doc_id is not null")
     classes = cut_lineage(filled.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    blocks = connected_components(candidate_edges(docs, size, num, den)).select(F.col("node").alias("f1"), F.col("component").alias("block"))
+    blocks = connected_components(candidate_edges(docs, size, num, den, frequent)).select(F.col("node").alias("f1"), F.col("component").alias("block"))
     members = cut_lineage(classes.select(F.col("rep").alias("doc_id"), "n", "f1").join(blocks, "f1"), "members")
     found = _class_links(docs, members, size, num, den, bound)
     reps = members.groupBy("f1").agg(F.min("doc_id").alias("doc_id"))
