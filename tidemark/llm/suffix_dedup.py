@@ -234,26 +234,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
         return pd.DataFrame(out, columns=["anchor", "snippet", "low", "high"])
 
     binned = cut.filter("not crowded").withColumn("bin", F.pmod(F.xxhash64("anchor"), F.lit(bins)))
-    runs = binned.groupBy("bin").applyInPandas(expand, "anchor long, snippet long, low int, high int")
+    found = binned.groupBy("bin").applyInPandas(expand, "anchor long, snippet long, low int, high int")
+    runs = found.select("anchor", "snippet", F.array(F.struct("low", "high")).alias("spans"))
     crowded = cut.filter("crowded")
     if not crowded.isEmpty():
         runs = runs.union(_counted_windows(crowded, length))
-    runs = cut_lineage(runs, "runs")
-    spans = repeated.join(runs, ["anchor", "snippet"]).select("kind", (F.col("at") + F.col("low")).alias("start"), (F.col("at") + F.col("high") - 1 + length).alias("stop"))
-    return spans.groupBy("kind").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    runs = cut_lineage(runs.groupBy("anchor", "snippet").agg(F.flatten(F.collect_list("spans")).alias("runs")), "runs")
+    moved = F.transform("runs", lambda r: F.struct((F.col("at") + r["low"]).alias("start"), (F.col("at") + r["high"] - 1 + length).alias("stop")))
+    spans = repeated.join(runs, ["anchor", "snippet"]).select("kind", moved.alias("spans"))
+    return spans.groupBy("kind").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def _counted_windows(crowded: DataFrame, length: int) -> DataFrame:
-    """anchor, snippet, low, high of the repeated windows of crowded anchors, by counting hashes.
+    """anchor, snippet, spans of the repeated windows of crowded anchors, by counting hashes.
 
-    Window starts are taken in blocks, aligned to the anchor, and blocks are
-    counted by their core, the bytes that all windows of the block hold. Where
-    all blocks of one core are the same, its windows are as often as the block.
-    Only where they differ at the ends are single windows counted.
+    Window starts are taken in blocks, aligned to the anchor, and blocks meet by
+    their core, the bytes that all windows of the block hold. Where all blocks of
+    one core have the same window at a place, it is as often as they are. Only
+    where they differ are single windows counted.
     """
-    schema = pa.schema(
-        [("core", pa.int64()), ("piece", pa.int64()), ("anchor", pa.int64()), ("snippet", pa.int64()), ("low", pa.int32()), ("weight", pa.int32()), ("windows", pa.list_(pa.int64()))]
-    )
+    schema = pa.schema([("core", pa.int64()), ("anchor", pa.int64()), ("snippet", pa.int64()), ("begin", pa.int32()), ("weight", pa.int32()), ("windows", pa.list_(pa.int64()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for anchors, names, weights, texts in tx.rows(batches, "anchor", "snippet", "weight", "bytes"):
@@ -262,26 +262,35 @@ def _counted_windows(crowded: DataFrame, length: int) -> DataFrame:
                 prefix = tx.prefix_hash(np.frombuffer(t, dtype=np.uint8))
                 place, _ = _anchors(prefix, length)
                 at = np.arange(len(place))
-                block = (at - place[0]) // BLOCK
-                windows = tx.span_hash(prefix, at, at + length).view(np.int64)
-                first = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
-                stop = np.append(first[1:], len(at))
-                begin = place[0] + block[first] * BLOCK
-                cores = tx.span_hash(prefix, begin + BLOCK - 1, begin + length).view(np.int64)
-                pieces = tx.mix(tx.span_hash(prefix, first, stop - 1 + length) + tx.mix((first - begin).astype(np.uint64))).view(np.int64)
-                out += [(c, p, a, s, int(x), w, windows[x:y].tolist()) for c, p, x, y in zip(cores.tolist(), pieces.tolist(), first, stop, strict=True)]
+                windows = tx.span_hash(prefix, at, at + length).view(np.int64).tolist()
+                # The first and the last block may reach beyond the snippet; their windows there are null.
+                begin = int(place[0]) % BLOCK
+                begin = np.arange(begin - BLOCK if begin else 0, len(at), BLOCK)
+                cores = tx.span_hash(prefix, begin + BLOCK - 1, begin + length).view(np.int64).tolist()
+                out += [(c, a, s, x, w, [windows[i] if 0 <= i < len(at) else None for i in range(x, x + BLOCK)]) for c, x in zip(cores, begin.tolist(), strict=True)]
             if out:
                 yield tx.batch(schema, *zip(*out, strict=True))
 
-    ddl = "core long, piece long, anchor long, snippet long, low int, weight int, windows array<bigint>"
+    ddl = "core long, anchor long, snippet long, begin int, weight int, windows array<bigint>"
     pieces = cut_lineage(crowded.select("anchor", "snippet", "weight", "bytes").mapInArrow(cut, ddl), "pieces")
-    cores = pieces.groupBy("core").agg(F.sum("weight").alias("held"), (F.min("piece") != F.max("piece")).alias("mixed")).filter("held >= 2").drop("held")
-    met = cut_lineage(pieces.join(cut_lineage(cores, "cores"), "core"), "met")
-    whole = met.filter("not mixed").select("anchor", "snippet", "low", (F.col("low") + F.size("windows")).alias("high"))
-    single = met.filter("mixed").select("anchor", "snippet", "weight", "low", F.posexplode("windows").alias("i", "window"))
+    window = [F.col("windows")[i] for i in range(BLOCK)]
+    cores = pieces.groupBy("core").agg(
+        F.sum("weight").alias("held"),
+        F.array(*[F.min(w) for w in window]).alias("least"),
+        F.array(*[F.max(w) for w in window]).alias("most"),
+        F.array(*[F.sum(F.when(w.isNotNull(), F.col("weight"))) for w in window]).alias("times"),
+    )
+    met = pieces.join(cut_lineage(cores.filter("held >= 2").drop("held"), "cores"), "core")
+    often = [w.isNotNull() & (F.col("times")[i] >= 2) for i, w in enumerate(window)]
+    same = [F.col("least")[i] == F.col("most")[i] for i in range(BLOCK)]
+    here = [F.struct((F.col("begin") + i).alias("low"), (F.col("begin") + i + 1).alias("high")) for i in range(BLOCK)]
+    sure = F.array_compact(F.array(*[F.when(o & e, h) for o, e, h in zip(often, same, here, strict=True)]))
+    open_ = F.array_compact(F.array(*[F.when(o & ~e, F.struct(h.alias("span"), w.alias("window"))) for o, e, h, w in zip(often, same, here, window, strict=True)]))
+    told = cut_lineage(met.select("anchor", "snippet", "weight", sure.alias("sure"), open_.alias("open")).filter("size(sure) + size(open) > 0"), "told")
+    single = told.select("anchor", "snippet", "weight", F.explode("open").alias("o")).select("anchor", "snippet", "weight", "o.span", "o.window")
     again = single.groupBy("window").agg(F.sum("weight").alias("held")).filter("held >= 2").select("window")
-    found = single.join(cut_lineage(again, "again"), "window").select("anchor", "snippet", (F.col("low") + F.col("i")).alias("low"), (F.col("low") + F.col("i") + 1).alias("high"))
-    return whole.union(found)
+    found = single.join(cut_lineage(again, "again"), "window").select("anchor", "snippet", F.array("span").alias("spans"))
+    return told.filter("size(sure) > 0").select("anchor", "snippet", F.col("sure").alias("spans")).union(found)
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
