@@ -41,9 +41,13 @@ def id_width(vocabulary: str) -> int:
     return 2 if tokenizing.encoder(vocabulary).library.get_vocab_size() <= 1 << 16 else 4
 
 
-def encode(docs: DataFrame, vocabulary: str, width: int, end_id: int | None = END_ID) -> DataFrame:
-    """doc_id, ids (unsigned little-endian integers of ``width`` bytes) for each row of ``docs(doc_id, text)``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+def encode(docs: DataFrame, vocabulary: str, width: int, end_id: int | None = END_ID, cuts: list[int] | None = None) -> DataFrame:
+    """doc_id, ids (unsigned little-endian integers of ``width`` bytes), shard for each row of ``docs(doc_id, text)``.
+
+    The shard is the number of ``cuts``, ascending keys, below the key; null keys are in the first one.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("shard", pa.int32())])
+    edges = np.array(cuts or [], dtype=np.int64)
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def narrow(ids: bytes) -> bytes:
@@ -52,9 +56,10 @@ def encode(docs: DataFrame, vocabulary: str, width: int, end_id: int | None = EN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = tokenizing.encoder(vocabulary)
         for ids, texts in tx.rows(batches, "doc_id", "text"):
-            yield tx.batch(schema, ids, [narrow(one.ids(t) + end) for t in texts])
+            keys = np.array([-(2**63) if k is None else k for k in ids], dtype=np.int64)
+            yield tx.batch(schema, ids, [narrow(one.ids(t) + end) for t in texts], np.searchsorted(edges, keys, side="left").astype(np.int32))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, shard int")
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, block_ids: int = BLOCK_IDS) -> None:
@@ -64,15 +69,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, block_ids: int = BLOCK_ID
     cuts = docs.select(F.expr(f"approx_percentile(doc_id, array({', '.join(str(i / shards) for i in range(1, shards + 1))}), {20 * shards})")).first()[0]
     cuts = sorted(set(cuts or []))[:-1]
 
-    @F.pandas_udf("int")
-    def shard_of(keys):
-        import pandas as pd
-
-        at = np.searchsorted(np.array(cuts, dtype=np.int64), keys.fillna(-(2**63)).astype("int64").to_numpy(), side="left")
-        return pd.Series(at.astype(np.int32))
-
     width = id_width(vocabulary)
-    dealt = encode(docs, vocabulary, width).withColumn("shard", shard_of("doc_id"))
+    dealt = encode(docs, vocabulary, width, cuts=cuts)
     ordered = dealt.repartition(max(1, len(cuts) + 1), "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
     schema = _arrow(BLOCK, spark)
 
