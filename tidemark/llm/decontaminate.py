@@ -2,14 +2,15 @@
 
 A document is contaminated by a benchmark item if tiles, common word runs that
 overlap in neither text, cover at least ``coverage`` of the item's words, in
-whatever order they stand. The job:
+whatever order they stand, or if one tile has ``long_tile`` words, whatever its
+share of the item. The job:
 
 1. Seeds are the hashes of all runs of ``seed`` words of the items (of a whole
    item where it is shorter). A fixed-size bit set of them goes to the tasks.
 2. One pass over the documents keeps, of each, the stretches of words whose runs
    may be seeds, as word hashes. Most documents leave nothing.
 3. Seeds of documents and items meet in an equi-join; pairs that share too few
-   seeds to reach the coverage are dropped, which loses none that could.
+   seeds to reach the coverage or a long tile are dropped, which loses none that could.
 4. Each remaining pair is tiled: runs of falling length are sought by running
    Karp-Rabin hashes among unmarked words, the longest are marked first, and a
    match that a longer one cut into is tried again with what is left.
@@ -35,6 +36,8 @@ from tidemark.session import cut_lineage
 
 SEED = 5
 COVERAGE = 0.6
+#: Words of a verbatim quote that is too long to be chance.
+LONG_TILE = 13
 _BREAKS = np.ones(256, dtype=bool)
 _BREAKS[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
 
@@ -112,7 +115,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return read_.groupBy("item").agg(F.min("item_id").alias("item_id"), F.first("words").alias("words"), F.first("n_words").alias("n_words"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, long_tile: int = LONG_TILE) -> DataFrame:
     """row, doc_id, item_id, coverage, n_tiles for each document and item that it holds enough of.
 
     ``row`` is a hash of doc_id and text. A document that holds several items has a row for each.
@@ -158,7 +161,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covera
     stretches = cut_lineage(rows.mapInArrow(scan, "row long, doc_id long, seeds array<bigint>, words binary"), "stretches").dropDuplicates(["row"])
     met = stretches.select("row", F.explode("seeds").alias("seed")).join(seeds, "seed")
     # A tile of n words holds n - seed + 1 seeds, so at most ``seed`` words are covered for each shared one.
-    pairs = met.groupBy("row", "item").agg(F.sum("times").alias("shared"), F.first("n_words").alias("n")).filter(F.col("shared") * seed >= F.col("n") * coverage)
+    enough = (F.col("shared") * seed >= F.col("n") * coverage) | (F.col("shared") >= long_tile - seed + 1)
+    pairs = met.groupBy("row", "item").agg(F.sum("times").alias("shared"), F.first("n_words").alias("n")).filter(enough)
     joined = pairs.select("row", "item").join(stretches.select("row", "doc_id", F.col("words").alias("doc_words")), "row").join(items, "item")
     tiled_schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int64())])
 
@@ -169,7 +173,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covera
                 item, doc = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
                 found = tiles(item, doc, min(seed, len(item)))
                 covered = sum(n for _, _, n in found) / len(item)
-                if covered >= coverage:
+                if covered >= coverage or any(n >= long_tile for _, _, n in found):
                     out.append((row, key, item_id, covered, len(found)))
             if out:
                 yield tx.batch(tiled_schema, *zip(*out, strict=True))
@@ -183,8 +187,8 @@ def row_hash(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__row", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
-def report(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, long_tile: int = LONG_TILE) -> DataFrame:
     """doc_id, n_items, item_id (the one with the largest coverage, then the smallest id), coverage, n_tiles of each contaminated document."""
-    found = contaminated(docs, benchmark, seed, coverage)
+    found = contaminated(docs, benchmark, seed, coverage, long_tile)
     best = F.min(F.struct((-F.col("coverage")).alias("less"), "item_id", "coverage", "n_tiles")).alias("best")
     return found.groupBy("row", "doc_id").agg(F.count(F.lit(1)).alias("n_items"), best).select("doc_id", "n_items", "best.item_id", "best.coverage", "best.n_tiles")
