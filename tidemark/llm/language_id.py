@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training is an aggregation over labelled rows (counts per language and feature,
-summed by Spark), at most about ``TRAINING_ROWS`` of them, picked by a hash of
-the text when there are more. The model is a matrix of languages x features whose
+Training is an aggregation over all labelled rows (counts per language and feature,
+summed by Spark), so a language with few rows is learned whatever the size of the
+others. The model is a matrix of languages x features whose
 size is fixed by ``FEATURES`` and checked before it is sent to the tasks.
 Scoring adds up log probabilities of whole texts batch by batch.
 
@@ -31,8 +31,6 @@ MODEL_BYTES = 64 << 20
 CHUNK = 1 << 18
 
 UNKNOWN = "und"
-#: Labelled rows that the model is fitted on, about: a classifier needs no more, whatever the corpus holds.
-TRAINING_ROWS = 100_000
 
 
 def _code_points(text: str) -> np.ndarray:
@@ -149,17 +147,8 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(labelled: DataFrame, bound: int = TRAINING_ROWS) -> DataFrame:
-    """About ``bound`` of the rows with a language, or all if there are fewer."""
-    rows = labelled.filter("lang is not null and text is not null")
-    n = rows.count()
-    if n <= bound:
-        return rows
-    return rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * bound / n))
-
-
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of ``docs(doc_id, text, lang)``."""
     named = docs.select("doc_id", "text", "lang", held_out().alias("held_out"))
-    model = train(training_rows(named.filter("not held_out")))
+    model = train(named.filter("not held_out"))
     return predict(named.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
