@@ -9,7 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import chat_format, decontaminate, language_id, ngram_join, packing, suffix_dedup, token_counts, token_files, top_k, url_filter
+from tidemark.llm import (
+    chat_format,
+    decontaminate,
+    language_id,
+    lexical_search,
+    ngram_join,
+    packing,
+    periodic_runs,
+    suffix_dedup,
+    token_counts,
+    token_files,
+    top_k,
+    url_filter,
+    window_packing,
+)
 from tidemark.session import cut_lineage, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,9 +104,48 @@ def op8_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return top_k.top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10, scale=1024)
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """doc_id, text of the documents, those whose checksum h of the doc_id ends in 0 with their tail put in a loop; rows without a doc_id stay."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    tail = F.col("at") + F.pmod(F.col("i") - F.col("at"), F.col("period"))
+    said = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", h)
+    chosen = F.coalesce((F.col("h") % 10 == 0) & (F.length("text") > 0), F.lit(False))
+    cut = said.filter(chosen).withColumn("words", words).withColumn("n", F.size("words")).withColumn("g", F.floor(F.col("h") / 10))
+    placed = cut.withColumn("at", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("period", 1 + F.floor((F.col("n") - F.col("at")) / (3 + F.col("g") % 8)))
+    order = F.expr("transform(sequence(0, n - 1), i -> element_at(words, cast(if(i < at, i, at + (i - at) % period) as int) + 1))")
+    again = placed.select("doc_id", F.when(F.col("n") > 0, F.array_join(order, " ")).otherwise(F.lit("")).alias("text"))
+    return said.filter(~chosen).select("doc_id", "text").union(again)
+
+
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic_runs.detect(looped(_table(spark, sf, "documents")), min_length=12)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("short"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.back")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.short")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.short")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"), k=10)
+
+
+def op13_window_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return window_packing.pack(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, end_id=2)
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_ngram_join, op2_chat_format, op3_suffix_dedup, op4_token_files, op5_best_two_fit, op6_edit_counts, op7_url_filter, op8_top_k, op9_string_tiling, op10_language_id,
+        op11_periodic_runs, op12_lexical_search, op13_window_packing,
     )} | {"pipeline": corpus_pipeline.run}
 
 
@@ -144,5 +197,33 @@ from said group by conv_id
 """
 
 
+_OP12_TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term"
+
+_OP12_SQL = f"""
+with numbered as (
+  select doc_id, text, row_number() over () as line from documents
+), said as (
+  select line, doc_id, {_OP12_TERMS} from numbered
+), postings as (
+  select line, doc_id, term, count(*) as tf from said group by all
+), lengths as (
+  select line, sum(tf)::bigint as n from postings group by line
+), totals as (
+  select count(*) as docs, sum(n)::bigint as words from lengths
+), held as (
+  select term, count(*) as df from postings group by term
+), asked as (
+  select distinct item_id, {_OP12_TERMS} from benchmark
+), weights as (
+  select item_id, term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)))::bigint as w from asked join held using (term), totals
+), scored as (
+  select item_id, line, any_value(doc_id) as doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::bigint as score
+  from weights join postings using (term) join lengths using (line), totals group by item_id, line
+)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+from scored where score > 0 qualify rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": _OP2_SQL, "op7_url_filter": _OP7_SQL, "op8_top_k": _OP8_SQL}
+    return {"op2_chat_format": _OP2_SQL, "op7_url_filter": _OP7_SQL, "op8_top_k": _OP8_SQL, "op12_lexical_search": _OP12_SQL}
