@@ -1,8 +1,8 @@
 """Covariance from pair moments: sample, shrunk, correlation and diagnostics.
 
-Returns must be synchronised (see ``complete_rows``). Moments are summed per
-asset pair, so no matrix is ever collected: the pair is the output key, each
-(session, pair) product is folded map-side, and only one triangle is computed.
+Returns must be synchronised (see ``complete_rows``). Moments of asset pairs are
+block products of tiles of assets (see ``tiles``), so no matrix of all assets is
+ever held and no row per session and pair is made; only one triangle is computed.
 Expanding windows add up monthly partial sums instead of re-reading history.
 """
 
@@ -14,35 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
-
-SUMS = ["n", "s_i", "s_j", "s_ii", "s_jj", "s_ij", "s_iij", "s_ijj", "s_iijj"]
+from tidemark.operators import tiles
+from tidemark.operators.tiles import SUMS
 
 
 def pair_sums(returns: DataFrame, by_month: bool = False) -> DataFrame:
-    """Raw power sums per asset pair (asset_i <= asset_j) of a universe, optionally per month."""
-    left = returns.select("universe_id", "session", F.col("asset").alias("asset_i"), F.col("ret").alias("x"))
-    right = returns.select("universe_id", "session", F.col("asset").alias("asset_j"), F.col("ret").alias("y"))
-    keys = ["universe_id", "asset_i", "asset_j"]
-    groups = [*keys, F.trunc("session", "month").alias("month")] if by_month else keys
-    x, y = F.col("x"), F.col("y")
-    extra = [F.max("session").alias("month_end")] if by_month else []
-    return (
-        left.join(right, ["universe_id", "session"])
-        .filter("asset_i <= asset_j")
-        .groupBy(*groups)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(x).alias("s_i"),
-            F.sum(y).alias("s_j"),
-            F.sum(x * x).alias("s_ii"),
-            F.sum(y * y).alias("s_jj"),
-            F.sum(x * y).alias("s_ij"),
-            F.sum(x * x * y).alias("s_iij"),
-            F.sum(x * y * y).alias("s_ijj"),
-            F.sum(x * x * y * y).alias("s_iijj"),
-            *extra,
-        )
-    )
+    """Raw power sums per asset pair (asset_i <= asset_j) of a universe, optionally per month, by block products."""
+    return tiles.pair_sums(returns, by_month)
 
 
 def expanding_pair_sums(returns: DataFrame, min_history: int = 2) -> DataFrame:
@@ -221,18 +199,9 @@ def spectrum(cov: DataFrame) -> DataFrame:
     )
 
 
-def trailing_pair_correlation(returns: DataFrame, length: int) -> DataFrame:
-    """Correlation of every asset pair (asset_i < asset_j) over the last ``length`` sessions."""
-    left = returns.select("universe_id", "session", F.col("asset").alias("asset_i"), F.col("ret").alias("x"))
-    right = returns.select("universe_id", "session", F.col("asset").alias("asset_j"), F.col("ret").alias("y"))
-    span = stats.trailing(["universe_id", "asset_i", "asset_j"], "session", length)
-    return (
-        left.join(right, ["universe_id", "session"])
-        .filter("asset_i < asset_j")
-        .withColumn("seen", F.count(F.lit(1)).over(span))
-        .withColumn("corr", F.when(F.col("seen") == length, F.corr("x", "y").over(span)))
-        .select("universe_id", "session", "asset_i", "asset_j", "corr")
-    )
+def trailing_pair_correlation(returns: DataFrame, length: int, marks: DataFrame | None = None) -> DataFrame:
+    """Correlation of every asset pair (asset_i < asset_j) over the last ``length`` sessions; of the sessions of ``marks`` only, if given."""
+    return tiles.trailing_correlations(returns, length, marks)
 
 
 def average_trailing_correlation(returns: DataFrame, marks: DataFrame, length: int) -> DataFrame:

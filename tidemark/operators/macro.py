@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import sliding
+
 # Series column, days until an observation is public, frequency.
 SERIES_SPEC = (
     ("yield_2y", 1, "daily"),
@@ -83,6 +85,8 @@ def macro_features(
     order = Window.partitionBy("universe_id").orderBy("date")
     table = calendar.join(wide, "date").withColumn("rows_so_far", F.row_number().over(order))
     table = table.withColumns({f"{c}_step": F.col(c) - F.lag(c).over(order) for c in YIELDS})
+    spread = {f"{c}_std_{n}": (sliding.MOMENTS, f"{c}_step", n) for c in YIELDS for n in (21, 63)}
+    table = sliding.trailing(table, ["universe_id"], "date", spread)
 
     out = {f"{c}_level": F.col(c) for c in LEVELS}
     out |= {name: (F.col(a) - F.col(b)) * 100.0 for name, (a, b) in CURVES.items()}
@@ -91,7 +95,7 @@ def macro_features(
             out[f"{c}_change_{n}d_bp"] = (F.col(c) - F.lag(c, n).over(order)) * 100.0
     for c in YIELDS:
         for n in (21, 63):
-            out[f"{c}_change_std_{n}d_bp"] = F.stddev_samp(f"{c}_step").over(order.rowsBetween(-(n - 1), 0)) * 100.0
+            out[f"{c}_change_std_{n}d_bp"] = F.col(f"{c}_std_{n}") * 100.0
     for n in (63, 126):
         out[f"unemployment_change_{n}d_pp"] = F.col("unemployment") - F.lag("unemployment", n).over(order)
     for c, spans in PERCENT_CHANGES.items():

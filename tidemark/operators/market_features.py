@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
-from tidemark.operators import covariance
+from tidemark.operators import covariance, sliding
 
 SERIES = ["universe_id", "asset"]
 RETURN_WINDOWS = (21, 63, 126)
@@ -37,24 +37,23 @@ def trailing_features(
 
     A value is NULL until its window is full. The drawdown compares running
     wealth with its maximum inside the window only, so it needs no per-window
-    product: L_t / max(L over the window).
+    product: L_t / max(L over the window). Windows are block scans (see ``sliding``).
     """
-    columns = {"wealth": F.product(1.0 + F.col("ret")).over(stats.running(SERIES, "session"))}
-    path = returns.withColumns(columns).withColumn("history", F.count("ret").over(stats.running(SERIES, "session")))
+    span = stats.running(SERIES, "session")
+    path = returns.withColumns(
+        {"__growth": 1.0 + F.col("ret"), "__wealth": F.product(1.0 + F.col("ret")).over(span), "history": F.count("ret").over(span)}
+    )
+    wanted = {f"return_{n}d": (sliding.PRODUCT, "__growth", n) for n in return_windows}
+    wanted |= {f"vol_{n}d": (sliding.MOMENTS, "ret", n) for n in volatility_windows}
+    wanted |= {f"drawdown_{n}d": (sliding.MAXIMUM, "__wealth", n) for n in drawdown_windows}
 
     def full(length: int, value):
         return F.when(F.col("history") >= length, value)
 
-    out = {}
-    for n in return_windows:
-        out[f"return_{n}d"] = full(n, F.product(1.0 + F.col("ret")).over(stats.trailing(SERIES, "session", n)) - 1.0)
-    for n in volatility_windows:
-        out[f"vol_{n}d"] = full(
-            n, F.stddev_samp("ret").over(stats.trailing(SERIES, "session", n)) * math.sqrt(stats.TRADING_DAYS)
-        )
-    for n in drawdown_windows:
-        out[f"drawdown_{n}d"] = full(n, F.try_divide(F.col("wealth"), F.max("wealth").over(stats.trailing(SERIES, "session", n))) - 1.0)
-    return path.withColumns(out).drop("wealth", "ret")
+    out = {f"return_{n}d": full(n, F.col(f"return_{n}d") - 1.0) for n in return_windows}
+    out |= {f"vol_{n}d": full(n, F.col(f"vol_{n}d") * math.sqrt(stats.TRADING_DAYS)) for n in volatility_windows}
+    out |= {f"drawdown_{n}d": full(n, F.try_divide(F.col("__wealth"), F.col(f"drawdown_{n}d")) - 1.0) for n in drawdown_windows}
+    return sliding.trailing(path, SERIES, "session", wanted).withColumns(out).drop("__wealth", "__growth", "ret")
 
 
 def regime_features(
@@ -98,9 +97,9 @@ def regime_features(
             named.append(F.max(F.when(hit, F.col("corr"))).alias(f"{name}_{correlation_window}d"))
             involved |= {low, high}
     if named:
-        # Pairs are formed of the named assets only.
-        pairs = covariance.trailing_pair_correlation(returns.filter(F.col("asset").isin(sorted(involved))), correlation_window)
-        kept = pairs.join(marks, ["universe_id", "session"], "left_semi").groupBy("universe_id", "session").agg(*named)
+        # Pairs are formed of the named assets only, at the marked dates only.
+        pairs = covariance.trailing_pair_correlation(returns.filter(F.col("asset").isin(sorted(involved))), correlation_window, marks)
+        kept = pairs.groupBy("universe_id", "session").agg(*named)
         correlations = correlations.join(kept, ["universe_id", "session"], "left")
 
     spreads = {}

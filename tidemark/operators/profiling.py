@@ -1,8 +1,7 @@
 """Column and dataset profiles of normalised tables.
 
 Columns are turned into (column, value) rows once and profiled by one grouped
-aggregate; percentiles go through ``quantiles``, whose large-group route is the
-normal one here because a column holds every row of the table.
+aggregate; percentiles go through ``ranks``, because a column holds every row of the table.
 """
 
 from __future__ import annotations
@@ -53,6 +52,13 @@ def approximate_quantile_profile(table: DataFrame, columns: list[str], keys: lis
     return out.select(*keys, "column", *[F.col("p")[i].alias(name) for i, name in enumerate(PROBABILITY_NAMES)])
 
 
+def distinct_counts(table: DataFrame) -> DataFrame:
+    """column, unique_count of every column."""
+    texts = table.select(*[F.col(c).cast("string").alias(c) for c in table.columns]).unpivot([], table.columns, "column", "text")
+    # Values collapse where they are read, then per column.
+    return texts.groupBy("column", "text").agg(F.count(F.lit(1)).alias("n")).groupBy("column").agg(F.count("text").alias("unique_count"))
+
+
 def column_profile(
     table: DataFrame, provenance: tuple[str, ...] = (), exact_distinct: bool = True
 ) -> DataFrame:

@@ -1,28 +1,16 @@
-"""Exact grouped percentiles that hold up when one group has most of the rows.
-
-Values are counted per (group, value), cut into slices by a sketch of the group's
-distribution, located by slice counts, and only the slice that holds a wanted
-rank is ordered. Groups of every size take this way. A null key is a group.
-"""
+"""Exact grouped medians and percentiles of expressions, through ``ranks``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At least so many slices and salts; more where the session shuffles into more partitions.
-SLICES = 256
-SALTS = 16
-
-
-def _fan_out(df: DataFrame) -> tuple[int, int]:
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(SLICES, partitions), max(SALTS, partitions)
+from tidemark.operators import ranks
 
 
 def grouped_medians(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
     """Median of each named expression per group; NULL when it has no value."""
-    picked = sliced_percentiles(_long(df, keys, values), [*keys, "metric"], [0.5])
+    picked = ranks.percentiles(_long(df, keys, values), [*keys, "metric"], "value", [0.5])
     wide = picked.groupBy(_key(keys)).pivot("metric", list(values)).agg(F.first(F.col("percentiles")[0]))
     # A struct is never null, so groups with a null key find their medians.
     groups = df.select(_key(keys)).distinct()
@@ -32,7 +20,7 @@ def grouped_medians(df: DataFrame, keys: list[str], values: dict[str, Column]) -
 def grouped_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """Array of percentiles of one column per group."""
     rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    return sliced_percentiles(rows.select(*keys, F.col(value).alias("value")), keys, probs)
+    return ranks.percentiles(rows.select(*keys, F.col(value).alias("value")), keys, "value", probs)
 
 
 def _key(keys: list[str]) -> Column:
@@ -46,63 +34,3 @@ def _long(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFram
         .select(*keys, "cell.metric", "cell.value")
         .filter("value is not null")
     )
-
-
-def sliced_percentiles(long: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    """Percentiles with linear interpolation from ``keys..., value`` rows, without gathering a group anywhere.
-
-    Work is spread by value: repeats collapse first, the slice edges of a group
-    are one row copied to a few salts, and a rank window holds one slice.
-    """
-    names, keys = keys, ["__key"]
-    slices, salts = _fan_out(long)
-    counts = long.select(_key(names), "value").groupBy("__key", "value").agg(F.count(F.lit(1)).alias("n"))
-    grid = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    edges = counts.groupBy(*keys).agg(
-        F.array_distinct(F.approx_percentile("value", grid, 20 * slices)).alias("edges"), F.sum("n").alias("total")
-    )
-    salted_edges = edges.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    placed = (
-        counts.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int"))
-        .join(salted_edges, [*keys, "salt"])
-        .withColumn("slice", F.size(F.filter("edges", lambda e: e < F.col("value"))))
-        .select(*keys, "value", "n", "slice", "total")
-    )
-    below = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slice_counts = (
-        placed.groupBy(*keys, "slice")
-        .agg(F.sum("n").alias("held"), F.max("total").alias("total"))
-        .withColumn("before", F.coalesce(F.sum("held").over(below), F.lit(0)))
-    )
-    ranks = []
-    for i, p in enumerate(probs):
-        at = (F.col("total") - 1) * F.lit(float(p))
-        ranks += [
-            F.struct(F.lit(i).alias("i"), F.lit(0).alias("side"), F.floor(at).alias("rank")),
-            F.struct(F.lit(i).alias("i"), F.lit(1).alias("side"), F.ceil(at).alias("rank")),
-        ]
-    wanted = (
-        slice_counts.select(*keys, "slice", "before", "held", F.explode(F.array(*ranks)).alias("r"))
-        .filter((F.col("r.rank") >= F.col("before")) & (F.col("r.rank") < F.col("before") + F.col("held")))
-        .groupBy(*keys, "slice", "before")
-        .agg(F.collect_list("r").alias("wanted"))
-    )
-    upto = Window.partitionBy(*keys, "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    found = (
-        placed.join(wanted, [*keys, "slice"])
-        .withColumn("last", F.col("before") + F.sum("n").over(upto))
-        .select(*keys, "value", "n", "last", "total", F.explode("wanted").alias("r"))
-        .filter((F.col("r.rank") < F.col("last")) & (F.col("r.rank") >= F.col("last") - F.col("n")))
-    )
-    pairs = found.groupBy(*keys, "total", "r.i").agg(
-        F.max(F.when(F.col("r.side") == 0, F.col("value"))).alias("low"),
-        F.max(F.when(F.col("r.side") == 1, F.col("value"))).alias("high"),
-    )
-    at = (F.col("total") - 1) * F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1)
-    value = F.col("low") + (F.col("high") - F.col("low")) * (at - F.floor(at))
-    return (
-        pairs.withColumn("value", value)
-        .groupBy(*keys)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]).alias("percentiles"))
-        .select("__key.*", "percentiles")
-    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import metrics
+from tidemark.operators import metrics, ranges
 
 # Fixed value: the only metric for which a smaller number ranks first.
 ASCENDING_METRICS = ("annualized_volatility",)
@@ -26,6 +26,12 @@ def custom_regimes(results: DataFrame, regimes: dict[str, tuple[str, str]], extr
     return metrics.series_summary(tagged, keys, "period_end", "net_return")
 
 
+def regimes_from_table(results: DataFrame, named: DataFrame, extra_keys: list[str] | None = None) -> DataFrame:
+    """Summary per (range, model) of ``named(universe_id, regime, start, stop)``, inclusive ranges of any number that may overlap."""
+    tagged = ranges.join_ranges(results, "period_end", named, "start", "stop", ["universe_id"])
+    return metrics.series_summary(tagged, ["regime", *(extra_keys or []), "universe_id", "model"], "period_end", "net_return")
+
+
 def rank_by_regime(regime_results: DataFrame, metric: str = "sharpe", extra_keys: list[str] | None = None) -> DataFrame:
     """Rank within each regime; equal values share the smallest rank."""
     order = F.col(metric).asc_nulls_last() if metric in ASCENDING_METRICS else F.col(metric).desc_nulls_last()

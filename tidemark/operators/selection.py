@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
-from tidemark.operators import metrics, periods
+from tidemark.operators import metrics, periods, ranks
 
 BENCHMARK = "equal_weight"
 THRESHOLD = 0.0
@@ -69,16 +69,11 @@ def prediction_metrics(forecasts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _average_rank(column: str, keys: list[str]) -> Column:
-    """Rank with ties averaged."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(column)) + (
-        F.count(F.lit(1)).over(Window.partitionBy(*keys, column)) - 1
-    ) / 2.0
-
-
 def information_coefficients(forecasts: DataFrame, keys: list[str]) -> DataFrame:
-    """Pearson and Spearman correlation of forecast and outcome."""
-    ranked = forecasts.withColumn("rp", _average_rank("predicted", keys)).withColumn("ra", _average_rank("actual", keys))
+    """Pearson and Spearman correlation of forecast and outcome; ties have their average rank."""
+    rows = forecasts.select(*keys, "predicted", "actual").filter("predicted is not null and actual is not null")
+    predicted, actual = (ranks.average_ranks(rows, keys, c, n) for c, n in (("predicted", "rp"), ("actual", "ra")))
+    ranked = rows.join(predicted, [*keys, "predicted"]).join(actual, [*keys, "actual"])
     return ranked.groupBy(*keys).agg(
         _safe_corr("predicted", "actual").alias("pearson_ic"), _safe_corr("rp", "ra").alias("spearman_ic")
     )
@@ -89,20 +84,26 @@ def calibration_buckets(forecasts: DataFrame, keys: list[str], bins: int = 4) ->
 
     A value at 1-based rank k of n falls in bucket max(1, ceil((k-1) q / (n-1))),
     the right-closed interpolated quantile rule, which differs from ``ntile``.
+    Bucket b thus ends at rank 1 + floor(b (n-1) / q); equal rows may fall on both sides of it.
     """
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("predicted", "rebalance_date"))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    bucket = F.greatest(F.lit(1), F.ceil(F.try_divide((F.col("rk") - 1) * bins, F.col("n") - 1)).cast("int"))
-    return (
-        forecasts.withColumns({"rk": rank, "n": n})
-        .withColumn("bucket", bucket)
-        .groupBy(*keys, "bucket")
-        .agg(
-            F.count(F.lit(1)).alias("observations"),
-            F.avg("predicted").alias("mean_predicted_excess"),
-            F.avg("actual").alias("mean_realized_excess"),
-            F.avg((F.col("actual") > 0).cast("double")).alias("positive_realized_rate"),
-        )
+    ranked = ranks.distinct_ranks(forecasts, keys, ["predicted", "rebalance_date", "actual"])
+
+    def bucket(k: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(F.try_divide((k - 1) * bins, F.col("total") - 1)).cast("int"))
+
+    def end(b: Column) -> Column:
+        return F.when(b < 1, 0).otherwise(1 + F.floor(b * (F.col("total") - 1) / bins))
+
+    first, last = bucket(F.col("below") + 1), bucket(F.col("below") + F.col("n"))
+    dealt = ranked.withColumn("bucket", F.explode(F.sequence(first, last))).withColumn(
+        "held", F.least(F.col("below") + F.col("n"), end(F.col("bucket"))) - F.greatest(F.col("below"), end(F.col("bucket") - 1))
+    )
+    count = F.sum("held")
+    return dealt.groupBy(*keys, "bucket").agg(
+        count.alias("observations"),
+        (F.sum(F.col("predicted") * F.col("held")) / count).alias("mean_predicted_excess"),
+        (F.sum(F.col("actual") * F.col("held")) / count).alias("mean_realized_excess"),
+        (F.sum((F.col("actual") > 0).cast("double") * F.col("held")) / count).alias("positive_realized_rate"),
     )
 
 

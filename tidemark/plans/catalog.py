@@ -29,6 +29,7 @@ _MODULES = (
     "history",
     "rebalance",
     "streams",
+    "structures",
 )
 
 

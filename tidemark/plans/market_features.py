@@ -84,7 +84,8 @@ def feature_matrix(spark, sf, rets=None):
     select universe_id, session, asset, history, {", ".join(r(c, 9) for c in _CELLS)} from trail""",
 )
 def trailing_features(spark, sf):
-    return rounded(market_features.trailing_features(daily(spark, sf)), 9, *_CELLS)
+    # Exact binary fractions lie on the edge of the grid; a product in another order must not fall off it.
+    return rounded(rounded(market_features.trailing_features(daily(spark, sf)), 13, *_CELLS), 9, *_CELLS)
 
 
 @register(
