@@ -13,8 +13,11 @@ only. Neighbouring starts with one anchor form a snippet. The job:
    prefix has just that length, and the expansion stops at ``length``. Borders not
    fixed by then lie between suffixes that share at least ``length`` bytes.
 3. An anchor with very many different snippets, as at the edges of a passage that
-   a large part of the corpus holds, is not gathered anywhere: blocks of its
-   windows, and windows where blocks differ, are counted by hash and looked up again.
+   a large part of the corpus holds, is split first: windows are taken in blocks,
+   aligned to the anchor, and blocks meet by their core, the bytes that all windows of a
+   block hold. Equal windows have equal cores, equal blocks are one row, and a block
+   whose core stands alone is dropped. Cores that are still crowded are split
+   into smaller blocks, down to single windows, so that every group fits a bin and all are expanded.
 4. Covered spans go back to all texts with the snippet, are merged and cut out.
 
 Texts of which there are copies are removed whole if they are long enough, and
@@ -44,11 +47,12 @@ LENGTH = 200
 GRAM = 32
 #: Bytes of the snippets in a bin, about.
 BIN_BYTES = 1 << 19
-#: Different snippets of an anchor from which on its windows are counted instead.
+#: Different snippets of an anchor, or blocks of a core, above which they are split.
 CROWD = 128
-#: Window starts in a block of a crowded anchor.
-BLOCK = 8
-_PLACE_BITS = 26
+#: Window starts in a block, from one splitting to the next.
+BLOCKS = (64, 16, 4, 1)
+#: Bits of a rank that hold a place; Spark's texts have at most 2**31 bytes.
+_PLACE_BITS = 32
 
 
 def snippets(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -185,6 +189,7 @@ def _occurrences(rows: DataFrame, length: int) -> DataFrame:
     schema = pa.schema([("anchor", pa.int64()), ("snippet", pa.int64()), ("kind", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("row", pa.int64())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.other_work()
         seen: set[int] = set()
         for b in batches:
             parts = []
@@ -217,80 +222,74 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
         ),
         "classes",
     )
-    crowds = cut_lineage(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("different")).filter(F.col("different") > crowd), "crowds")
-    asked = classes.join(crowds, "anchor", "left").select("anchor", "snippet", "rep.*", "weight", F.col("different").isNotNull().alias("crowded"))
-
     # The bytes of one snippet per class, cut from the texts that hold them.
+    asked = classes.select(F.col("anchor").alias("key"), "snippet", "rep.row", "rep.at", "rep.n", "weight")
     texts = prefilter.may_hold(rows.select("row", "text"), prefilter.bits_of(classes.select("rep.row"), "row"), F.col("row")).dropDuplicates(["row"])
     piece = F.substring("text", F.col("at") + 1, F.col("n") + (length - 1))
-    cut = cut_lineage(asked.join(texts, "row").select("anchor", "snippet", "weight", "crowded", piece.alias("bytes")), "snippets")
+    cut = cut_lineage(asked.join(texts, "row").select("key", F.col("snippet").alias("string"), "weight", piece.alias("bytes")), "snippets")
+    runs = cut_lineage(_expanded(cut, length, crowd, tuple(b for b in BLOCKS if 2 * b <= length)), "runs").select(F.col("key").alias("anchor"), F.col("string").alias("snippet"), "low", "high")
+    moved = F.struct((F.col("at") + F.col("low")).alias("start"), (F.col("at") + F.col("high") - 1 + length).alias("stop"))
+    spans = repeated.join(runs, ["anchor", "snippet"]).select("kind", moved.alias("span"))
+    return spans.groupBy("kind").agg(F.collect_list("span").alias("spans"))
+
 
-    total = cut.filter("not crowded").agg(F.sum(F.length("bytes"))).first()[0] or 0
-    bins = int(total // BIN_BYTES) + int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _expanded(strings: DataFrame, length: int, crowd: int, blocks: tuple[int, ...]) -> DataFrame:
+    """key, string, low, high: the repeated windows of ``strings(key, string, weight, bytes)``, as runs of window starts.
+
+    Strings of one key are compared; ``weight`` is how often one occurs. ``blocks``: sizes to split crowded keys by.
+    """
+    spark = strings.sparkSession
+    crowds = cut_lineage(strings.groupBy("key").agg(F.count(F.lit(1)).alias("different")).filter(F.col("different") > crowd).select("key"), "crowds")
+    if not blocks or crowds.isEmpty():
+        return _transformed(strings, length)
+    crowded = strings.join(crowds, "key")
+    pieces = cut_lineage(_split(crowded, length, blocks[0]), "pieces")
+    different = pieces.groupBy("core", "piece").agg(F.least(F.sum("weight"), F.lit(2)).cast("int").alias("weight"), F.min("bytes").alias("bytes"))
+    different = cut_lineage(different, "different")
+    again = cut_lineage(different.groupBy("core").agg(F.sum("weight").alias("held")).filter("held >= 2").select("core"), "again")
+    kept = cut_lineage(different.join(again, "core").select(F.col("core").alias("key"), F.col("piece").alias("string"), "weight", "bytes"), "kept")
+    found = cut_lineage(_expanded(kept, length, crowd, blocks[1:]), "found").select(F.col("key").alias("core"), F.col("string").alias("piece"), "low", "high")
+    back = pieces.select("core", "piece", "key", "string", "begin").join(found, ["core", "piece"])
+    moved = back.select("key", "string", (F.col("low") + F.col("begin")).alias("low"), (F.col("high") + F.col("begin")).alias("high"))
+    return _transformed(strings.join(crowds, "key", "left_anti"), length).union(moved)
+
+
+def _transformed(strings: DataFrame, length: int) -> DataFrame:
+    """The same by a Burrows-Wheeler transform for each bin of keys."""
+    total = strings.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    bins = int(total // BIN_BYTES) + int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def expand(pdf: pd.DataFrame) -> pd.DataFrame:
         found = repeated_windows(pdf["bytes"].tolist(), pdf["weight"].tolist(), length)
-        out = [(a, s, x, y) for a, s, f in zip(pdf["anchor"], pdf["snippet"], found, strict=True) for x, y in _runs(f)]
-        return pd.DataFrame(out, columns=["anchor", "snippet", "low", "high"])
-
-    binned = cut.filter("not crowded").withColumn("bin", F.pmod(F.xxhash64("anchor"), F.lit(bins)))
-    found = binned.groupBy("bin").applyInPandas(expand, "anchor long, snippet long, low int, high int")
-    runs = found.select("anchor", "snippet", F.array(F.struct("low", "high")).alias("spans"))
-    crowded = cut.filter("crowded")
-    if not crowded.isEmpty():
-        runs = runs.union(_counted_windows(crowded, length))
-    runs = cut_lineage(runs.groupBy("anchor", "snippet").agg(F.flatten(F.collect_list("spans")).alias("runs")), "runs")
-    moved = F.transform("runs", lambda r: F.struct((F.col("at") + r["low"]).alias("start"), (F.col("at") + r["high"] - 1 + length).alias("stop")))
-    spans = repeated.join(runs, ["anchor", "snippet"]).select("kind", moved.alias("spans"))
-    return spans.groupBy("kind").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
-
-
-def _counted_windows(crowded: DataFrame, length: int) -> DataFrame:
-    """anchor, snippet, spans of the repeated windows of crowded anchors, by counting hashes.
-
-    Window starts are taken in blocks, aligned to the anchor, and blocks meet by
-    their core, the bytes that all windows of the block hold. Where all blocks of
-    one core have the same window at a place, it is as often as they are. Only
-    where they differ are single windows counted.
+        out = [(a, s, x, y) for a, s, f in zip(pdf["key"], pdf["string"], found, strict=True) for x, y in _runs(f)]
+        return pd.DataFrame(out, columns=["key", "string", "low", "high"])
+
+    binned = strings.withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins)))
+    return binned.groupBy("bin").applyInPandas(expand, "key long, string long, low int, high int")
+
+
+def _split(crowded: DataFrame, length: int, block: int) -> DataFrame:
+    """core, piece (hashes), key, string, begin, weight, bytes: the windows of each string in blocks that are aligned to its anchor.
+
+    The first and the last block hold the windows of the string alone; their core lies in it all the same.
     """
-    schema = pa.schema([("core", pa.int64()), ("anchor", pa.int64()), ("snippet", pa.int64()), ("begin", pa.int32()), ("weight", pa.int32()), ("windows", pa.list_(pa.int64()))])
+    schema = pa.schema([("core", pa.int64()), ("piece", pa.int64()), ("key", pa.int64()), ("string", pa.int64()), ("begin", pa.int32()), ("weight", pa.int32()), ("bytes", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for anchors, names, weights, texts in tx.rows(batches, "anchor", "snippet", "weight", "bytes"):
+        for keys, names, weights, texts in tx.rows(batches, "key", "string", "weight", "bytes"):
             out = []
-            for a, s, w, t in zip(anchors, names, weights, texts, strict=True):
+            for key, name, w, t in zip(keys, names, weights, texts, strict=True):
                 prefix = tx.prefix_hash(np.frombuffer(t, dtype=np.uint8))
-                place, _ = _anchors(prefix, length)
-                at = np.arange(len(place))
-                windows = tx.span_hash(prefix, at, at + length).view(np.int64).tolist()
-                # The first and the last block may reach beyond the snippet; their windows there are null.
-                begin = int(place[0]) % BLOCK
-                begin = np.arange(begin - BLOCK if begin else 0, len(at), BLOCK)
-                cores = tx.span_hash(prefix, begin + BLOCK - 1, begin + length).view(np.int64).tolist()
-                out += [(c, a, s, x, w, [windows[i] if 0 <= i < len(at) else None for i in range(x, x + BLOCK)]) for c, x in zip(cores, begin.tolist(), strict=True)]
+                place, n = int(_anchors(prefix, length)[0][0]), len(t) - length + 1
+                begin = np.arange(place % block - block if place % block else 0, n, block)
+                cores = tx.mix(tx.span_hash(prefix, begin + block - 1, begin + length) ^ (place - begin).astype(np.uint64), block).view(np.int64)
+                first, stop = np.maximum(begin, 0), np.minimum(begin + block, n)
+                pieces = tx.span_hash(prefix, first, stop + length - 1).view(np.int64)
+                out += [(c, p, key, name, x, w, t[x : y + length - 1]) for c, p, x, y in zip(cores.tolist(), pieces.tolist(), first.tolist(), stop.tolist(), strict=True)]
             if out:
                 yield tx.batch(schema, *zip(*out, strict=True))
 
-    ddl = "core long, anchor long, snippet long, begin int, weight int, windows array<bigint>"
-    pieces = cut_lineage(crowded.select("anchor", "snippet", "weight", "bytes").mapInArrow(cut, ddl), "pieces")
-    window = [F.col("windows")[i] for i in range(BLOCK)]
-    cores = pieces.groupBy("core").agg(
-        F.sum("weight").alias("held"),
-        F.array(*[F.min(w) for w in window]).alias("least"),
-        F.array(*[F.max(w) for w in window]).alias("most"),
-        F.array(*[F.sum(F.when(w.isNotNull(), F.col("weight"))) for w in window]).alias("times"),
-    )
-    met = pieces.join(cut_lineage(cores.filter("held >= 2").drop("held"), "cores"), "core")
-    often = [w.isNotNull() & (F.col("times")[i] >= 2) for i, w in enumerate(window)]
-    same = [F.col("least")[i] == F.col("most")[i] for i in range(BLOCK)]
-    here = [F.struct((F.col("begin") + i).alias("low"), (F.col("begin") + i + 1).alias("high")) for i in range(BLOCK)]
-    sure = F.array_compact(F.array(*[F.when(o & e, h) for o, e, h in zip(often, same, here, strict=True)]))
-    open_ = F.array_compact(F.array(*[F.when(o & ~e, F.struct(h.alias("span"), w.alias("window"))) for o, e, h, w in zip(often, same, here, window, strict=True)]))
-    told = cut_lineage(met.select("anchor", "snippet", "weight", sure.alias("sure"), open_.alias("open")).filter("size(sure) + size(open) > 0"), "told")
-    single = told.select("anchor", "snippet", "weight", F.explode("open").alias("o")).select("anchor", "snippet", "weight", "o.span", "o.window")
-    again = single.groupBy("window").agg(F.sum("weight").alias("held")).filter("held >= 2").select("window")
-    found = single.join(cut_lineage(again, "again"), "window").select("anchor", "snippet", F.array("span").alias("spans"))
-    return told.filter("size(sure) > 0").select("anchor", "snippet", F.col("sure").alias("spans")).union(found)
+    return crowded.select("key", "string", "weight", "bytes").mapInArrow(cut, "core long, piece long, key long, string long, begin int, weight int, bytes binary")
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
