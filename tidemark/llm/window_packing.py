@@ -26,7 +26,7 @@ doc_ids come first; other columns are not carried.
 from __future__ import annotations
 
 import zlib
-from collections import deque
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -56,29 +56,34 @@ CUTS = "doc_id long, row long, tokens long, gaps binary, costs binary, checks bi
 @lru_cache(4)
 def _sentence_ends(vocabulary: str) -> np.ndarray:
     """Whether each id ends a sentence."""
-    names = tokenizing.encoder(vocabulary).library.get_vocab(with_added_tokens=False)
-    out = np.zeros(max(names.values()) + 2, dtype=bool)
+    names = tokenizing.encoder(vocabulary).library.get_vocab(with_added_tokens=True)
+    out = np.zeros(max(names.values()) + 1, dtype=bool)
     for name, number in names.items():
         out[number] = name.removesuffix("</w>").endswith(_ENDS)
     return out
 
 
-def possible_cuts(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in tokens from the start of a document) and costs of the cuts that a document allows; the last is its end."""
+def possible_cuts(ids: np.ndarray, stops: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in tokens from the start of all) and costs of the cuts that documents side by side allow; ``stops``: where each ends."""
     n = len(ids)
-    place = np.flatnonzero(ends[np.minimum(ids, len(ends) - 1)][: n - 1]) + 1
-    place = np.append(place, n)
-    cost = np.full(len(place), SENTENCE, dtype=np.int64)
-    cost[-1] = 0
+    can = ends[ids]
+    can[stops - 1] = True
+    place = np.flatnonzero(can) + 1
+    cost = np.full(len(place), SENTENCE, dtype=np.uint8)
+    cost[np.searchsorted(place, stops)] = 0
     start = np.append(0, place[:-1])
     more = (place - start - 1) // GRID
-    if more.any():
-        at = np.repeat(np.arange(len(place)), more)
-        step = np.arange(len(at)) - np.repeat(np.cumsum(more) - more, more) + 1
-        place, cost = np.append(place, start[at] + GRID * step), np.append(cost, np.full(len(at), HARD))
-        by = np.argsort(place)
-        place, cost = place[by], cost[by]
-    return place, cost
+    if not more.any():
+        return place, cost
+    out = np.empty(len(place) + int(more.sum()), dtype=np.int64)
+    paid = np.full(len(out), HARD, dtype=np.uint8)
+    at = np.cumsum(more + 1) - 1  # where the ends of sentences and documents go; before each, steps of the grid
+    out[at], paid[at] = place, cost
+    first = np.append(0, at[:-1] + 1)
+    step = np.arange(len(out)) - np.repeat(first, more + 1) + 1
+    hard = paid == HARD
+    out[hard] = (np.repeat(start, more + 1) + GRID * step)[hard]
+    return out, paid
 
 
 def cuts(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
@@ -88,19 +93,26 @@ def cuts(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, sentence, row = tokenizing.encoder(vocabulary), _sentence_ends(vocabulary), 0
-        for keys, texts in tx.rows(batches, "doc_id", "text"):
-            out = []
-            for key, text in zip(keys, texts, strict=True):
-                raw = one.ids(text) + end
-                place, cost = possible_cuts(np.frombuffer(raw, dtype="<u4"), sentence)
+        crc32 = zlib.crc32
+        for keys, texts in tx.rows(batches, "doc_id", "text", at_once=200):
+            raw = [one.ids(text) + end for text in texts]
+            tokens = np.array([len(r) // 4 for r in raw])
+            stops = np.cumsum(tokens)
+            place, cost = possible_cuts(np.frombuffer(b"".join(raw), dtype="<u4"), stops, sentence)
+            gaps = np.diff(place, prepend=0).astype(np.uint8)
+            until = np.searchsorted(place, stops) + 1
+            after = (4 * (place - np.repeat(stops - tokens, np.diff(until, prepend=0)))).tolist()
+            out, begin = [], 0
+            for r, stop in zip(raw, until.tolist(), strict=True):
                 checks, crc, at = [], 0, 0
-                for p in (4 * place).tolist():
-                    crc = zlib.crc32(raw[at:p], crc)
+                for p in after[begin:stop]:
+                    crc = crc32(r[at:p], crc)
                     checks.append(crc)
                     at = p
-                out.append((key, row, len(raw) // 4, np.diff(place, prepend=0).astype(np.uint8).tobytes(), cost.astype(np.uint8).tobytes(), np.array(checks, dtype="<u4").tobytes()))
-                row += 1
-            yield tx.batch(schema, *zip(*out, strict=True))
+                out.append((gaps[begin:stop].tobytes(), cost[begin:stop].tobytes(), array("I", checks).tobytes()))
+                begin = stop
+            yield tx.batch(schema, keys, np.arange(row, row + len(keys)), tokens, *zip(*out, strict=True))
+            row += len(keys)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(cut, CUTS)
@@ -152,25 +164,28 @@ def plan(place: np.ndarray, cost: np.ndarray, capacity: int, shortest: int = SHO
         for j, i in zip((hit := np.flatnonzero(place[at] == place - width)).tolist(), at[hit].tolist(), strict=True):
             starts.setdefault(j, []).append(i)
         width *= 2
-    places, costs = place.tolist(), cost.tolist()
+    places, costs = place.tolist(), (cost.astype(np.int64) + WINDOW).tolist()
     total, back = [0] * n, [0] * n
-    queue: deque[tuple[int, int]] = deque([(0, 0)])  # total + place, cut
+    keys, cut, head = [0], [0], 0  # the queue: total + place, ascending, and the cut
     for j in range(1, n):
         here = places[j]
-        while places[queue[0][1]] < here - capacity:
-            queue.popleft()
-        least, i = queue[0]
-        least += capacity - here
+        oldest = here - capacity
+        while places[cut[head]] < oldest:
+            head += 1
+        i = cut[head]
+        least = keys[head] - oldest
         if j in starts:
             for s in starts[j]:
                 if total[s] < least:
                     least, i = total[s], s
-        total[j] = least = least + WINDOW + costs[j]
+        total[j] = least = least + costs[j]
         back[j] = i
         key = least + here
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
+        while len(keys) > head and keys[-1] >= key:
+            keys.pop()
+            cut.pop()
+        keys.append(key)
+        cut.append(j)
     chosen = [n - 1]
     while chosen[-1]:
         chosen.append(back[chosen[-1]])
