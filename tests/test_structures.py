@@ -195,3 +195,40 @@ def test_exchange_calendar(spark):
     assert got[dt.date(2001, 9, 10)] == (dt.date(2001, 9, 17), "NOT_MONTH_END")
     assert got[dt.date(2024, 3, 28)] == (dt.date(2024, 4, 1), None)
     assert got[dt.date(2024, 3, 29)][1] == "NO_SESSION" and got[dt.date(2024, 3, 27)][1] == "NOT_MONTH_END" and got[None][1] == "NO_DATE"
+
+
+def test_critical_line():
+    from tidemark.operators import frontier
+
+    rng = np.random.default_rng(0)
+
+    def met(c, m, t, w, low, high):
+        slope = c @ w - t * m
+        inside, floor, cap = (w > low + 1e-9) & (w < high - 1e-9), w <= low + 1e-9, w >= high - 1e-9
+        slack = 1e-6 * max(1.0, np.abs(slope).max())
+        level = slope[inside].mean() if inside.any() else None
+        if level is None:
+            return not (floor.any() and cap.any()) or slope[cap].max() <= slope[floor].min() + slack
+        return np.abs(slope[inside] - level).max() < slack and (not floor.any() or slope[floor].min() >= level - slack) and (not cap.any() or slope[cap].max() <= level + slack)
+
+    for trial in range(600):
+        n = int(rng.integers(1, 12))
+        f = rng.normal(size=(n, 3))
+        c = f @ f.T + np.diag(rng.uniform(0.01, 1, n)) if trial % 4 else np.eye(n) * 0.5 + 0.1 * (trial % 8)
+        low, high = rng.choice([0.0, 0.0, 0.02]), rng.choice([1.0, 1.0, 0.4, 0.25])
+        if n * high < 1:
+            continue
+        m = rng.normal(size=n)
+        prices, weights, done = frontier.turning_points(c, m, low, high)
+        assert done and prices[-1] == 0 and (np.diff(prices[1:]) <= 1e-9).all()
+        assert np.abs(weights.sum(axis=1) - 1).max() < 1e-9 and weights.min() >= low and weights.max() <= high
+        assert all(met(c, m, t, w, low, high) for t, w in zip(prices[1:], weights[1:]))
+        w, done = frontier.least_variance(c, low, high)
+        assert done and met(c, m * 0, 0.0, w, low, high)
+        if m @ weights[0] > 0:
+            best, _ = frontier.best_ratio(c, m, low, high)
+            ratio = m @ best / np.sqrt(best @ c @ best)
+            for _ in range(20):  # no mixture with any point of the line is better
+                x = weights[rng.integers(len(weights))]
+                y = best + rng.uniform(0, 1) * (x - best)
+                assert ratio >= m @ y / np.sqrt(y @ c @ y) - 1e-9

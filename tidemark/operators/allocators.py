@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import frontier
+
 GROUP = ["universe_id", "as_of"]
 # Fixed value: weights below this count as zero before renormalising.
 DUST = 1e-12
@@ -37,76 +39,24 @@ def correlation_distance(corr: DataFrame) -> DataFrame:
     return corr.withColumn("distance", F.when(F.col("asset_i") == F.col("asset_j"), 0.0).otherwise(gap))
 
 
-def check_bounds(n: int, low: float, high: float) -> None:
-    if not 0.0 <= low <= high <= 1.0:
-        raise ValueError(f"bounds must satisfy 0 <= low <= high <= 1, got {low}, {high}")
-    if n * low > 1.0 + 1e-12 or n * high < 1.0 - 1e-12:
-        raise ValueError(f"no fully invested portfolio of {n} assets fits the bounds {low}, {high}")
-
-
 def feasible_start(n: int, low: float, high: float) -> np.ndarray:
-    check_bounds(n, low, high)
+    frontier.check_bounds(n, low, high)
     return np.full(n, 1.0 / n)
 
 
-def quadratic_weights(cov: np.ndarray, reward: np.ndarray, low: float, high: float, start: np.ndarray) -> np.ndarray:
-    """Minimise w'Cw/2 - reward'w over sum(w) = 1 and low <= w <= high by working sets."""
-    w = start.copy()
-    n = len(w)
-    side = np.zeros(n, dtype=int)
-    side[w <= low] = -1
-    side[w >= high] = 1
-    for _ in range(50 * n + 50):
-        free = np.flatnonzero(side == 0)
-        slope = cov @ w - reward
-        if len(free):
-            fixed = np.flatnonzero(side != 0)
-            k = len(free)
-            system = np.zeros((k + 1, k + 1))
-            system[:k, :k] = cov[np.ix_(free, free)]
-            system[:k, k] = system[k, :k] = 1.0
-            known = reward[free] - cov[np.ix_(free, fixed)] @ w[fixed]
-            target = np.linalg.solve(system, np.append(known, 1.0 - w[fixed].sum()))
-            step = target[:k] - w[free]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                room = np.where(step < 0, (low - w[free]) / step, np.where(step > 0, (high - w[free]) / step, np.inf))
-            reach = room.min() if k else np.inf
-            if reach < 1.0 - 1e-12:
-                hit = int(room.argmin())
-                w[free] += max(reach, 0.0) * step
-                side[free[hit]] = -1 if step[hit] < 0 else 1
-                w[free[hit]] = low if step[hit] < 0 else high
-                continue
-            w[free] = target[:k]
-            slope = cov @ w - reward
-            level = -target[k]
-        else:
-            level = None
-        at_low, at_high = np.flatnonzero(side == -1), np.flatnonzero(side == 1)
-        best_low = at_low[slope[at_low].argmin()] if len(at_low) else None
-        best_high = at_high[slope[at_high].argmax()] if len(at_high) else None
-        tolerance = 1e-13 * max(1.0, np.abs(slope).max())
-        if level is None:
-            if best_low is None or best_high is None or slope[best_low] >= slope[best_high] - tolerance:
-                return w
-            side[best_low] = side[best_high] = 0
-            continue
-        gain_low = level - slope[best_low] if best_low is not None else -np.inf
-        gain_high = slope[best_high] - level if best_high is not None else -np.inf
-        if max(gain_low, gain_high) <= tolerance:
-            return w
-        side[best_low if gain_low >= gain_high else best_high] = 0
-    return w
-
-
 def tidy(w: np.ndarray) -> np.ndarray:
     w = np.where(np.abs(w) < DUST, 0.0, w)
     return w / w.sum()
 
 
 def min_variance(cov: np.ndarray, low: float = 0.0, high: float = 1.0) -> np.ndarray:
-    scaled = cov / np.abs(np.diag(cov)).max()
-    return tidy(quadratic_weights(scaled, np.zeros(len(cov)), low, high, feasible_start(len(cov), low, high)))
+    """The last turning point of the critical line."""
+    return solve_min_variance(cov, low, high)[0]
+
+
+def solve_min_variance(cov: np.ndarray, low: float, high: float) -> tuple[np.ndarray, bool]:
+    w, done = frontier.least_variance(cov, low, high)
+    return tidy(w), done
 
 
 def project(v: np.ndarray, low: float, high: float) -> np.ndarray:
@@ -125,7 +75,14 @@ def risk_shares(w: np.ndarray, cov: np.ndarray) -> np.ndarray:
 
 
 def risk_parity(cov: np.ndarray, low: float = 0.0, high: float = 1.0) -> np.ndarray:
-    """Equal risk shares by coordinate descent; a binding bound falls back to projected descent on their squared error."""
+    return solve_risk_parity(cov, low, high)[0]
+
+
+def solve_risk_parity(cov: np.ndarray, low: float, high: float) -> tuple[np.ndarray, bool]:
+    """Equal risk shares by coordinate descent; a binding bound falls back to projected descent on their squared error.
+
+    Also whether the descent came to rest before its last step.
+    """
     n = len(cov)
     start = feasible_start(n, low, high)
     x = 1.0 / np.sqrt(np.diag(cov))
@@ -134,11 +91,13 @@ def risk_parity(cov: np.ndarray, low: float = 0.0, high: float = 1.0) -> np.ndar
         for i in range(n):
             rest = cov[i] @ x - cov[i, i] * x[i]
             x[i] = (-rest + np.sqrt(rest * rest + 4.0 * cov[i, i] / n)) / (2.0 * cov[i, i])
-        if np.abs(x - before).max() <= 1e-15 * np.abs(x).max():
+        rest_ = np.abs(x - before).max() <= 1e-15 * np.abs(x).max()
+        if rest_:
             break
     w = x / x.sum()
     if w.min() >= low - 1e-12 and w.max() <= high + 1e-12:
-        return tidy(w)
+        # Rounding may keep the last digits moving; equal shares are the test.
+        return tidy(w), bool(rest_ or np.abs(risk_shares(w, cov) - 1.0 / n).max() < 1e-10)
     goal = 1.0 / n
 
     def error(v):
@@ -160,58 +119,33 @@ def risk_parity(cov: np.ndarray, low: float = 0.0, high: float = 1.0) -> np.ndar
         gained, moved = value - trial_value, np.abs(trial - w).max()
         w, value, step = trial, trial_value, min(step * 2.0, 1e6)
         if moved < 1e-13 or gained < 1e-17:
-            break
-    return tidy(w)
+            return tidy(w), True
+    return tidy(w), False
 
 
 def max_sharpe(cov: np.ndarray, expected: np.ndarray, risk_free: float = 0.0, low: float = 0.0, high: float = 1.0) -> np.ndarray:
-    """Highest excess return per volatility within bounds.
+    return solve_max_sharpe(cov, expected, risk_free, low, high)[0]
+
 
-    Along the efficient frontier w(t) = argmin w'Cw/2 - t m'w the ratio rises
-    while t (m'w) < w'Cw and falls afterwards, so t is found by bisection. When
-    no portfolio has a positive excess the ratio is climbed from equal weights.
+def solve_max_sharpe(cov: np.ndarray, expected: np.ndarray, risk_free: float, low: float, high: float) -> tuple[np.ndarray, bool]:
+    """Highest excess return per volatility within bounds, and whether it is certain.
+
+    It lies on the efficient frontier, whose pieces are known exactly. When no
+    portfolio has a positive excess the ratio is climbed from equal weights.
     """
     n = len(cov)
     start = feasible_start(n, low, high)
-    scale = np.abs(np.diag(cov)).max()
-    c, m = cov / scale, expected - risk_free
+    m = expected - risk_free
     richest = np.full(n, low)
     for i in np.argsort(-m, kind="stable"):
         richest[i] += min(high - low, 1.0 - richest.sum())
     if m @ richest <= 0:
-        return _climb(c, m, low, high, start)
-    a, b, w = 0.0, 1.0, start
-
-    def frontier(t, warm):
-        v = quadratic_weights(c, t * m, low, high, warm)
-        return v, t * (m @ v) - v @ c @ v
-
-    # The gap t (m'w) - w'Cw is linear in t while the working set stays the same,
-    # so false position with halving lands on the root within a few solves.
-    gap_b = None
-    w, gap_a = frontier(0.0, w)
-    while gap_b is None or gap_b <= 0:
-        if gap_b is not None:
-            a, gap_a, b = b, gap_b, b * 4.0
-        w, gap_b = frontier(b, w)
-    side = 0
-    for _ in range(200):
-        mid = (a * gap_b - b * gap_a) / (gap_b - gap_a)
-        w, gap = frontier(mid, w)
-        if abs(gap) <= 1e-13 * (w @ c @ w) or b - a <= 1e-14 * b:
-            break
-        if gap > 0:
-            b, gap_b = mid, gap
-            gap_a = gap_a / 2.0 if side > 0 else gap_a
-            side = 1
-        else:
-            a, gap_a = mid, gap
-            gap_b = gap_b / 2.0 if side < 0 else gap_b
-            side = -1
-    return tidy(w)
+        return _climb(cov / np.abs(np.diag(cov)).max(), m, low, high, start)
+    w, done = frontier.best_ratio(cov, m, low, high)
+    return tidy(w), done
 
 
-def _climb(c: np.ndarray, m: np.ndarray, low: float, high: float, w: np.ndarray) -> np.ndarray:
+def _climb(c: np.ndarray, m: np.ndarray, low: float, high: float, w: np.ndarray) -> tuple[np.ndarray, bool]:
     def ratio(v):
         return m @ v / np.sqrt(v @ c @ v)
 
@@ -223,10 +157,10 @@ def _climb(c: np.ndarray, m: np.ndarray, low: float, high: float, w: np.ndarray)
         if ratio(trial) > ratio(w):
             w, step = trial, step * 2.0
         elif step < 1e-15:
-            break
+            return tidy(w), True
         else:
             step /= 2.0
-    return tidy(w)
+    return tidy(w), False
 
 
 def leaf_order(distance: np.ndarray) -> list[int]:
@@ -280,9 +214,9 @@ SOLVED = ("minimum_variance", "risk_parity", "maximum_sharpe", "hrp")
 
 def solved_weights(
     cov: DataFrame, expected: DataFrame | None = None, models: tuple[str, ...] = SOLVED,
-    low: float = 0.0, high: float = 1.0, risk_free: float = 0.0,
+    low: float = 0.0, high: float = 1.0, risk_free: float = 0.0, status: bool = False,
 ) -> DataFrame:
-    """Weights of the solver-backed models for every (universe, as_of).
+    """Weights of the solver-backed models for every (universe, as_of), with ``status`` also whether each solver came to its end (``converged``).
 
     ``expected`` holds ``universe_id, as_of, asset, expected`` and is needed for
     maximum_sharpe only. All models of a group share one pass over its matrix.
@@ -304,14 +238,17 @@ def solved_weights(
         matrix = (matrix + matrix.T) / 2.0
         mu = rows.drop_duplicates("asset_i").set_index("asset_i")["expected"].reindex(assets).to_numpy(dtype=float)
         solve = {
-            "minimum_variance": lambda: min_variance(matrix, low, high),
-            "risk_parity": lambda: risk_parity(matrix, low, high),
-            "maximum_sharpe": lambda: max_sharpe(matrix, mu, risk_free, low, high),
-            "hrp": lambda: hrp(matrix),
+            "minimum_variance": lambda: solve_min_variance(matrix, low, high),
+            "risk_parity": lambda: solve_risk_parity(matrix, low, high),
+            "maximum_sharpe": lambda: solve_max_sharpe(matrix, mu, risk_free, low, high),
+            "hrp": lambda: (hrp(matrix), True),
         }
         usable = np.isfinite(matrix).all() and (np.diag(matrix) > 0).all() and np.isfinite(mu).all()
-        nothing = np.full(len(assets), np.nan)
-        parts = [pd.DataFrame({"model": name, "asset": assets, "weight": solve[name]() if usable else nothing}) for name in models]
+        nothing = np.full(len(assets), np.nan), False
+        parts = []
+        for name in models:
+            w, done = solve[name]() if usable else nothing
+            parts.append(pd.DataFrame({"model": name, "asset": assets, "weight": w} | ({"converged": done} if status else {})))
         out = pd.concat(parts, ignore_index=True)
         out.insert(0, "as_of", [key[1]] * len(out))
         out.insert(0, "universe_id", [key[0]] * len(out))
@@ -322,5 +259,5 @@ def solved_weights(
     tasks = int(cov.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return table.repartition(tasks, *GROUP).groupBy(*GROUP).applyInPandas(
         allocate,
-        f"universe_id {kinds['universe_id']}, as_of {kinds['as_of']}, model string, asset string, weight double",
+        f"universe_id {kinds['universe_id']}, as_of {kinds['as_of']}, model string, asset string, weight double" + (", converged boolean" if status else ""),
     ).withColumn("weight", F.nanvl("weight", F.lit(None).cast("double")))

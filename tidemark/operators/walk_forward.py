@@ -18,9 +18,9 @@ RISK_MODELS = ["minimum_variance", "risk_parity", "hrp"]
 
 def walk_forward_weights(
     returns: DataFrame, min_training: int = MIN_TRAINING, high: float = MAX_WEIGHT, span: int = EWMA_SPAN,
-    risk_free: float = 0.0, annual_periods: int = 252,
+    risk_free: float = 0.0, annual_periods: int = 252, status: bool = False,
 ) -> DataFrame:
-    """Weights of all six models at every eligible month-end, from data up to that date only."""
+    """Weights of all six models at every eligible month-end, from data up to that date only; with ``status`` also whether solvers came to their end."""
     sums = covariance.expanding_pair_sums(returns, min_training)
     cov = cut_lineage(covariance.shrunk_from_sums(sums, annual_periods).drop("shrinkage"))
     dates = cov.select("universe_id", "as_of").distinct()
@@ -28,18 +28,17 @@ def walk_forward_weights(
         "universe_id", F.col("session").alias("as_of"), "asset", F.col("robust").alias("expected")
     )
     solved = cut_lineage(
-        allocators.solved_weights(cov, known.join(dates, ["universe_id", "as_of"], "left_semi"), high=high, risk_free=risk_free)
+        allocators.solved_weights(cov, known.join(dates, ["universe_id", "as_of"], "left_semi"), high=high, risk_free=risk_free, status=status)
     )
     assets = cov.filter("asset_i = asset_j").select("universe_id", "as_of", F.col("asset_i").alias("asset"))
     consensus = ensemble.consensus_weights(solved.filter(F.col("model").isin(RISK_MODELS))).withColumn(
         "model", F.lit("risk_consensus")
     )
     columns = ["universe_id", "as_of", "model", "asset", "weight"]
-    return (
-        solved.select(*columns)
-        .unionByName(allocators.equal_weight(assets).select(*columns))
-        .unionByName(consensus.select(*columns))
-    )
+    given = allocators.equal_weight(assets).select(*columns).unionByName(consensus.select(*columns))
+    if status:
+        return solved.select(*columns, "converged").unionByName(given.withColumn("converged", F.lit(True)))
+    return solved.select(*columns).unionByName(given)
 
 
 def walk_forward(returns: DataFrame, cost_bps=COST_BPS, **settings) -> tuple[DataFrame, DataFrame]:

@@ -10,13 +10,14 @@ from tidemark.operators import (
     candidates,
     covariance,
     forecast,
+    frontier,
     metrics,
     returns,
     risk,
     walk_forward,
 )
 from tidemark.plans.catalog import register
-from tidemark.plans.common import DAILY_SQL, SUMMARY_COLUMNS, closes, daily, r, rounded
+from tidemark.plans.common import DAILY_SQL, PERIODS_SQL, SUMMARY_COLUMNS, SUMMARY_SELECT, closes, daily, r, results_sql, rounded, summary_sql
 from tidemark.session import cut_lineage
 from tidemark.sources import harness
 
@@ -192,26 +193,43 @@ def walk_forward_optimality(spark, sf):
 
     minimum_variance: equal marginal variance inside the bounds, no lower one
     at the cap's outside and no higher one at the floor's. risk_parity: equal
-    risk shares while no bound binds.
+    risk shares while no bound binds. maximum_sharpe: equal slopes of the ratio
+    inside the bounds, none higher at the floor nor lower at the cap. Solvers that
+    did not come to their end count as well.
     """
     rets = cut_lineage(daily(spark, sf))
-    weights = cut_lineage(walk_forward.walk_forward_weights(rets))
+    weights = cut_lineage(walk_forward.walk_forward_weights(rets, status=True))
+    known = forecast.expected_returns(rets, walk_forward.EWMA_SPAN).select(
+        "universe_id", F.col("session").alias("as_of"), "asset", F.col("robust").alias("expected")
+    )
     cov = covariance.shrunk_from_sums(covariance.expanding_pair_sums(rets, walk_forward.MIN_TRAINING)).drop("shrinkage")
     keys = ["universe_id", "as_of", "model"]
-    shares = risk.risk_contributions(weights, cov, keys)
+    shares = risk.risk_contributions(weights.drop("converged"), cov, keys).join(weights.select(*keys, "asset", "converged"), [*keys, "asset"]).join(
+        known, ["universe_id", "as_of", "asset"]
+    )
     cap = walk_forward.MAX_WEIGHT
     inside = (F.col("weight") > 1e-9) & (F.col("weight") < cap - 1e-9)
     level = F.avg(F.when(inside, F.col("marginal_risk"))).over(Window.partitionBy(*keys))
     slack = 1e-6 * F.abs("level")
     gap = F.col("marginal_risk") - F.col("level")
+    # Slope of excess per volatility: m / s - (m'w) * marginal risk / s^2, with the marginal risk of volatility s.
+    group = Window.partitionBy(*keys)
+    volatility = F.sum(F.col("weight") * F.col("marginal_risk")).over(group)
+    rich = F.sum(F.col("weight") * F.col("expected")).over(group)
+    slope = F.try_divide(F.col("expected"), volatility) - F.try_divide(rich * F.col("marginal_risk"), volatility * volatility)
+    shares = shares.withColumn("slope", slope)
+    slope_level = F.avg(F.when(inside, F.col("slope"))).over(group)
+    steep = F.col("slope") - F.col("slope_level")
+    give = 1e-6 * (F.abs("slope_level") + F.coalesce(F.try_divide(F.abs("expected"), F.abs("marginal_risk")), F.lit(0.0)))
     bent = (
         F.when(F.col("model") == "minimum_variance", F.when(inside, F.abs(gap) > slack).when(F.col("weight") <= 1e-9, gap < -slack).otherwise(gap > slack))
         .when(F.col("model") == "risk_parity", F.abs(F.col("risk_share") - 0.2) > 1e-6)
+        .when(F.col("model") == "maximum_sharpe", F.when(inside, F.abs(steep) > give).when(F.col("weight") <= 1e-9, steep > give).otherwise(steep < -give))
         .otherwise(False)
     )
     limit = F.when(F.col("model").isin("hrp", "risk_consensus"), 1.0).otherwise(cap)
-    checked = shares.withColumn("level", level).withColumns(
-        {"bent": F.coalesce(bent, F.lit(False)), "out": (F.col("weight") < -1e-12) | (F.col("weight") > limit + 1e-9)}
+    checked = shares.withColumns({"level": level, "slope_level": slope_level}).withColumns(
+        {"bent": F.coalesce(bent, F.lit(False)) | ~F.col("converged"), "out": (F.col("weight") < -1e-12) | (F.col("weight") > limit + 1e-9)}
     )
     per_date = checked.groupBy(*keys).agg(
         F.sum("weight").alias("total"), F.count_if("bent").alias("bent"), F.count_if("out").alias("out")
@@ -224,6 +242,117 @@ def walk_forward_optimality(spark, sf):
     )
 
 
+# Where a universe has two assets every model has a closed form, so the whole evaluation can be repeated in SQL.
+_PAIRS_SQL = f"""{_TWO_ASSET_SQL},
+month_ends as (
+  select universe_id, date_trunc('month', session) as month, max(session) as month_end from returns group by all),
+six_weights as (
+  select universe_id, as_of as rebalance_date, model, asset, weight from pair_weights
+  union all select universe_id, as_of, 'equal_weight', asset, 0.5::double from pair_weights where model = 'hrp'
+  union all select universe_id, as_of, 'risk_consensus', asset, avg(weight) from pair_weights where model <> 'maximum_sharpe' group by all),
+{PERIODS_SQL}, {results_sql("six_weights")}"""
+
+
+def _pair_walk(spark, sf):
+    rets = cut_lineage(returns.return_matrix(harness.two_asset_prices(spark, sf)))
+    return walk_forward.walk_forward(rets, min_training=_PAIR_MIN, high=_PAIR_CAP, span=_PAIR_SPAN, annual_periods=12)
+
+
+@register(
+    "walk_forward_pairs",
+    f"""with {_PAIRS_SQL}
+    select universe_id, model, rebalance_date, period_end, {", ".join(r(c, 7) for c in ("gross_return", "turnover", "transaction_cost", "net_return"))} from results""",
+)
+def walk_forward_pairs(spark, sf):
+    """Period results of all six models on every two-asset universe, against closed forms."""
+    results, _ = _pair_walk(spark, sf)
+    columns = ["gross_return", "turnover", "transaction_cost", "net_return"]
+    return rounded(results.select("universe_id", "model", "rebalance_date", "period_end", *columns), 7, *columns)
+
+
+@register("walk_forward_pairs_weights", f"with {_PAIRS_SQL} select universe_id, rebalance_date, model, asset, {r('weight', 6)} from six_weights")
+def walk_forward_pairs_weights(spark, sf):
+    return rounded(_pair_walk(spark, sf)[1], 6, "weight")
+
+
+@register(
+    "walk_forward_pairs_summary",
+    f"""with {_PAIRS_SQL}, {summary_sql("results", "universe_id, model", "period_end", "net_return", 12, ", avg(turnover) as average_turnover")}
+    select universe_id, model, {SUMMARY_SELECT}, {r("average_turnover", 6)} from summary""",
+)
+def walk_forward_pairs_summary(spark, sf):
+    rows = metrics.backtest_summary(_pair_walk(spark, sf)[0])
+    return rounded(rows, 6, *SUMMARY_COLUMNS, "average_turnover").select("universe_id", "model", "periods", *SUMMARY_COLUMNS, "average_turnover")
+
+
+_FRONTIER_SQL = f"""{_TWO_ASSET_SQL},
+ends as (
+  select *, case when m1 > m2 then hi when m1 < m2 then lo end as w0, greatest(lo, least(hi, (c22 - c12) / (c11 + c22 - 2 * c12))) as w1 from z),
+points as (
+  select universe_id, as_of, 0 as point, w0 as w, m1, m2, c11, c12, c22 from ends
+  union all select universe_id, as_of, 1, w1, m1, m2, c11, c12, c22 from ends where abs(w1 - w0) > 1e-12)"""
+
+
+@register(
+    "efficient_frontier",
+    f"""with {_FRONTIER_SQL}
+    select universe_id, as_of, point, {r("w", 6, "weight_high")}, {r("w * m1 + (1 - w) * m2", 7, "expected")},
+           {r("w * w * c11 + (1 - w) * (1 - w) * c22 + 2 * w * (1 - w) * c12", 7, "variance")}, true as complete from points""",
+)
+def efficient_frontier(spark, sf):
+    """Turning points of every two-asset universe and month: the richer asset at the cap, and the least variance."""
+    cov, expected = _two_asset(spark, sf)
+    points = frontier.efficient_frontier(cov, expected, 1 - _PAIR_CAP, _PAIR_CAP).filter("asset = 'HIGH'")
+    return rounded(rounded(points.select("universe_id", "as_of", "point", F.col("weight").alias("weight_high"), "expected", "variance", "complete"), 6, "weight_high"), 7, "expected", "variance")
+
+
+@register(
+    "frontier_conditions",
+    f"""with {DAILY_SQL},
+    ends as (select universe_id, max(session) as as_of from returns group by universe_id, date_trunc('month', session))
+    select count(distinct e.as_of) as dates, 0::bigint as unbalanced, 0::bigint as outside_bounds, 0::bigint as falling_returns, 0::bigint as not_optimal, 0::bigint as incomplete
+    from ends e where (select count(distinct session) from returns r where r.universe_id = e.universe_id and r.session <= e.as_of) >= 756""",
+)
+def frontier_conditions(spark, sf):
+    """Five assets: dates with turning points, and points that break the sum, the bounds, the order or the first-order conditions.
+
+    Marginal variance less price times expected return is the same for all assets inside the bounds, not less at the floor and not more at the cap.
+    """
+    rets = cut_lineage(daily(spark, sf))
+    cov = cut_lineage(covariance.shrunk_from_sums(covariance.expanding_pair_sums(rets, walk_forward.MIN_TRAINING)).drop("shrinkage"))
+    expected = cut_lineage(forecast.expected_returns(rets, walk_forward.EWMA_SPAN).select("universe_id", F.col("session").alias("as_of"), "asset", F.col("robust").alias("expected")))
+    cap = walk_forward.MAX_WEIGHT
+    points = cut_lineage(frontier.efficient_frontier(cov, expected, 0.0, cap))
+    keys = ["universe_id", "as_of", "point"]
+    exposure = (
+        points.select(*keys, F.col("asset").alias("asset_j"), "weight").join(cov, ["universe_id", "as_of", "asset_j"])
+        .groupBy(*keys, F.col("asset_i").alias("asset")).agg(F.sum(F.col("cov") * F.col("weight")).alias("marginal"))
+    )
+    own = expected.withColumnRenamed("expected", "mu")
+    rows = points.join(exposure, [*keys, "asset"]).join(own, ["universe_id", "as_of", "asset"])
+    near = 1e-7  # at a turning point an asset is just at its bound
+    inside = (F.col("weight") > near) & (F.col("weight") < cap - near)
+    slope = F.col("marginal") - F.col("price") * F.col("mu")
+    level = F.avg(F.when(inside, slope)).over(Window.partitionBy(*keys))
+    gap = slope - F.col("level")
+    slack = 1e-6 * (F.abs("marginal") + F.col("price") * F.abs("mu"))
+    bent = F.when(inside, F.abs(gap) > slack).when(F.col("weight") <= near, gap < -slack).otherwise(gap > slack)
+    checked = rows.withColumn("level", level).withColumn("bent", F.coalesce(bent, F.lit(False)))
+    per = checked.groupBy(*keys).agg(
+        F.sum("weight").alias("total"), F.count_if((F.col("weight") < -1e-12) | (F.col("weight") > cap + 1e-9)).alias("out"),
+        F.count_if("bent").alias("bent"), F.max("expected").alias("expected"), F.min("complete").alias("complete"),
+    )
+    before = F.lag("expected").over(Window.partitionBy("universe_id", "as_of").orderBy("point"))
+    return per.withColumn("before", before).agg(
+        F.countDistinct("as_of").alias("dates"),
+        F.count_if(F.abs(F.col("total") - 1) > 1e-9).alias("unbalanced"),
+        F.count_if(F.col("out") > 0).alias("outside_bounds"),
+        F.count_if(F.col("expected") > F.col("before") + 1e-9).alias("falling_returns"),
+        F.count_if(F.col("bent") > 0).alias("not_optimal"),
+        F.count_if(~F.col("complete")).alias("incomplete"),
+    )
+
+
 @register("walk_forward")
 def walk_forward_results(spark, sf):
     rets = cut_lineage(daily(spark, sf))

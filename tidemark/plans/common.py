@@ -55,7 +55,7 @@ def rule_weights(prices: DataFrame, rets: DataFrame, min_history: int = MIN_HIST
         "asset",
         (1.0 / F.count(F.lit(1)).over(group)).alias("equal_weight"),
         (F.col("close") / F.sum("close").over(group)).alias("price_weight"),
-        ((1.0 / F.col("variance")) / F.sum(1.0 / F.col("variance")).over(group)).alias("inverse_variance"),
+        F.try_divide(F.try_divide(F.lit(1.0), F.col("variance")), F.sum(F.try_divide(F.lit(1.0), F.col("variance"))).over(group)).alias("inverse_variance"),
         F.when(first, F.lit(1.0)).otherwise(F.lit(0.0)).alias("low_risk"),
     )
     return wide.unpivot(
