@@ -380,7 +380,11 @@ def brand_candidates(spark, sf):
             (F.lit(100.0) + F.sum(F.round(F.col("l_discount") * 100).cast("long")).cast("double") / F.count(F.lit(1))).alias("close"),
         )
     )
+    return handed_off(scored)
 
+
+def handed_off(scored):
+    """A hand-off per session of ``scored(session, symbol, scanner_score, close)``, ranked by score."""
     order = Window.partitionBy("session").orderBy(F.desc("scanner_score"), "symbol")
     size = F.count(F.lit(1)).over(Window.partitionBy("session"))
     stamp = F.concat(F.date_format("session", "yyyy-MM-dd"), F.lit(" 20:00:00"))
@@ -469,3 +473,63 @@ def candidate_allocation(spark, sf):
     prices = cut_lineage(harness.brand_prices(spark, sf))
     rows = candidates.candidate_allocation(history, prices, lookback=36, periods=12)
     return rounded(rows, 6, "annualized_volatility", "target_weight")
+
+
+# Two groups of parts (by size) per monthly hand-off, those with the highest tax, and the 252 daily returns that both have before it.
+_MAKERS_SQL = """
+sales as (
+  select cast(l_shipdate as date) as session, 'M' || (p_size % 5) as symbol, cast(round(l_tax * 100) as bigint) as tax, cast(round(l_discount * 100) as bigint) as cents
+  from lineitem join part on l_partkey = p_partkey),
+scored as (
+  select cast(date_trunc('month', session) as date) as as_of, upper(symbol) as symbol, sum(tax)::double / count(*) as score from sales group by all),
+picked as (
+  select *, row_number() over (partition by as_of order by score desc, symbol) as rank from scored qualify rank <= 2),
+daily_closes as (select session, upper(symbol) as symbol, 100 + sum(cents)::double / count(*) as close from sales group by all),
+pairs_of as (
+  select as_of, max(case when rank = 1 then symbol end) as s1, max(case when rank = 2 then symbol end) as s2 from picked group by as_of having count(*) = 2),
+both_closes as (
+  select p.as_of, p.s1, p.s2, a.session, a.close as c1, b.close as c2
+  from pairs_of p join daily_closes a on a.symbol = p.s1 and a.session <= p.as_of join daily_closes b on b.symbol = p.s2 and b.session = a.session),
+both_returns as (
+  select *, c1 / lag(c1) over w - 1 as x, c2 / lag(c2) over w - 1 as y, row_number() over (partition by as_of order by session desc) as back
+  from both_closes window w as (partition by as_of order by session)),
+lookback as (select * from both_returns where back <= 252 and x is not null),
+centred as (
+  select *, x - avg(x) over g as zx, y - avg(y) over g as zy, count(*) over g as n from lookback window g as (partition by as_of)),
+m as (
+  select as_of, any_value(s1) as s1, any_value(s2) as s2, any_value(n) as n, avg(zx * zx) as v1, avg(zy * zy) as v2, avg(zx * zy) as v12,
+         avg(zx * zx * zx * zx) as q11, avg(zy * zy * zy * zy) as q22, avg(zx * zx * zy * zy) as q12
+  from centred where n = 252 group by as_of),
+k as (
+  select *, (v1 + v2) / 2 as mu, (pow(v1, 2) + pow(v2, 2) + 2 * pow(v12, 2)) as squares, (q11 - v1 * v1 + q22 - v2 * v2 + 2 * (q12 - v12 * v12)) / (2 * n) as b0 from m),
+d as (select *, (squares - 2 * mu * mu) / 2 as dist from k),
+l as (select *, case when least(b0, dist) = 0 then 0 else least(b0, dist) / dist end as sh from d),
+c as (select as_of, s1, s2, ((1 - sh) * v1 + sh * mu) * 252 as c11, ((1 - sh) * v2 + sh * mu) * 252 as c22, (1 - sh) * v12 * 252 as c12 from l),
+w as (select *, greatest(0.4, least(0.6, (c22 - c12) / (c11 + c22 - 2 * c12))) as w1 from c)"""
+
+
+@register(
+    "candidate_allocation_pairs",
+    f"""with {_MAKERS_SQL}
+    select strftime(as_of, '%Y-%m-%d') as as_of_session, s1 as symbol, {r("sqrt(c11)", 6, "annualized_volatility")}, {r("w1", 6, "target_weight")}, 252 as lookback_returns from w
+    union all
+    select strftime(as_of, '%Y-%m-%d'), s2, {r("sqrt(c22)", 6, "annualized_volatility")}, {r("1 - w1", 6, "target_weight")}, 252 from w""",
+)
+def candidate_allocation_pairs(spark, sf):
+    """Every monthly hand-off of two candidates at the real lookback of 252 daily returns, against the closed form."""
+    lines = harness.read(spark, sf, "lineitem").select("l_partkey", "l_shipdate", "l_discount", "l_tax")
+    part = harness.read(spark, sf, "part").select("p_partkey", F.concat(F.lit("M"), (F.col("p_size") % 5).cast("string")).alias("symbol"))
+    hundredths = {c: F.round(F.col(f"l_{c}") * 100).cast("long") for c in ("discount", "tax")}
+    sales = cut_lineage(
+        lines.join(part, F.col("l_partkey") == F.col("p_partkey")).withColumns(hundredths)
+        .groupBy(F.to_date("l_shipdate").alias("session"), "symbol").agg(F.sum("tax").alias("tax"), F.sum("discount").alias("cents"), F.count(F.lit(1)).alias("n"))
+    )
+    month = F.trunc("session", "month").alias("session")
+    scored = sales.groupBy(month, "symbol").agg((F.sum("tax").cast("double") / F.sum("n")).alias("scanner_score"), F.lit(100.0).alias("close"))
+    prices = sales.select("session", F.col("symbol").alias("asset"), (100 + F.col("cents").cast("double") / F.col("n")).alias("close"), F.lit("ALL").alias("universe_id"))
+    ranked = handed_off(scored).filter("scanner_rank <= 2")
+    complete = F.count(F.lit(1)).over(Window.partitionBy("as_of_session")) == 2
+    history = cut_lineage(ranked.withColumn("whole", complete).filter("whole").drop("whole"))
+    rows = candidates.candidate_allocation(history, prices, high=0.6)
+    columns = ["as_of_session", "symbol", "annualized_volatility", "target_weight", "lookback_returns"]
+    return rounded(rows.select(*columns), 6, "annualized_volatility", "target_weight")
