@@ -23,12 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import text as tx
+from tidemark.session import cut_lineage
 
 FEATURES = 1 << 15
 ORDERS = (2, 3)
 SMOOTHING = 0.5
+#: The broadcast matrix is no larger; with very many languages features are folded together instead.
 MODEL_BYTES = 64 << 20
-CHUNK = 1 << 18
+#: Characters of a text that are taken at once, and n-grams of a batch that are scored at once.
+CHUNK, BATCH = 1 << 18, 1 << 20
 
 UNKNOWN = "und"
 
@@ -73,18 +76,49 @@ def _features(points: np.ndarray, features: int) -> Iterator[np.ndarray]:
             yield ((scrambled ^ (scrambled >> np.uint32(13))) & np.uint32(features - 1)).astype(np.int64)
 
 
+def _text_features(text: str, features: int) -> Iterator[np.ndarray]:
+    """Feature numbers of all n-grams of a text, which is taken in stretches that end between words.
+
+    The last characters of a stretch go before the next, so that none of the n-grams over a cut is lost.
+    """
+    carry = max(ORDERS) - 1
+    before: np.ndarray | None = None
+    start = 0
+    while start < len(text):
+        stop = min(len(text), start + CHUNK)
+        while stop < len(text) and text[stop].isalpha():
+            stop += 1
+        points = _code_points(text[start:stop])
+        start = stop
+        if not len(points):
+            continue
+        if before is None:
+            joined, counted = points, 0
+        else:  # the blank that ends one stretch is the one that begins the next
+            joined, counted = np.concatenate((before, points[1:])), len(before)
+        for order, found in zip(ORDERS, _features(joined, features)):
+            yield found[max(0, counted - order + 1) :]
+        before = joined[-carry:]
+
+
 def count_features(docs: DataFrame, features: int = FEATURES) -> DataFrame:
     """lang, feature, n over all rows of ``docs(text, lang)`` with a language and a text."""
     schema = pa.schema([("lang", pa.string()), ("feature", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.other_work()
         held: dict[str, np.ndarray] = {}
         for texts, langs in tx.rows(batches, "text", "lang"):
             for text, lang in zip(texts, langs, strict=True):
+                if lang not in held and len(held) * features * 8 >= MODEL_BYTES:
+                    yield from given(held)
+                    held.clear()
                 counts = held.setdefault(lang, np.zeros(features, dtype=np.int64))
-                for i in range(0, len(text), CHUNK):
-                    for found in _features(_code_points(text[i : i + CHUNK]), features):
-                        counts += np.bincount(found, minlength=features)
+                for found in _text_features(text, features):
+                    counts += np.bincount(found, minlength=features)
+        yield from given(held)
+
+    def given(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for lang, counts in held.items():
             used = np.flatnonzero(counts)
             yield tx.batch(schema, [lang] * len(used), used.astype(np.int32), counts[used])
@@ -95,47 +129,79 @@ def count_features(docs: DataFrame, features: int = FEATURES) -> DataFrame:
 
 
 def train(docs: DataFrame, features: int = FEATURES) -> tuple[list[str], np.ndarray]:
-    """Languages in alphabetical order and their log probabilities, one column each."""
-    counts = count_features(docs, features).groupBy("lang").agg(F.collect_list(F.struct("feature", "n")).alias("cells"))
+    """Languages in alphabetical order and their log probabilities, one column each; a language without an n-gram is not learned.
+
+    The matrix is bounded by ``MODEL_BYTES``: features that agree in their low bits are added up until it fits.
+    """
+    counts = cut_lineage(count_features(docs, features), "features")
+    languages = counts.select("lang").distinct().count()
+    while features > 1 and languages * features * 4 > MODEL_BYTES:
+        features //= 2
+    folded = counts.groupBy("lang", F.pmod("feature", F.lit(features)).alias("feature")).agg(F.sum("n").alias("n"))
+    rows = folded.groupBy("lang").agg(F.collect_list(F.struct("feature", "n")).alias("cells"))
     table = {}
-    for row in counts.toLocalIterator():
+    for row in rows.toLocalIterator():
         cells = np.array(row["cells"], dtype=np.int64).reshape(-1, 2)
         column = np.zeros(features)
         column[cells[:, 0]] = cells[:, 1]
-        table[row["lang"]] = column
-        if len(table) * features * 4 > MODEL_BYTES:
-            raise ValueError(f"the model of {len(table)} languages is over {MODEL_BYTES} bytes; lower features")
+        table[row["lang"]] = np.log((column + SMOOTHING) / (column.sum() + SMOOTHING * features)).astype(np.float32)
     langs = sorted(table)
     if not langs:
         return [], np.zeros((features, 0), dtype=np.float32)
-    counts = np.stack([table[lang] for lang in langs], axis=1) + SMOOTHING
-    return langs, np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    return langs, np.stack([table[lang] for lang in langs], axis=1)
+
+
+def score_batch(texts: list[str | None], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each text (row) under each language, and which texts have an n-gram.
+
+    The batch is a sparse matrix in rows of n-grams, each with the count one per occurrence, times the dense one of ``logs[language, feature]``.
+    """
+    totals, seen = np.zeros((len(texts), len(logs))), np.zeros(len(texts), dtype=bool)
+    held: list[np.ndarray] = []
+    rows: list[int] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal size
+        if held:
+            indices = np.concatenate(held)
+            starts = np.cumsum([0, *(len(h) for h in held[:-1])])
+            for k, row in enumerate(logs):
+                np.add.at(totals[:, k], rows, np.add.reduceat(row.take(indices), starts, dtype=np.float64))
+            held.clear()
+            rows.clear()
+            size = 0
+
+    for i, text in enumerate(texts):
+        for found in _text_features(text or "", logs.shape[1]):
+            if len(found):
+                seen[i] = True
+                held.append(found)
+                rows.append(i)
+                size += len(found)
+        if size >= BATCH:
+            flush()
+    flush()
+    return totals, seen
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``docs`` with a language and the posterior probability of it, from the column ``text`` alone."""
+    """``docs`` with a language and the posterior probability of it, from the column ``text`` alone; all languages are as likely beforehand.
+
+    Of languages with equal scores the first in alphabetical order is given.
+    """
     langs, matrix = model
     shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(matrix.T))
 
     @F.pandas_udf("struct<lang:string,score:double>")
     def classify(texts: pd.Series) -> pd.DataFrame:
-        logs = shared.value
-        out_lang, out_score = [], []
-        for text in texts:
-            total, seen = np.zeros(len(langs)), 0
-            for i in range(0, len(text or ""), CHUNK):
-                points = _code_points(text[i : i + CHUNK])
-                for found in _features(points, logs.shape[1]):
-                    total += [row.take(found).sum(dtype=np.float64) for row in logs]
-                seen += len(points)
-            if not seen or not langs:
-                out_lang.append(UNKNOWN)
-                out_score.append(0.0)
-                continue
-            best = int(np.argmax(total))
-            out_lang.append(langs[best])
-            out_score.append(float(1.0 / np.exp(total - total[best]).sum()))
-        return pd.DataFrame({"lang": out_lang, "score": out_score})
+        if not langs:
+            return pd.DataFrame({"lang": [UNKNOWN] * len(texts), "score": np.zeros(len(texts))})
+        totals, seen = score_batch(texts.tolist(), shared.value)
+        best = totals.argmax(axis=1)
+        share = 1.0 / np.exp(totals - totals[np.arange(len(best)), best][:, None]).sum(axis=1)
+        names = np.array([*langs, UNKNOWN], dtype=object)[np.where(seen, best, len(langs))]
+        return pd.DataFrame({"lang": names, "score": np.where(seen, share, 0.0)})
 
     found = classify(F.col("text").cast("string"))
     names = [c for c in docs.columns if c not in into]

@@ -50,7 +50,7 @@ CELLS, CELLS_IN_ROW = 1 << 20, 1 << 12
 #: A cell is frequent above this multiple of the mean and so many more.
 FREQUENT, FREQUENT_LEAST = 3, 32
 #: Parts of sets that a mapping task gathers before it sends them on.
-HELD_PARTS = 1 << 21
+HELD_PARTS = 1 << 18
 
 
 def shingle_sets(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
@@ -66,6 +66,7 @@ def shingle_sets(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     ddl = "doc_id long, n long, f1 long, f2 long, block int, cells binary"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.other_work()
         cells = np.zeros(CELLS, dtype=np.int64)
         for ids, texts in tx.rows(batches, "doc_id", "text"):
             sets = [tx.shingle_set(t, size) for t in texts]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,16 @@ _POWERS = np.ones(1, dtype=np.uint64)
 _INVERSES = np.ones(1, dtype=np.uint64)
 
 
+#: Called where a worker takes up other work: lets go of what it kept from task to task.
+LET_GO: list[Callable[[], None]] = []
+
+
+def other_work() -> None:
+    for free in LET_GO:
+        free()
+    pa.default_memory_pool().release_unused()
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """Bijective scrambling of 64-bit values."""
     x = np.asarray(x, dtype=np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & (2**64 - 1))
