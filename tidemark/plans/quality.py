@@ -15,6 +15,8 @@ from tidemark.session import cut_lineage
 from tidemark.sources import harness, harness_options, harness_payloads, payloads
 
 _LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_PROFILED = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *_LINE]
+_TEXTS = ["l_returnflag", "l_linestatus", "l_shipdate"]
 _PROBS = dict(zip(profiling.PROBABILITY_NAMES, profiling.PROBABILITIES))
 
 
@@ -24,12 +26,12 @@ def _line_long(columns) -> str:
 
 @register(
     "quantile_profile",
-    f"""with long as ({_line_long(_LINE)})
+    f"""with long as ({_line_long(_PROFILED)})
     select column_name as "column", {", ".join(r(f"quantile_cont(v, {p})", 6, n) for n, p in _PROBS.items())}
     from long group by column_name""",
 )
 def quantile_profile(spark, sf):
-    rows = profiling.quantile_profile(harness.read(spark, sf, "lineitem"), _LINE)
+    rows = profiling.quantile_profile(harness.read(spark, sf, "lineitem"), _PROFILED)
     return rounded(rows, 6, *_PROBS)
 
 
@@ -46,8 +48,6 @@ def quantile_profile_sliced(spark, sf):
     return rounded(rows, 6, *_PROBS)
 
 
-_PROFILED = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *_LINE]
-_TEXTS = ["l_returnflag", "l_linestatus"]
 
 
 @register(
@@ -57,7 +57,8 @@ _TEXTS = ["l_returnflag", "l_linestatus"]
       select column_name, count(*) as rows, count(v) as non_null_count, count(distinct v) as unique_count, min(v) as min,
              max(v) as max, avg(v) as mean, median(v) as median from long group by column_name
       union all select 'l_returnflag', count(*), count(l_returnflag), count(distinct l_returnflag), null, null, null, null from lineitem
-      union all select 'l_linestatus', count(*), count(l_linestatus), count(distinct l_linestatus), null, null, null, null from lineitem)
+      union all select 'l_linestatus', count(*), count(l_linestatus), count(distinct l_linestatus), null, null, null, null from lineitem
+      union all select 'l_shipdate', count(*), count(l_shipdate), count(distinct l_shipdate), null, null, null, null from lineitem)
     select column_name as "column", rows, non_null_count, unique_count, {", ".join(r(c, 4) for c in ("min", "max", "mean", "median"))},
            round(100.0::double * non_null_count / rows, 4) as non_null_pct, rows - non_null_count as null_count,
            false as is_provenance from n""",

@@ -216,8 +216,7 @@ def blend_weight_history(spark, sf):
       select * from (select *, count(close) over (partition by universe_id, session) as present from prices)
       where present = (select count(distinct asset) from prices)),
     as_of as (
-      select universe_id, max(session) as as_of from complete where session <= date '2000-12-31' group by all
-      union select universe_id, max(session) from complete where session <= date '2001-06-30' group by all),
+      select universe_id, max(session) as as_of from complete group by universe_id, date_trunc('month', session)),
     rets as (
       select universe_id, session, asset,
              close / lag(close) over (partition by universe_id, asset order by session) - 1 as ret from complete),
@@ -229,13 +228,11 @@ def blend_weight_history(spark, sf):
            count(*) over (partition by universe_id, as_of, asset) as observations from ranked where age <= 252""",
 )
 def lookback_returns(spark, sf):
+    """At the last complete session of every month."""
     prices = closes(spark, sf)
-    complete = returns.complete_rows(prices, "close")
-    cuts = [
-        complete.filter(F.col("session") <= F.to_date(F.lit(day))).groupBy("universe_id").agg(F.max("session").alias("as_of"))
-        for day in ("2000-12-31", "2001-06-30")
-    ]
-    return rounded(returns.lookback_returns(prices, cuts[0].union(cuts[1]).distinct(), 252), 8, "ret")
+    month = F.trunc("session", "month")
+    ends = returns.complete_rows(prices, "close").groupBy("universe_id", month).agg(F.max("session").alias("as_of")).select("universe_id", "as_of")
+    return rounded(returns.lookback_returns(prices, ends, 252), 8, "ret")
 
 
 @register(
