@@ -85,7 +85,8 @@ def feature_matrix(spark, sf, rets=None):
 )
 def trailing_features(spark, sf):
     # Exact binary fractions lie on the edge of the grid; a product in another order must not fall off it.
-    return rounded(rounded(market_features.trailing_features(daily(spark, sf)), 13, *_CELLS), 9, *_CELLS)
+    rows = market_features.trailing_features(daily(spark, sf))
+    return rounded(rounded(rows, 13, *[c for c in _CELLS if c.startswith("return")]), 9, *_CELLS)
 
 
 @register(

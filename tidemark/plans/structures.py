@@ -93,7 +93,7 @@ _LONG_CELLS = [f"{kind}_{n}d" for n in _LONG for kind in ("return", "vol", "draw
 )
 def long_windows(spark, sf):
     rows = market_features.trailing_features(daily(spark, sf), _LONG, _LONG, _LONG)
-    return rounded(rounded(rows, 13, *_LONG_CELLS), 9, *_LONG_CELLS)
+    return rounded(rounded(rows, 13, *[c for c in _LONG_CELLS if c.startswith("return")]), 9, *_LONG_CELLS)
 
 
 _LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
