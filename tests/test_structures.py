@@ -232,3 +232,21 @@ def test_critical_line():
                 x = weights[rng.integers(len(weights))]
                 y = best + rng.uniform(0, 1) * (x - best)
                 assert ratio >= m @ y / np.sqrt(y @ c @ y) - 1e-9
+
+
+def test_write_once_names_ranges(spark, tmp_path):
+    from tidemark.sources import tables
+
+    levels = {"year": F.year("day"), "month": F.month("day")}
+    rows = [(i, dt.date(2020, 1, 1) + dt.timedelta(days=7 * i)) for i in range(60)]
+    table = spark.createDataFrame(rows, "id int, day date")
+    path = f"{tmp_path}/once"
+    assert tables.write_once(table, path, levels) == "CREATED" and tables.write_once(table.repartition(2), path, levels) == "EXISTS"
+    with pytest.raises(tables.ContentChanged, match="2020/5 CHANGED"):
+        tables.write_once(table.withColumn("id", F.when(F.col("id") == 20, 0).otherwise(F.col("id"))), path, levels)
+    with pytest.raises(tables.ContentChanged, match="columns differ"):
+        tables.write_once(table.withColumn("more", F.lit(1)), path, levels)
+    assert tables.tampered_ranges(spark, path, levels).count() == 0
+    table.filter("id = 3").write.mode("append").parquet(path)
+    found = {(r["level"], r["year"], r["month"]) for r in tables.tampered_ranges(spark, path, levels).collect()}
+    assert found == {(0, None, None), (1, "2020", None), (2, "2020", "1")}

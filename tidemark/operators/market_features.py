@@ -14,6 +14,8 @@ SERIES = ["universe_id", "asset"]
 RETURN_WINDOWS = (21, 63, 126)
 VOLATILITY_WINDOWS = (21, 63)
 DRAWDOWN_WINDOW = 126
+#: Products over no more rows than this are folded in the order of the rows; longer ones are block scans like all other windows.
+FOLDED = 126
 CORRELATION_WINDOW = 63
 
 # Names of the pair features and the roles they compare.
@@ -43,7 +45,8 @@ def trailing_features(
     path = returns.withColumns(
         {"__growth": 1.0 + F.col("ret"), "__wealth": F.product(1.0 + F.col("ret")).over(span), "history": F.count("ret").over(span)}
     )
-    wanted = {f"return_{n}d": (sliding.PRODUCT, "__growth", n) for n in return_windows}
+    folded = {f"return_{n}d": F.product("__growth").over(stats.trailing(SERIES, "session", n)) for n in return_windows if n <= FOLDED}
+    wanted = {f"return_{n}d": (sliding.PRODUCT, "__growth", n) for n in return_windows if n > FOLDED}
     wanted |= {f"vol_{n}d": (sliding.MOMENTS, "ret", n) for n in volatility_windows}
     wanted |= {f"drawdown_{n}d": (sliding.MAXIMUM, "__wealth", n) for n in drawdown_windows}
 
@@ -53,7 +56,8 @@ def trailing_features(
     out = {f"return_{n}d": full(n, F.col(f"return_{n}d") - 1.0) for n in return_windows}
     out |= {f"vol_{n}d": full(n, F.col(f"vol_{n}d") * math.sqrt(stats.TRADING_DAYS)) for n in volatility_windows}
     out |= {f"drawdown_{n}d": full(n, F.try_divide(F.col("__wealth"), F.col(f"drawdown_{n}d")) - 1.0) for n in drawdown_windows}
-    return sliding.trailing(path, SERIES, "session", wanted).withColumns(out).drop("__wealth", "__growth", "ret")
+    columns = ["universe_id", "session", "asset", "history", *out]
+    return sliding.trailing(path.withColumns(folded), SERIES, "session", wanted).withColumns(out).select(*columns)
 
 
 def regime_features(

@@ -11,7 +11,7 @@ from tidemark.plans.common import DAILY_SQL, RULE_RESULTS_SQL, SUMMARY_COLUMNS,
 from tidemark.plans.history import _FIELDS, _HASH_SQL, _LINES_SQL, _SUMS, _lines
 from tidemark.plans.market_features import _PAIR_SQL, _frame
 from tidemark.session import cut_lineage, scratch_path
-from tidemark.sources import harness
+from tidemark.sources import harness, tables
 
 # Returns of many assets: the mean discount of a supplier's shipments in a month, in integer cents before the division.
 _SUPPLIER_SQL = """
@@ -89,11 +89,12 @@ _LONG_CELLS = [f"{kind}_{n}d" for n in _LONG for kind in ("return", "vol", "draw
           f"case when history >= {n} then product(1 + ret) {_frame(n)} - 1 end as return_{n}d, "
           f"case when history >= {n} then stddev_samp(ret) {_frame(n)} * sqrt(252) end as vol_{n}d, "
           f"case when history >= {n} then wealth / max(wealth) {_frame(n)} - 1 end as drawdown_{n}d" for n in _LONG)} from wealth)
-    select universe_id, session, asset, history, {", ".join(r(c, 9) for c in _LONG_CELLS)} from trail""",
+    select universe_id, session, asset, history, {", ".join(r(f"{c} + 1e-13", 9, c) for c in _LONG_CELLS)} from trail""",
 )
 def long_windows(spark, sf):
+    # Ratios of closes often end on the edge of the grid; both engines look a little beside it.
     rows = market_features.trailing_features(daily(spark, sf), _LONG, _LONG, _LONG)
-    return rounded(rounded(rows, 13, *[c for c in _LONG_CELLS if c.startswith("return")]), 9, *_LONG_CELLS)
+    return rounded(rows.withColumns({c: F.col(c) + 1e-13 for c in _LONG_CELLS}), 9, *_LONG_CELLS)
 
 
 _LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -194,6 +195,37 @@ def _changed(spark, sf):
     return before, after, hash_tree.changed(*trees, list(_levels()))
 
 
+_ONCE_COLUMNS = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_shipdate"]
+_ONCE_TREE = """
+select 0 as level, null as year, null as month, count(*) as rows, sum(hash(l_orderkey, l_linenumber, l_suppkey, l_quantity, l_shipdate)) as s from {0}
+union all select 1, year(l_shipdate)::varchar, null, count(*), sum(hash(l_orderkey, l_linenumber, l_suppkey, l_quantity, l_shipdate)) from {0} group by 2
+union all select 2, year(l_shipdate)::varchar, month(l_shipdate)::varchar, count(*), sum(hash(l_orderkey, l_linenumber, l_suppkey, l_quantity, l_shipdate)) from {0} group by 2, 3"""
+
+
+@register(
+    "write_once_ranges",
+    f"""with after as (
+      select * replace (case when year(l_shipdate) = 1997 and month(l_shipdate) = 3 and l_orderkey % 7 = 3 then l_suppkey + 1 else l_suppkey end as l_suppkey)
+      from lineitem where not (year(l_shipdate) = 1999 and month(l_shipdate) in (5, 11) and (l_orderkey % 2 = 0 or month(l_shipdate) = 5))),
+    x as ({_ONCE_TREE.format("lineitem")}), y as ({_ONCE_TREE.format("after")})
+    select coalesce(x.level, y.level) as level, coalesce(x.year, y.year) as year, coalesce(x.month, y.month) as month,
+           case when x.level is null then 'ADDED' when y.level is null then 'REMOVED' else 'CHANGED' end as change,
+           x.rows as rows_before, y.rows as rows_after, 'CREATED,EXISTS,1997/3 CHANGED, 1999/11 CHANGED, 1999/5 REMOVED' as outcomes
+    from x full join y on x.level = y.level and x.year is not distinct from y.year and x.month is not distinct from y.month
+    where x.level is null or y.level is null or x.rows <> y.rows or x.s <> y.s""",
+)
+def write_once_ranges(spark, sf):
+    """A table written once with its hash tree, an identical rerun, and one with other content, whose ranges are named without reading the stored rows."""
+    before, changed, _ = (t.select(*_ONCE_COLUMNS) for t in _versions(spark, sf))
+    path = scratch_path(spark, "once")
+    outcomes = [tables.write_once(before, path, _levels()), tables.write_once(before.repartition(3), path, _levels())]
+    try:
+        tables.write_once(changed, path, _levels())
+    except tables.ContentChanged as error:
+        outcomes.append(str(error).split(" differs in ")[1])
+    return tables.changed_since(changed, path, _levels()).withColumn("outcomes", F.lit(",".join(outcomes)))
+
+
 @register(
     "changed_rows",
     f"""with {_VERSIONS_SQL},

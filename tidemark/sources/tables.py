@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import table_fingerprint
+from tidemark.operators import hash_tree
 from tidemark.operators.history import table_exists
+from tidemark.session import cut_lineage
 
 
 def scan_prices(spark: SparkSession, path: str, assets: list[str], universe: str = "ALL") -> DataFrame:
@@ -59,21 +61,56 @@ class ContentChanged(ValueError):
     """A create-once output exists with other content."""
 
 
-def write_once(table: DataFrame, path: str) -> str:
+#: Changed ranges that an error names.
+NAMED_RANGES = 20
+
+
+def write_once(table: DataFrame, path: str, levels: dict[str, Column] | None = None) -> str:
     """CREATED on first write, EXISTS on an identical rerun, an error when the content differs.
 
     Identity is the order-free fingerprint of all columns by name, compared on the driver as
-    one digest per table.
+    one digest per table. With ``levels`` (see ``hash_tree``) a hash tree of key ranges is written
+    beside the table: a rerun is compared with the tree alone, and the error names the ranges that differ.
     """
     spark = table.sparkSession
+    names = sorted(table.columns)
     if not table_exists(spark, path):
+        if levels:
+            table = cut_lineage(table, "once")
         table.write.mode("errorifexists").parquet(path)
+        if levels:
+            hash_tree.build(table, names, levels).write.mode("overwrite").parquet(tree_path(path))
         return "CREATED"
     stored = spark.read.parquet(path)
-    names = sorted(table.columns)
     if sorted(stored.columns) != names:
         raise ContentChanged(f"{path}: columns differ")
+    if levels:
+        differing = changed_since(table, path, levels).filter(F.col("level") == len(levels))
+        found = differing.orderBy(*levels).limit(NAMED_RANGES).collect()
+        if found:
+            said = ", ".join("/".join(str(r[n]) for n in levels) + " " + r["change"] for r in found)
+            raise ContentChanged(f"{path}: content differs in {said}")
+        return "EXISTS"
     before, now = (table_fingerprint(t, names).first() for t in (stored, table))
     if before != now:
         raise ContentChanged(f"{path}: content differs")
     return "EXISTS"
+
+
+def tree_path(path: str) -> str:
+    return f"{path.rstrip('/')}__tree"
+
+
+def changed_since(table: DataFrame, path: str, levels: dict[str, Column]) -> DataFrame:
+    """Ranges of ``table`` that differ from what was written to ``path``, by the tree stored with it; one that a crash left out is made anew."""
+    spark = table.sparkSession
+    names = sorted(table.columns)
+    if not table_exists(spark, tree_path(path)):
+        hash_tree.build(spark.read.parquet(path), names, levels).write.mode("overwrite").parquet(tree_path(path))
+    tree = cut_lineage(hash_tree.build(table, names, levels), "tree")
+    return hash_tree.changed(spark.read.parquet(tree_path(path)), tree, list(levels))
+
+
+def tampered_ranges(spark: SparkSession, path: str, levels: dict[str, Column]) -> DataFrame:
+    """Ranges of the table at ``path`` that no longer are what its stored tree says."""
+    return changed_since(spark.read.parquet(path), path, levels)
