@@ -33,13 +33,13 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 NUMBERED = 20_000
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of ``docs(doc_id, text)``."""
+def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, kept: float = 1.0) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece of ``docs(doc_id, text)``; ``kept``: see ``tokenizing.encoder``."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = tokenizing.encoder(vocabulary)
+        one = tokenizing.encoder(vocabulary, kept)
         for keys, texts in tx.rows(batches, "doc_id", "text"):
             out = []
             for key, text in zip(keys, texts, strict=True):
@@ -114,9 +114,9 @@ def _tightest_pair(lengths: list[int], left: dict[int, int], used: dict[int, int
     return (free[best], free[at[best]]) if total[best] > small else None
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, kept: float = 1.0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of ``docs(doc_id, text)``."""
-    return pack_pieces(cut_lineage(pieces(docs, vocabulary, capacity), "pieces"), capacity)
+    return pack_pieces(cut_lineage(pieces(docs, vocabulary, capacity, kept=kept), "pieces"), capacity)
 
 
 def pack_pieces(cut: DataFrame, capacity: int) -> DataFrame:
