@@ -39,19 +39,25 @@ def duplicates(table: DataFrame, keys: list[str], columns: list[str], level: str
 
 
 def coverage(table: DataFrame, keys: list[str], expected: DataFrame, level: str, code: str, column: str = "symbol") -> DataFrame:
-    """Expected symbols per scope that have no row. ``expected`` holds the keys and ``symbol``."""
-    have = table.select(*keys, F.upper(column).alias("symbol")).distinct()
+    """Expected symbols per scope that have no row. ``expected`` holds the keys and ``symbol``; what has a null in them is missing.
+
+    Both sides are counted in one aggregate: a table of captured symbols may look small to the planner and be far too large to send out.
+    """
+    names = [*keys, "symbol"]
+    have = table.select(*keys, F.upper(column).alias("symbol")).dropna(subset=names)
+    both = expected.select(*names, F.lit(1).alias("wanted")).unionByName(have.withColumn("wanted", F.lit(0)))
+    met = both.groupBy(*names).agg(F.sum("wanted").alias("wanted"), F.min("wanted").alias("least"))
     return (
-        expected.join(have, [*keys, "symbol"], "left_anti")
+        met.filter("least > 0")
         .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("count"))
+        .agg(F.sum("wanted").alias("count"))
         .select(*keys, F.lit(level).alias("level"), F.lit(code).alias("code"), "count")
     )
 
 
 def empty_scopes(scopes: DataFrame, table: DataFrame, keys: list[str], level: str, code: str) -> DataFrame:
     """Scopes that should hold the dataset and have no row."""
-    return scopes.select(*keys).distinct().join(table.select(*keys), keys, "left_anti").select(
+    return scopes.select(*keys).distinct().join(table.select(*keys).distinct(), keys, "left_anti").select(
         *keys, F.lit(level).alias("level"), F.lit(code).alias("code"), F.lit(1).cast("long").alias("count")
     )
 
