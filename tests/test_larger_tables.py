@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.operators import audit
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import audit, tiles
 
 
 def plan(df):
@@ -17,3 +21,14 @@ def test_coverage_sends_no_table_out(spark):
     missing = audit.coverage(have, ["run_id"], expected, "ERROR", "GONE")
     assert {(r.run_id, r["count"]) for r in missing.collect()} == {("1", 3), (None, 1)}
     assert "Join" not in plan(missing) and "Broadcast" not in plan(missing)
+
+
+def test_tiles_stay_few_as_assets_grow(spark):
+    """A block travels once per tile of its universe."""
+    rows = [("A", dt.date(2024, 1, 1 + s), f"{a:04d}", a * 0.01 + s) for a in range(300) for s in range(2)]
+    returns = spark.createDataFrame(rows, "universe_id string, session date, asset string, ret double")
+    sent = tiles._dealt(returns, F.trunc("session", "year"), 4, [])
+    cells = sent.select(F.sum(F.aggregate("cells", F.lit(0), lambda n, c: n + F.size(c["ret"]))).alias("n")).first()["n"]
+    assert cells == len(rows) * tiles.FEW
+    sums = tiles.pair_sums(returns, tile=4)
+    assert sums.count() == 300 * 301 // 2 and sums.agg(F.min("n"), F.max("n")).first()[:] == (2, 2)
