@@ -218,7 +218,7 @@ def write_once_ranges(spark, sf):
     """A table written once with its hash tree, an identical rerun, and one with other content, whose ranges are named without reading the stored rows."""
     before, changed, _ = (t.select(*_ONCE_COLUMNS) for t in _versions(spark, sf))
     path = scratch_path(spark, "once")
-    outcomes = [tables.write_once(before, path, _levels()), tables.write_once(before.repartition(3), path, _levels())]
+    outcomes = [tables.write_once(before, path, _levels()), tables.write_once(before.repartition("l_orderkey", "l_linenumber"), path, _levels())]
     try:
         tables.write_once(changed, path, _levels())
     except tables.ContentChanged as error:
