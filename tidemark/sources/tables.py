@@ -42,7 +42,7 @@ def price_matrix_from_run(history: DataFrame, expected: DataFrame) -> DataFrame:
 
 def missing_symbols(matrix: DataFrame, expected: DataFrame) -> DataFrame:
     """Expected symbols without any close."""
-    return expected.join(matrix.select(F.col("asset").alias("symbol")), "symbol", "left_anti")
+    return expected.join(matrix.select(F.col("asset").alias("symbol")).distinct(), "symbol", "left_anti")
 
 
 def wide_matrix(matrix: DataFrame, assets: list[str], value: str = "close") -> DataFrame:
