@@ -182,7 +182,7 @@ def verify_manifests(raw: DataFrame, normalized: DataFrame, envelopes: DataFrame
     and optionally readable (the file is JSON) and envelope_record_id.
     ``tables``: raw_record_id, actual_sha256 of the normalised rows.
     """
-    def issue(rows: DataFrame, key: str, level: str, code: str, count: Column | None = None) -> DataFrame:
+    def issue(rows: DataFrame, key: str, level: str, code: str | Column, count: Column | None = None) -> DataFrame:
         return rows.select(
             F.col(key).alias("record_id"), F.lit(level).alias("level"), F.lit(code).alias("code"),
             (count if count is not None else F.lit(1)).cast("long").alias("count"),
@@ -192,52 +192,68 @@ def verify_manifests(raw: DataFrame, normalized: DataFrame, envelopes: DataFrame
         counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         return issue(counted, key, ERROR, code, F.col("n"))
 
+    def each(rows: DataFrame, key: str, cases: list[tuple[Column, str]]) -> DataFrame:
+        """Issues of all cases that a row meets, from one pass over a join that all of them need."""
+        met = F.array_compact(F.array(*[F.when(case, F.lit(code)) for case, code in cases]))
+        found = rows.select(key, met.alias("codes")).filter(F.size("codes") > 0).select(key, F.explode("codes").alias("code"))
+        return issue(found, key, ERROR, F.col("code"))
+
     if "readable" not in envelopes.columns:
         envelopes = envelopes.withColumn("readable", F.lit(True))
     if "envelope_record_id" not in envelopes.columns:
         envelopes = envelopes.withColumn("envelope_record_id", F.col("record_id"))
-    one_raw = raw.dropDuplicates(["record_id"])
-    one_norm = normalized.dropDuplicates(["raw_record_id"])
-    no_path = F.coalesce(F.col("relative_path"), F.lit("")) == ""
-    raw_read = one_raw.filter(~no_path).join(envelopes, "record_id", "left")
-    norm_raw = one_norm.join(
+    # Only what is compared goes into the shuffles and sorts.
+    path = (F.coalesce(F.col("relative_path"), F.lit("")) == "").alias("no_path")
+    one_raw = raw.select("record_id", path, "payload_sha256").dropDuplicates(["record_id"])
+    one_norm = normalized.select("raw_record_id", path, "normalized_sha256", "source_payload_sha256").dropDuplicates(["raw_record_id"])
+    read = envelopes.select(
+        "record_id", "readable", "actual_sha256", (F.col("actual_sha256") != F.col("envelope_sha256")).alias("other_sha256"),
+        F.col("envelope_record_id").eqNullSafe(F.col("record_id")).alias("same_id"),
+    )
+    raw_read = one_raw.filter(~F.col("no_path")).join(read, "record_id", "left")
+    norm_raw = one_norm.select("raw_record_id", "source_payload_sha256").join(
         one_raw.select(F.col("record_id").alias("raw_record_id"), F.col("payload_sha256").alias("raw_sha"), F.lit(True).alias("known")),
         "raw_record_id", "left",
     )
-    norm_read = one_norm.filter(~no_path).join(tables, "raw_record_id", "left")
-    found = F.col("actual_sha256").isNotNull()
+    norm_read = one_norm.filter(~F.col("no_path")).select("raw_record_id", "normalized_sha256").join(
+        tables.select("raw_record_id", "actual_sha256"), "raw_record_id", "left"
+    )
+    found, readable = F.col("actual_sha256").isNotNull(), F.col("readable")
     return _union(
         [
             repeated(raw, "record_id", "DUPLICATE_RAW_RECORD_ID"),
             repeated(normalized, "raw_record_id", "DUPLICATE_NORMALIZED_RECORD_ID"),
-            issue(one_raw.filter(no_path), "record_id", ERROR, "RAW_PATH_MISSING"),
-            issue(raw_read.filter("readable is null"), "record_id", ERROR, "RAW_FILE_MISSING"),
-            issue(raw_read.filter("not readable"), "record_id", ERROR, "RAW_FILE_INVALID"),
-            issue(
-                raw_read.filter(F.col("readable") & ~F.col("envelope_record_id").eqNullSafe(F.col("record_id"))),
-                "record_id", ERROR, "RAW_RECORD_ID_MISMATCH",
+            issue(one_raw.filter("no_path"), "record_id", ERROR, "RAW_PATH_MISSING"),
+            each(
+                raw_read, "record_id",
+                [
+                    (readable.isNull(), "RAW_FILE_MISSING"),
+                    (~readable, "RAW_FILE_INVALID"),
+                    (readable & ~F.col("same_id"), "RAW_RECORD_ID_MISMATCH"),
+                    (readable & ~found, "RAW_PAYLOAD_INVALID"),
+                    (readable & found & (F.col("other_sha256") | (F.col("actual_sha256") != F.col("payload_sha256"))), "RAW_PAYLOAD_HASH_MISMATCH"),
+                ],
             ),
-            issue(raw_read.filter(F.col("readable") & ~found), "record_id", ERROR, "RAW_PAYLOAD_INVALID"),
-            issue(
-                raw_read.filter(
-                    F.col("readable") & found
-                    & ((F.col("actual_sha256") != F.col("envelope_sha256")) | (F.col("actual_sha256") != F.col("payload_sha256")))
-                ),
-                "record_id", ERROR, "RAW_PAYLOAD_HASH_MISMATCH",
-            ),
-            issue(norm_raw.filter("known is null"), "raw_record_id", ERROR, "NORMALIZED_WITHOUT_RAW"),
-            issue(one_norm.filter(no_path), "raw_record_id", ERROR, "NORMALIZED_PATH_MISSING"),
-            issue(norm_read.filter(~found), "raw_record_id", ERROR, "NORMALIZED_FILE_MISSING"),
-            issue(
-                norm_read.filter(found & (F.coalesce(F.col("normalized_sha256"), F.lit("")) != "") & (F.col("actual_sha256") != F.col("normalized_sha256"))),
-                "raw_record_id", ERROR, "NORMALIZED_HASH_MISMATCH",
+            issue(one_norm.filter("no_path"), "raw_record_id", ERROR, "NORMALIZED_PATH_MISSING"),
+            each(
+                norm_read, "raw_record_id",
+                [
+                    (~found, "NORMALIZED_FILE_MISSING"),
+                    (
+                        found & (F.coalesce(F.col("normalized_sha256"), F.lit("")) != "") & (F.col("actual_sha256") != F.col("normalized_sha256")),
+                        "NORMALIZED_HASH_MISMATCH",
+                    ),
+                ],
             ),
-            issue(
-                norm_raw.filter(F.col("known") & ~F.col("source_payload_sha256").eqNullSafe(F.col("raw_sha"))),
-                "raw_record_id", ERROR, "RAW_NORMALIZED_LINK_MISMATCH",
+            each(
+                norm_raw, "raw_record_id",
+                [
+                    (F.col("known").isNull(), "NORMALIZED_WITHOUT_RAW"),
+                    (F.col("known") & ~F.col("source_payload_sha256").eqNullSafe(F.col("raw_sha")), "RAW_NORMALIZED_LINK_MISMATCH"),
+                ],
             ),
             issue(
-                one_raw.join(one_norm.select(F.col("raw_record_id").alias("record_id")), "record_id", "left_anti"),
+                one_raw.select("record_id").join(one_norm.select(F.col("raw_record_id").alias("record_id")), "record_id", "left_anti"),
                 "record_id", WARNING, "RAW_NOT_NORMALIZED",
             ),
         ]
