@@ -6,7 +6,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import audit, tiles
+from tidemark.operators import audit, option_features, tiles
+from tidemark.plans import options, structures
+from tidemark.sources import tables
 
 
 def plan(df):
@@ -32,3 +34,39 @@ def test_tiles_stay_few_as_assets_grow(spark):
     assert cells == len(rows) * tiles.FEW
     sums = tiles.pair_sums(returns, tile=4)
     assert sums.count() == 300 * 301 // 2 and sums.agg(F.min("n"), F.max("n")).first()[:] == (2, 2)
+
+
+def test_missing_symbols_joins_each_symbol_once(spark):
+    matrix = spark.createDataFrame([("RUN", day, "A", 1.0) for day in range(50)], "universe_id string, session int, asset string, close double")
+    missing = tables.missing_symbols(matrix, spark.createDataFrame([("A",), ("B",), (None,)], "symbol string"))
+    assert [r.symbol for r in missing.orderBy("symbol").collect()] == [None, "B"]
+    assert "Aggregate(keys=[symbol" in plan(missing).replace("HashAggregate", "Aggregate")
+
+
+def test_write_once_rerun_is_not_held_to_three_tasks(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(structures.tables, "write_once", lambda table, *rest: seen.append(plan(table)) or "EXISTS")
+    monkeypatch.setattr(structures.tables, "changed_since", lambda table, *rest: table)
+    structures.write_once_ranges(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 3 and not any("REPARTITION_BY_NUM" in p for p in seen)
+
+
+def test_manifests_are_joined_once_for_all_their_codes(spark, tmp_path):
+    raw = spark.createDataFrame([("1", "q", "a"), ("2", "", "b"), ("3", "q", "c"), ("4", "q", "d")], "record_id string, relative_path string, payload_sha256 string")
+    norm = spark.createDataFrame([("1", "n", "x", "a"), ("5", None, "y", "b")], "raw_record_id string, relative_path string, normalized_sha256 string, source_payload_sha256 string")
+    read = spark.createDataFrame([("1", "a", None, True, "9"), ("3", "c", "z", True, "3")], "record_id string, envelope_sha256 string, actual_sha256 string, readable boolean, envelope_record_id string")
+    issues = audit.verify_manifests(raw, norm, read, spark.createDataFrame([("1", "w")], "raw_record_id string, actual_sha256 string"))
+    assert {(r.record_id, r.code) for r in issues.collect()} == {
+        ("1", "RAW_RECORD_ID_MISMATCH"), ("1", "RAW_PAYLOAD_INVALID"), ("2", "RAW_PATH_MISSING"), ("3", "RAW_PAYLOAD_HASH_MISMATCH"),
+        ("4", "RAW_FILE_MISSING"), ("1", "NORMALIZED_HASH_MISMATCH"), ("5", "NORMALIZED_PATH_MISSING"), ("5", "NORMALIZED_WITHOUT_RAW"),
+        ("2", "RAW_NOT_NORMALIZED"), ("3", "RAW_NOT_NORMALIZED"), ("4", "RAW_NOT_NORMALIZED"),
+    }
+    assert issues._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 4
+
+
+def test_contracts_are_prepared_once(spark):
+    """Expressions of a contract are not written out again in the checks, and later steps read the kept rows."""
+    prepared = options.prepared(spark, "/root/testdata/sf0.001")
+    checks = prepared.filter("eligible_contract and is_atm")._jdf.queryExecution().optimizedPlan().toString().split("Generate inline")[0]
+    assert "l_quantity" not in checks
+    assert "lineitem" not in plan(option_features.atm_iv_by_bucket(prepared))

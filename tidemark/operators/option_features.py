@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import options as opt
 from tidemark.operators import quantiles
+from tidemark.session import cut_lineage
 
 KEYS = ["run_id", "underlying_symbol"]
 SCHEMA_VERSION = "1.2.0"
@@ -53,6 +54,16 @@ def duplicate_quote_symbols(quotes: DataFrame) -> DataFrame:
     )
 
 
+def _once(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The rows with the named columns worked out before any later filter or expression.
+
+    The planner writes the expression of a column out wherever it is used; a chain of checks then becomes
+    one function too long to be compiled. What a generator gives is not written out again.
+    """
+    rest = [c for c in rows.columns if c not in names]
+    return rows.select(*rest, F.inline(F.array(F.struct(*names)))).select(*rows.columns)
+
+
 def prepare_contracts(contracts: DataFrame, spots: DataFrame, **policy) -> DataFrame:
     """Spot, value split, moneyness, spread, age and the twelve eligibility checks per contract.
 
@@ -61,7 +72,7 @@ def prepare_contracts(contracts: DataFrame, spots: DataFrame, **policy) -> DataF
     """
     upper = {c: F.upper(F.trim(c)) for c in ("underlying_symbol", "put_call")}
     numbers = {c: F.expr(f"try_cast({c} as double)") for c in NUMERIC}
-    rows = contracts.withColumns(upper | numbers).join(spots, KEYS, "left")
+    rows = _once(contracts.withColumns(upper | numbers), [*upper, *numbers]).join(spots, KEYS, "left")
     if "quote_age_minutes" not in rows.columns:
         rows = rows.withColumn(
             "quote_age_minutes",
@@ -75,6 +86,7 @@ def prepare_contracts(contracts: DataFrame, spots: DataFrame, **policy) -> DataF
             "relative_spread_pct": opt.relative_spread_pct(F.col("bid"), F.col("ask")),
         }
     )
+    rows = _once(rows, ["signed_moneyness_pct", "relative_spread_pct"])
     checks = opt.eligibility(**policy)
     flagged = rows.withColumn("abs_moneyness_pct", F.abs("signed_moneyness_pct")).withColumns(
         {
@@ -163,8 +175,9 @@ def _counts(prepared: DataFrame) -> DataFrame:
 def atm_iv_by_bucket(prepared: DataFrame) -> DataFrame:
     """Median volatility, contracts and expirations of at-the-money contracts per bucket, long."""
     atm = prepared.filter("eligible_contract and is_atm").withColumn("bucket", opt.feature_bucket(F.col("expiration_dte")))
-    rows = atm.filter("bucket is not null")
     keys = [*KEYS, "bucket"]
+    # Medians, counts and groups read the few columns of these rows, so contracts are prepared once.
+    rows = cut_lineage(atm.filter("bucket is not null").select(*keys, "expiration_date", "volatility"), "atm")
     counts = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("contracts"), F.countDistinct("expiration_date").alias("expirations")
     )
