@@ -36,6 +36,7 @@ def _forests(edges: DataFrame) -> DataFrame:
     """The same components with one edge per node, part by part."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @tx.lean
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:

@@ -102,6 +102,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
     """item (hash of the words), item_id, words (64-bit hashes as bytes), n_words of each distinct item."""
     schema = pa.schema([("item", pa.int64()), ("item_id", pa.int64()), ("words", pa.binary()), ("n_words", pa.int32())])
 
+    @tx.lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in tx.rows(batches, "item_id", "text"):
             found = [(k, words(t)) for k, t in zip(ids, texts, strict=True)]
@@ -123,6 +124,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covera
     items = cut_lineage(_items(benchmark), "items")
     seed_schema = pa.schema([("seed", pa.int64()), ("item", pa.int64()), ("times", pa.int32()), ("n_words", pa.int32())])
 
+    @tx.lean
     def sow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, data, sizes in tx.rows(batches, "item", "words", "n_words"):
             for k, w, n in zip(keys, data, sizes, strict=True):
@@ -134,6 +136,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covera
     shared = docs.sparkSession.sparkContext.broadcast(prefilter.bits_of(seeds, "seed"))
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("seeds", pa.list_(pa.int64())), ("words", pa.binary())])
 
+    @tx.lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, ids, texts in tx.rows(batches, "row", "doc_id", "text"):
             out = []
@@ -166,6 +169,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covera
     joined = pairs.select("row", "item").join(stretches.select("row", "doc_id", F.col("words").alias("doc_words")), "row").join(items, "item")
     tiled_schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int64())])
 
+    @tx.lean
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, ids, item_ids, theirs, ours in tx.rows(batches, "row", "doc_id", "item_id", "words", "doc_words"):
             out = []

@@ -105,6 +105,7 @@ def count_features(docs: DataFrame, features: int = FEATURES) -> DataFrame:
     """lang, feature, n over all rows of ``docs(text, lang)`` with a language and a text."""
     schema = pa.schema([("lang", pa.string()), ("feature", pa.int32()), ("n", pa.int64())])
 
+    @tx.lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tx.other_work()
         held: dict[str, np.ndarray] = {}
@@ -201,6 +202,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], into: tuple[st
         best = totals.argmax(axis=1)
         share = 1.0 / np.exp(totals - totals[np.arange(len(best)), best][:, None]).sum(axis=1)
         names = np.array([*langs, UNKNOWN], dtype=object)[np.where(seen, best, len(langs))]
+        tx.give_back()
         return pd.DataFrame({"lang": names, "score": np.where(seen, share, 0.0)})
 
     found = classify(F.col("text").cast("string"))

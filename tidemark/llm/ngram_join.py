@@ -65,6 +65,7 @@ def shingle_sets(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     )
     ddl = "doc_id long, n long, f1 long, f2 long, block int, cells binary"
 
+    @tx.lean
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tx.other_work()
         cells = np.zeros(CELLS, dtype=np.int64)
@@ -78,6 +79,7 @@ def shingle_sets(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
             if part.any():
                 yield tx.batch(schema, [None], [None], [None], [None], [k], [part.astype("<i4").tobytes()])
 
+    @tx.lean
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for blocks, parts in tx.rows(batches, "block", "cells"):
@@ -176,6 +178,7 @@ def candidate_edges(docs: DataFrame, size: int, num: int, den: int, frequent: np
         b = np.concatenate([sets[fresh], pairs[:, 1]])
         return tx.batch(schema, np.concatenate([keys[fresh], pairs[:, 0]]), a, b)
 
+    @tx.lean
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sets, held = [], [], 0
         frequent_cells = np.unpackbits(shared.value)
@@ -194,6 +197,7 @@ def candidate_edges(docs: DataFrame, size: int, num: int, den: int, frequent: np
         if held:
             yield send(np.concatenate(keys), np.concatenate(sets))
 
+    @tx.lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Neighbours in key order with one signature, and the edges sent along."""
         last_key, last_set = None, None
@@ -222,6 +226,7 @@ def _member_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """f1, n, block, shingles (sorted 64-bit hashes as bytes) of one document per class that has candidates."""
     schema = pa.schema([("f1", pa.int64()), ("n", pa.int64()), ("block", pa.int64()), ("shingles", pa.binary())])
 
+    @tx.lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f1, blocks, texts in tx.rows(batches, "f1", "block", "text"):
             sets = [tx.shingle_set(t, size) for t in texts]
@@ -230,7 +235,8 @@ def _member_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
 
     key = F.xxhash64("doc_id")
     near = prefilter.may_hold(_texts(docs), prefilter.bits_of(members.select(key.alias("key")), "key"), key)
-    rows = near.join(members.select("doc_id", "f1", "block"), "doc_id").select("f1", "block", "text")
+    # Not broadcast: with a shuffle between them the filter and the reading do not take two workers for one task.
+    rows = near.join(members.select("doc_id", "f1", "block").hint("merge"), "doc_id").select("f1", "block", "text")
     return rows.mapInArrow(read, "f1 long, n long, block long, shingles binary").dropDuplicates(["f1"])
 
 

@@ -38,6 +38,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, kep
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     end = int(end_id).to_bytes(4, "little")
 
+    @tx.lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = tokenizing.encoder(vocabulary, kept)
         for keys, texts in tx.rows(batches, "doc_id", "text"):

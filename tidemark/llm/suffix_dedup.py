@@ -188,6 +188,7 @@ def _occurrences(rows: DataFrame, length: int) -> DataFrame:
     """anchor, snippet, kind, at, n, row of every snippet of every text, copies within a task once."""
     schema = pa.schema([("anchor", pa.int64()), ("snippet", pa.int64()), ("kind", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("row", pa.int64())])
 
+    @tx.lean
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tx.other_work()
         seen: set[int] = set()
@@ -275,6 +276,7 @@ def _split(crowded: DataFrame, length: int, block: int) -> DataFrame:
     """
     schema = pa.schema([("core", pa.int64()), ("piece", pa.int64()), ("key", pa.int64()), ("string", pa.int64()), ("begin", pa.int32()), ("weight", pa.int32()), ("bytes", pa.binary())])
 
+    @tx.lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, names, weights, texts in tx.rows(batches, "key", "string", "weight", "bytes"):
             out = []
@@ -303,6 +305,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
     wanted = cut_lineage(known.filter("copies is null").select("row", "kind").join(spans, "kind").select("row", "spans"), "wanted")
     schema = pa.schema([("row", pa.int64()), ("removed", pa.int64()), ("spans", pa.int64()), ("kept_sha", pa.string()), ("kept", pa.binary())])
 
+    @tx.lean
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts, found in tx.rows(batches, "row", "text", "spans"):
             out = []
@@ -318,7 +321,8 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
                 yield tx.batch(schema, *zip(*out, strict=True))
 
     texts = prefilter.may_hold(rows.select("row", "text"), prefilter.bits_of(wanted, "row"), F.col("row"))
-    edited = texts.join(wanted, "row").mapInArrow(remove, "row long, removed long, spans long, kept_sha string, kept binary")
+    # Not broadcast: see ngram_join._member_sets.
+    edited = texts.join(wanted.hint("merge"), "row").mapInArrow(remove, "row long, removed long, spans long, kept_sha string, kept binary")
     empty = hashlib.sha256(b"").hexdigest()
     result = known.join(edited, "row", "left").select(
         "row",
