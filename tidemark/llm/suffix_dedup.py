@@ -47,6 +47,8 @@ LENGTH = 200
 GRAM = 32
 #: Bytes of the snippets in a bin, about.
 BIN_BYTES = 1 << 19
+#: Bytes of the texts that are hashed at once, about.
+HASHED_BYTES = 1 << 16
 #: Different snippets of an anchor, or blocks of a core, above which they are split.
 CROWD = 128
 #: Window starts in a block, from one splitting to the next.
@@ -55,23 +57,30 @@ BLOCKS = (64, 16, 4, 1)
 _PLACE_BITS = 32
 
 
-def snippets(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, snippet hash, first window start and number of window starts of each snippet of a text."""
-    raw = np.frombuffer(data, dtype=np.uint8)
-    if len(raw) < length:
+def snippets(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the text, anchor hash, snippet hash, first window start and number of window starts of each snippet of the texts.
+
+    The texts are hashed as one array, so that short ones do not pay for each step; no window reaches beyond its text.
+    """
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    stop = np.cumsum(sizes)
+    if not (sizes >= length).any():
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none
-    prefix = tx.prefix_hash(raw)
+        return none, none, none, none, none
+    prefix = tx.prefix_hash(np.frombuffer(b"".join(texts), dtype=np.uint8))
     anchor, hashes = _anchors(prefix, length, gram)
-    first = np.flatnonzero(np.diff(anchor, prepend=-1))
-    last = np.append(first[1:], len(anchor)) - 1
-    return hashes[anchor[first]].view(np.int64), tx.span_hash(prefix, first, last + length).view(np.int64), first, last - first + 1
+    owner = np.repeat(np.arange(len(texts)), sizes)[: len(anchor)]
+    at = np.flatnonzero(np.arange(length, length + len(anchor)) <= stop[owner])
+    cut = np.flatnonzero((np.diff(anchor[at], prepend=-1) != 0) | (np.diff(owner[at], prepend=-1) != 0))
+    first, n = at[cut], np.diff(cut, append=len(at))
+    of = owner[first]
+    return of, hashes[anchor[first]].view(np.int64), tx.span_hash(prefix, first, first + n + (length - 1)).view(np.int64), first - (stop - sizes)[of], n
 
 
 def _anchors(prefix: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Place of the anchor of each window, and the hashes of all k-grams, from the prefix hashes of a text."""
     at = np.arange(len(prefix) - gram)
-    hashes = tx.span_hash(prefix, at, at + gram)
+    hashes = tx.span_hash(prefix, slice(0, len(at)), slice(gram, None))
     # Smaller hash first, then the later place; the place is kept in the low bits.
     mask = np.uint64((1 << _PLACE_BITS) - 1)
     ranked = (hashes & ~mask) | (mask - (at.astype(np.uint64) & mask))
@@ -82,87 +91,131 @@ def _anchors(prefix: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndar
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each run of ``width`` values, from prefix and suffix minima of blocks."""
-    n = len(values)
-    padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, dtype=np.uint64)
-    padded[:n] = values
-    blocks = padded.reshape(-1, width)
-    forward = np.minimum.accumulate(blocks, axis=1).ravel()
-    backward = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(backward[: n - width + 1], forward[width - 1 : n])
-
-
-def _suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of the suffixes, in the order of their first ``depth`` symbols at least."""
-    n = len(symbols)
-    key, reach = symbols.astype(np.int64), 1
-    padded = np.zeros(n + 6, dtype=np.int64)
-    padded[:n] = key
-    key = sum(padded[i : n + i] << (9 * (5 - i)) for i in range(6))
-    reach = 6
+    """Minimum of each run of ``width`` values, from those of runs of half the width."""
+    reach = 1
+    while 2 * reach <= width:
+        values, reach = np.minimum(values[:-reach], values[reach:]), 2 * reach
+    return np.minimum(values[: len(values) - (width - reach)], values[width - reach :])
+
+
+def _codes(symbols: np.ndarray) -> tuple[np.ndarray, int]:
+    """The symbols, numbered without gaps (0 stays), and how many there are."""
+    present = np.bincount(symbols, minlength=257) > 0
+    present[0] = True
+    number = np.cumsum(present) - 1
+    return number.astype(np.uint8 if number[-1] < 256 else np.uint16)[symbols], int(number[-1]) + 1
+
+
+def _sorted(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of keys below ``2**bits``, and the keys in it; key and place are sorted as one number where they fit."""
+    place = max(1, (len(keys) - 1).bit_length())
+    if bits + place > 64:
+        order = np.argsort(keys)
+        return order, keys[order]
+    both = keys << np.uint64(place)
+    both |= np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64((1 << place) - 1)).view(np.int64), both >> np.uint64(place)
+
+
+def _suffixes(codes: np.ndarray, letters: int, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Starts of the suffixes in the order of their first ``depth`` symbols at least, the seed of each start, and the symbols in a seed.
+
+    A seed is the number that a suffix's first symbols make.
+    """
+    n = len(codes)
+    room = 64 - max(1, (n - 1).bit_length())
+    first = 1
+    while first < depth and (letters ** (first + 1) - 1).bit_length() <= room:
+        first += 1
+    padded = np.zeros(n + first, dtype=np.uint64)
+    padded[:n] = codes
+    seeds = padded[:n].copy()
+    for i in range(1, first):
+        seeds *= np.uint64(letters)
+        seeds += padded[i : n + i]
+    order, keys = _sorted(seeds, (letters**first - 1).bit_length())
+    reach, bits = first, n.bit_length()
     while True:
-        order = np.argsort(key)
-        fresh = np.diff(key[order], prepend=-1) != 0
+        fresh = np.ones(n, dtype=bool)
+        np.not_equal(keys[1:], keys[:-1], out=fresh[1:])
         if reach >= depth or fresh.all():
-            return order
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(fresh)
-        after = np.zeros(n, dtype=np.int64)
-        if reach < n:
-            after[: n - reach] = rank[reach:]
-        key, reach = rank * (n + 1) + after, 2 * reach
+            return order, seeds, first
+        rank = np.empty(n, dtype=np.uint64)
+        rank[order] = np.cumsum(fresh.astype(np.uint64))
+        key = rank << np.uint64(bits)
+        key[: max(0, n - reach)] |= rank[reach:]
+        order, keys = _sorted(key, 2 * bits)
+        reach *= 2
 
 
-def repeated_borders(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """For each place of the suffix order, whether the suffix differs from the one before within ``length`` symbols.
+def repeated_borders(codes: np.ndarray, letters: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix order, and for each place of it whether the suffix differs from the one before within ``length`` symbols.
 
-    Symbol 0 ends a text; strings that hold it are not extended.
+    Code 0 ends a text; strings that hold it are not extended. The expansion starts from the intervals of all seeds at once,
+    which are the strings of its first levels. At each level an interval is followed if its end is a border of just that level: the borders of
+    the next one lie in the extensions of these alone.
     """
-    n = len(symbols)
-    before = symbols[order - 1]
-    back = np.empty(n, dtype=np.int64)  # place in the order of the suffix that starts one symbol earlier
+    n = len(codes)
+    order, seeds, first = _suffixes(codes, letters, length)
+    before = codes[order - 1]
+    back = np.empty(n, dtype=np.int32 if n < 1 << 31 else np.int64)  # place in the order of the suffix that starts one symbol earlier
     back[np.argsort(before, kind="stable")] = np.arange(n)
-    fixed = np.zeros(n + 1, dtype=bool)
-    fixed[0] = fixed[n] = True
-    low, high = np.zeros(1, dtype=np.int64), np.full(1, n, dtype=np.int64)
-    for _ in range(length):
+    keys = seeds[order]
+    fixed = np.ones(n + 1, dtype=bool)
+    np.not_equal(keys[1:], keys[:-1], out=fixed[1:n])
+    edges = np.flatnonzero(fixed)
+    low, high = edges[:-1], edges[1:]
+    # Seeds that differ from the next one in their last symbol alone, and hold no end.
+    stem = keys[low] // np.uint64(letters)
+    ends = np.cumsum(np.concatenate(([0], codes == 0, np.ones(first, dtype=bool))))
+    open_ = np.append(stem[1:] == stem[:-1], False) & (ends[order[low] + first] == ends[order[low]])
+    low, high = low[open_], high[open_]
+    for _ in range(length - first):
         size = high - low
-        inside = np.repeat(np.arange(len(low)), size)
-        place = np.arange(len(inside)) - np.repeat(np.cumsum(size) - size, size) + low[inside]
-        real = before[place] != 0
-        inside, place = inside[real], place[real]
-        if not len(place):
+        place = np.repeat(low - (np.cumsum(size) - size), size)
+        place += np.arange(len(place))
+        letter = before[place]
+        # Places rise, so this is the order of the places one symbol earlier, too.
+        by = np.argsort(letter, kind="stable")[len(letter) - np.count_nonzero(letter) :]
+        letter = letter[by]
+        if not len(by):
             break
-        to = back[place]
-        by = np.argsort(to)
-        to, inside, letter = to[by], inside[by], before[place][by]
-        cut = np.flatnonzero((np.diff(inside, prepend=-1) != 0) | (np.diff(letter.astype(np.int64), prepend=-1) != 0))
-        begin, end = to[cut], to[np.append(cut[1:], len(to)) - 1] + 1
+        inside = np.repeat(np.arange(len(low)), size)[by]
+        fresh = np.ones(len(by), dtype=bool)
+        np.not_equal(inside[1:], inside[:-1], out=fresh[1:])
+        fresh[1:] |= letter[1:] != letter[:-1]
+        cut = np.flatnonzero(fresh)
+        begin = back[place[by[cut]]].astype(np.int64)
+        end = begin + np.diff(cut, append=len(by))
         fresh = ~fixed[end]
-        # The first interval of a letter ends at a border of that letter, which is fixed by its last one.
-        fixed[end[fresh]] = True
-        fresh |= end == n
         low, high = begin[fresh], end[fresh]
-        if not len(low):
-            break
-    return fixed[:n]
+        fixed[high] = True
+    return order, fixed[:n]
+
+
+def _repeated(texts: list[bytes], weights: list[int], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a window starts at each place of the texts, laid end to end with a place between, that starts elsewhere, too; and the starts of the texts."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    joined = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)
+    symbols = joined.astype(np.int16) + 1
+    symbols[starts + sizes] = 0
+    order, borders = repeated_borders(*_codes(symbols), length)
+    run = np.cumsum(borders.astype(np.int64))
+    worth = np.repeat(np.asarray(weights, dtype=np.int64), sizes + 1)
+    left = np.repeat(starts + sizes, sizes + 1) - np.arange(len(symbols))
+    worth[left < length] = 0
+    held = np.bincount(run, weights=worth[order])
+    again = np.zeros(len(symbols), dtype=bool)
+    again[order] = held[run] >= 2
+    again[left < length] = False
+    return again, starts
 
 
 def repeated_windows(texts: list[bytes], weights: list[int], length: int = LENGTH) -> list[np.ndarray]:
     """For each text, which of its windows of ``length`` bytes start at two places at least; a text counts ``weight`` times."""
-    sizes = np.array([len(t) for t in texts])
-    symbols = np.zeros(int(sizes.sum()) + len(texts), dtype=np.int16)
-    starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-    for s, t in zip(starts, texts, strict=True):
-        symbols[s : s + len(t)] = np.frombuffer(t, dtype=np.uint8).astype(np.int16) + 1
-    order = _suffixes(symbols, length)
-    run = np.cumsum(repeated_borders(symbols, order, length))
-    worth = np.zeros(len(symbols), dtype=np.int64)
-    for s, t, w in zip(starts, texts, weights, strict=True):
-        worth[s : s + max(0, len(t) - length + 1)] = w
-    held = np.bincount(run, weights=worth[order])
-    again = np.zeros(len(symbols), dtype=bool)
-    again[order] = held[run] >= 2
+    again, starts = _repeated(texts, weights, length)
     return [again[s : s + max(0, len(t) - length + 1)] for s, t in zip(starts, texts, strict=True)]
 
 
@@ -184,6 +237,25 @@ def row_hash(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(text, F.lit(1))))
 
 
+def _groups(batch: pa.RecordBatch, seen: set[int], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """kind, row and text of the texts of ``length`` bytes or more that were not seen, some ``HASHED_BYTES`` at a time."""
+    group, held = [], 0
+    for kind, row, text in zip(batch.column("kind").to_pylist(), batch.column("row").to_pylist(), batch.column("text"), strict=True):
+        if kind in seen:
+            continue
+        seen.add(kind)
+        data = text.as_buffer()
+        if data.size < length:
+            continue
+        group.append((kind, row, data.to_pybytes()))
+        held += data.size
+        if held >= HASHED_BYTES:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
 def _occurrences(rows: DataFrame, length: int) -> DataFrame:
     """anchor, snippet, kind, at, n, row of every snippet of every text, copies within a task once."""
     schema = pa.schema([("anchor", pa.int64()), ("snippet", pa.int64()), ("kind", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("row", pa.int64())])
@@ -194,12 +266,10 @@ def _occurrences(rows: DataFrame, length: int) -> DataFrame:
         seen: set[int] = set()
         for b in batches:
             parts = []
-            for kind, row, text in zip(b.column("kind").to_pylist(), b.column("row").to_pylist(), b.column("text"), strict=True):
-                if kind in seen:
-                    continue
-                seen.add(kind)
-                anchor, snippet, at, n = snippets(text.as_buffer().to_pybytes(), length)
-                parts.append((anchor, snippet, np.full(len(at), kind), at, n, np.full(len(at), row)))
+            for group in _groups(b, seen, length):
+                kind, row, texts = zip(*group, strict=True)
+                of, anchor, snippet, at, n = snippets(list(texts), length)
+                parts.append((anchor, snippet, np.array(kind)[of], at, n, np.array(row)[of]))
             if parts:
                 yield tx.batch(schema, *(np.concatenate(c).astype(f.type.to_pandas_dtype()) for c, f in zip(zip(*parts, strict=True), schema, strict=True)))
 
@@ -261,9 +331,12 @@ def _transformed(strings: DataFrame, length: int) -> DataFrame:
     bins = int(total // BIN_BYTES) + int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def expand(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = repeated_windows(pdf["bytes"].tolist(), pdf["weight"].tolist(), length)
-        out = [(a, s, x, y) for a, s, f in zip(pdf["key"], pdf["string"], found, strict=True) for x, y in _runs(f)]
-        return pd.DataFrame(out, columns=["key", "string", "low", "high"])
+        again, starts = _repeated(pdf["bytes"].tolist(), pdf["weight"].tolist(), length)
+        # No window starts at the last place of a text, so no run goes on into the next one.
+        edges = np.flatnonzero(np.diff(again.astype(np.int8), prepend=0, append=0))
+        low, high = edges[::2], edges[1::2]
+        of = np.searchsorted(starts, low, side="right") - 1
+        return pd.DataFrame({"key": pdf["key"].to_numpy()[of], "string": pdf["string"].to_numpy()[of], "low": low - starts[of], "high": high - starts[of]})
 
     binned = strings.withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins)))
     return binned.groupBy("bin").applyInPandas(expand, "key long, string long, low int, high int")

@@ -75,7 +75,7 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hash(prefix: np.ndarray, starts: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
     """Hash of ``data[start:end]`` for each span, the same wherever the bytes stand."""
     _, inverse = _powers(len(prefix))
     return mix((prefix[ends] - prefix[starts]) * inverse[starts])
