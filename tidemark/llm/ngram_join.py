@@ -33,7 +33,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import prefilter, signature_tree
@@ -51,6 +51,8 @@ CELLS, CELLS_IN_ROW = 1 << 20, 1 << 12
 FREQUENT, FREQUENT_LEAST = 3, 32
 #: Parts of sets that a mapping task gathers before it sends them on.
 HELD_PARTS = 1 << 18
+#: Shingles of a bucket, about, in which signatures meet, and the bytes that a signature keeps there and that name a set.
+BUCKET, KEY_BYTES, NODE_BYTES = 1 << 20, 5, 6
 
 
 def shingle_sets(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
@@ -161,22 +163,77 @@ def _signatures(s: np.ndarray, num: int, den: int, frequent: np.ndarray | None =
     return np.concatenate(found)
 
 
-def candidate_edges(docs: DataFrame, size: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """Distinct edges (a, b) between first fingerprints; the sets of every linked pair hang together by them."""
-    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def _narrow(values: np.ndarray, width: int) -> np.ndarray:
+    """The lowest ``width`` bytes of each value, as an array of bytes."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).reshape(-1)
 
-    def send(keys: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
-        """Each signature once with its first set, and an edge to it for each further set of this task."""
-        order = np.lexsort((sets, keys))
-        keys, sets = keys[order], sets[order]
-        fresh = np.diff(keys, prepend=~keys[:1]) != 0
-        leader = sets[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-        more = ~fresh & (leader != sets)
-        pairs = np.unique(np.stack([leader[more], sets[more]], axis=1), axis=0)
-        a = np.concatenate([sets[fresh], pairs[:, 0]])
-        b = np.concatenate([sets[fresh], pairs[:, 1]])
-        return tx.batch(schema, np.concatenate([keys[fresh], pairs[:, 0]]), a, b)
+
+def _wide(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
+    return out.reshape(-1).view("<u8")
+
+
+def _blobs(data: np.ndarray, width: int, cuts: np.ndarray) -> pa.Array:
+    """One binary value from each cut to the next of values that are ``width`` bytes wide."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * width).astype(np.int32)), pa.py_buffer(data)])
+
+
+_PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sets", pa.binary()), ("runs", pa.binary()), ("others", pa.binary())])
+
+
+def _packed(keys: np.ndarray, sets: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row per bucket of each signature once with its first set, and one of edges to that for each further set of this task.
+
+    A set stands once in a row, with the number of its signatures there; those lose the bits that the bucket has.
+    """
+    order = np.lexsort((sets, keys))
+    keys, sets = keys[order], sets[order]
+    fresh = np.ones(len(keys), dtype=bool)
+    np.not_equal(keys[1:], keys[:-1], out=fresh[1:])
+    leader = sets[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+    more = ~fresh & (leader != sets)
+    a, b = _different(leader[more], sets[more])
+    keys, sets = keys[fresh], sets[fresh]
+    bucket = ((keys >> np.uint64(8 * KEY_BYTES)) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((sets, bucket))
+    keys, sets, bucket = keys[order], sets[order], bucket[order]
+    first = np.ones(len(keys), dtype=bool)
+    first[1:] = (sets[1:] != sets[:-1]) | (bucket[1:] != bucket[:-1])
+    run = np.flatnonzero(first)
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+    runs = np.append(np.searchsorted(run, cut), len(run))
+    lengths = np.diff(run, append=len(keys)).astype("<u4").view(np.uint8)
+    none = _blobs(np.zeros(0, dtype=np.uint8), 1, np.zeros(len(cut) + 1, dtype=np.int64))
+    columns = [_blobs(_narrow(keys, KEY_BYTES), KEY_BYTES, np.append(cut, len(keys))), _blobs(_narrow(sets[run], NODE_BYTES), NODE_BYTES, runs), _blobs(lengths, 4, runs), none]
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int32()), *columns], schema=_PACKED)
+    if len(a):
+        yield tx.batch(_PACKED, [int(a[0] % np.uint64(buckets))], [b""], [_narrow(a, NODE_BYTES).tobytes()], [b""], [_narrow(b, NODE_BYTES).tobytes()])
+
+
+def _different(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.ones(len(a), dtype=bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[fresh], b[fresh]
+
+
+def node_of(f1: Column) -> Column:
+    """The node that stands for a set in ``candidate_edges``: the lower bytes of its first fingerprint."""
+    return f1.bitwiseAND(F.lit((1 << 8 * NODE_BYTES) - 1))
+
+
+def candidate_edges(docs: DataFrame, size: int, num: int, den: int, frequent: np.ndarray, shingles: int = 0) -> DataFrame:
+    """Distinct edges (a, b) between nodes (``node_of``); the sets of every linked pair hang together by them.
+
+    Signatures travel packed, some thousand in a row, to buckets whose number grows with that of ``shingles``.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(frequent)
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), shingles // BUCKET)
 
     @tx.lean
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,39 +244,45 @@ def candidate_edges(docs: DataFrame, size: int, num: int, den: int, frequent: np
                 s = tx.shingle_set(text, size)
                 if not len(s):
                     continue
-                found = np.unique(_signatures(s, num, den, frequent_cells).view(np.int64))
+                found = np.unique(_signatures(s, num, den, frequent_cells))
                 keys.append(found)
-                sets.append(np.full(len(found), np.uint64(_total(s, 1)), dtype=np.uint64).view(np.int64))
+                sets.append(np.full(len(found), _total(s, 1) & np.uint64((1 << 8 * NODE_BYTES) - 1), dtype=np.uint64))
                 held += len(found)
                 if held >= HELD_PARTS:
-                    yield send(np.concatenate(keys), np.concatenate(sets))
+                    yield from _packed(np.concatenate(keys), np.concatenate(sets), buckets)
                     keys, sets, held = [], [], 0
         if held:
-            yield send(np.concatenate(keys), np.concatenate(sets))
+            yield from _packed(np.concatenate(keys), np.concatenate(sets), buckets)
+
+    def met(keys: list[np.ndarray], sets: list[np.ndarray]) -> pa.RecordBatch:
+        """Neighbours in the order of a bucket's signatures that have one and the same."""
+        key, node = np.concatenate(keys), np.concatenate(sets)
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        same = (key[1:] == key[:-1]) & (node[1:] != node[:-1])
+        return tx.batch(schema, *(x.view(np.int64) for x in _different(node[:-1][same], node[1:][same])))
 
     @tx.lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Neighbours in key order with one signature, and the edges sent along."""
-        last_key, last_set = None, None
-        for b in batches:
-            key, x, y = (b.column(i).to_numpy() for i in range(3))
-            sent = x != y
-            if sent.any():
-                yield tx.batch(schema, key[sent], x[sent], y[sent])
-            key, x = key[~sent], x[~sent]
-            if not len(key):
-                continue
-            before_key = np.concatenate(([key[0] if last_key is None else last_key], key[:-1]))
-            before = np.concatenate(([x[0] if last_set is None else last_set], x[:-1]))
-            same = (before_key == key) & (before != x)
-            last_key, last_set = key[-1], x[-1]
-            if same.any():
-                yield tx.batch(schema, key[same], before[same], x[same])
-
-    rows = _texts(docs).select("text").mapInArrow(deal, "key long, a long, b long")
-    # A signature's rows are at most one per task and set of tasks' leaders: bounded by tasks, not by copies.
-    met = rows.repartition("key").sortWithinPartitions("key", "a", "b").mapInArrow(meet, "key long, a long, b long")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        at, keys, sets = None, [], []
+        for found, packed, nodes, runs, others in tx.rows(batches, *_PACKED.names, at_once=16):
+            for bucket, k, s, r, o in zip(found, packed, nodes, runs, others, strict=True):
+                if o:
+                    yield tx.batch(schema, _wide(s, NODE_BYTES).view(np.int64), _wide(o, NODE_BYTES).view(np.int64))
+                    continue
+                if bucket != at and keys:
+                    yield met(keys, sets)
+                    keys, sets = [], []
+                at = bucket
+                keys.append(_wide(k, KEY_BYTES))
+                sets.append(np.repeat(_wide(s, NODE_BYTES), np.frombuffer(r, dtype="<u4")))
+        if keys:
+            yield met(keys, sets)
+
+    rows = _texts(docs).select("text").mapInArrow(deal, "bucket int, keys binary, sets binary, runs binary, others binary")
+    # A signature stands at most once in what a task gathers: its part of a bucket is bounded by tasks, not by copies.
+    edges = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _member_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
@@ -314,8 +377,9 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, bound: i
     sets, frequent = shingle_sets(docs, size)
     filled = sets.filter("n > 0 and doc_id is not null")
     classes = cut_lineage(filled.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    blocks = connected_components(candidate_edges(docs, size, num, den, frequent)).select(F.col("node").alias("f1"), F.col("component").alias("block"))
-    members = cut_lineage(classes.select(F.col("rep").alias("doc_id"), "n", "f1").join(blocks, "f1"), "members")
+    shingles = classes.agg(F.sum("n")).first()[0] or 0
+    blocks = connected_components(candidate_edges(docs, size, num, den, frequent, shingles)).withColumnRenamed("component", "block")
+    members = cut_lineage(classes.select(F.col("rep").alias("doc_id"), "n", "f1", node_of(F.col("f1")).alias("node")).join(blocks, "node").drop("node"), "members")
     found = _class_links(docs, members, size, num, den, bound)
     reps = members.groupBy("f1").agg(F.min("doc_id").alias("doc_id"))
     linked = found.join(reps.select(F.col("f1").alias("a"), F.col("doc_id").alias("x")), "a").join(reps.select(F.col("f1").alias("b"), F.col("doc_id").alias("y")), "b").select("x", "y")
