@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
+import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.operators import audit, option_features, tiles
-from tidemark.plans import options, structures
+from tidemark.plans import common, options, structures
 from tidemark.sources import tables
 
 
@@ -70,3 +72,55 @@ def test_contracts_are_prepared_once(spark):
     checks = prepared.filter("eligible_contract and is_atm")._jdf.queryExecution().optimizedPlan().toString().split("Generate inline")[0]
     assert "l_quantity" not in checks
     assert "lineitem" not in plan(option_features.atm_iv_by_bucket(prepared))
+
+
+def test_pairs_with_gaps_are_not_taken_one_by_one(spark, monkeypatch):
+    """Assets with a gap anywhere: pairs without one in the window are one product, the others go together."""
+    rng, days = np.random.default_rng(4), [dt.date(2020 + m // 12, 1 + m % 12, 1) for m in range(30)]
+    held = [(d, f"{a:03d}", round(rng.random(), 3)) for a in range(40) for m, d in enumerate(days) if (m * 7 + a) % 19 and (m < 29 or a % 2)]
+    returns = spark.createDataFrame([("A", *row) for row in held], "universe_id string, session date, asset string, ret double").coalesce(1)
+    marks = spark.createDataFrame([("A", days[m]) for m in (5, 14, 28, 29)], "universe_id string, session date")
+    got = {(r.session, r.asset_i, r.asset_j): r.corr for r in tiles.trailing_correlations(returns, 12, marks, tile=64).collect()}
+    of = {}
+    for d, a, v in held:
+        of.setdefault(a, {})[d] = v
+    want = {}
+    for d in (days[m] for m in (5, 14, 28, 29)):
+        for a in of:
+            for b in of:
+                common = sorted(x for x in of[a] if x in of[b] and x <= d)
+                if a < b and d in of[a] and d in of[b]:
+                    use = common[-12:]
+                    want[d, a, b] = np.corrcoef([of[a][x] for x in use], [of[b][x] for x in use])[0, 1] if len(use) == 12 else None
+    assert got.keys() == want.keys()
+    assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-12) for k, v in want.items())
+    shapes, alone = [], tiles._correlations
+    monkeypatch.setattr(tiles, "_correlations", lambda x, y: shapes.append((x.shape[1], y.shape[1])) or alone(x, y))
+    x = rng.random((30, 9000))
+    m = (rng.random(x.shape) < 0.7).astype(float)
+    value = tiles._with_gaps(x * m, m, x[:, ::-1] * m, m, 12)
+    assert (np.isnan(value) == (m.sum(axis=0) < 12)).all() and not np.isnan(value).all() and not shapes
+
+
+def test_a_wide_universe_has_few_tiles(spark):
+    """Tiles hold as many assets as their returns allow; each part of the pairs is worked out on its own."""
+    returns = spark.range(20000).select(F.lit("A").alias("universe_id"), F.lit(dt.date(2024, 1, 1)).alias("session"), F.col("id").cast("string").alias("asset"), F.lit(1.0).alias("ret"))
+    sent = tiles._dealt(returns, F.trunc("session", "year"), 16, [])
+    assert sent.agg(F.sum(F.size("cells"))).first()[0] == 20000 * tiles.FEW
+    pair = tiles._Pair([_block("x", 1500), _block("y", 700)])
+    sizes = [(a.stop - a.start) * (b.stop - b.start) for a, b in pair.parts()]
+    assert max(sizes) <= tiles.SUB**2 and sum(sizes) == 1500 * 700
+
+
+def _block(name, assets):
+    block = tiles.Block.__new__(tiles.Block)
+    block.assets, block.sessions, block.marked = [f"{name}{a}" for a in range(assets)], np.arange(2), None
+    block.value = block.there = np.ones((2, assets))
+    return block
+
+
+def test_quick_rounding_is_that_of_the_sql(spark):
+    values = [None, 0.0, -0.0, 1.0, -1.0, 0.0078125, -0.0078125, 0.1234565, 0.99999949, -2.5e-7, 5e-7, -5e-7, *np.random.default_rng(2).uniform(-1, 1, 500).tolist()]
+    got = [r.v for r in common.rounded_small(spark.createDataFrame([(v,) for v in values], "v double"), 6, "v").collect()]
+    want = [r[0] for r in duckdb.sql(f"select round(v, 6) + 0.0::double from (values {', '.join(f'({v!r}::double)' if v is not None else '(null)' for v in values)}) t(v)").fetchall()]
+    assert got == want and all(str(v) != "-0.0" for v in got)
