@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.plans.catalog import register
-from tidemark.session import scratch_path
+from tidemark.session import FREES_SHUFFLES, scratch_path, settings
 from tidemark.sources import harness, harness_payloads
 from tidemark.streaming import ingest
 
@@ -21,8 +21,11 @@ def stream_normalize(spark, sf):
     landing, output = scratch_path(spark, "landing"), scratch_path(spark, "normalized")
     quotes, movers = harness_payloads.quotes(spark, sf), harness_payloads.movers(spark, sf)
     bad = harness_payloads.event_envelopes(spark, sf).filter("dataset is null or dataset = 'other'")
-    for part in (quotes.unionByName(movers), bad.unionByName(quotes)):
-        part.write.mode("append").json(landing)
+    # As plain text the landed files are many times the tables that they are made of.
+    packed = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+    with settings(spark, FREES_SHUFFLES):
+        for part in (quotes.unionByName(movers), bad.unionByName(quotes)):
+            part.write.mode("append").options(**packed).json(landing)
     ingest.stream_normalize(ingest.read_envelopes(spark, landing, max_files=8), output, scratch_path(spark, "offsets")).awaitTermination()
     parts = [
         spark.read.parquet(f"{output}/{name}").select(F.lit(name).alias("dataset"), F.col(key).alias("record"))
